@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import sys
 import tempfile
@@ -43,3 +44,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def as_bytes(column: str = "text"):
     """The text as UTF-8 bytes; null stays null. Bytes cross to Python without being decoded there."""
     return F.col(column).cast("binary")
+
+
+def share(spark: SparkSession, value):
+    """A function that returns ``value`` on the executors, sent to each once. Plain broadcasts can't carry this package's own classes there."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        return pickle.loads(sent.value)
+
+    get.drop = sent.unpersist
+    return get
