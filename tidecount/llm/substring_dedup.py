@@ -91,7 +91,9 @@ class Recompressed:
             head = np.flatnonzero(new)
             length = np.diff(np.append(head, len(symbol)))
             at = np.cumsum(new) - 1
-            first, end = at[first] + 1, np.where(end > first, at[end - 1], 0)  # a run at either end may go on outside
+            some = end > first
+            low, high = np.where(some, first, 0), np.where(some, end, 1)
+            first, end = at[low] + 1, np.where(some, at[high - 1], 0)  # a run at either end may go on outside
             symbol, owner, place = np.where(length > 1, mix(symbol[head] + length.astype(U) * salt), symbol[head]), owner[head], place[head]
             # pairs of a left and a right symbol
             right = (mix(symbol ^ salt) & U(1)).astype(bool)
