@@ -55,16 +55,15 @@ def _normal(z: str) -> str:
 
 def _random(rows: DataFrame) -> DataFrame:
     """Adds ``random``: spans of candidates that pass the battery."""
-    code = "CASE c.k WHEN 16 THEN instr('{16}', lower(substr(c.token, i, 1))) WHEN 32 THEN instr('{32}', substr(c.token, i, 1)) ELSE instr('{64}', translate(substr(c.token, i, 1), '-_', '+/')) END - 1"
-    for k, alphabet in ALPHABETS.items():
-        code = code.replace(f"{{{k}}}", alphabet)
+    alphabet = "CASE c.k " + " ".join(f"WHEN {k} THEN '{letters}'" for k, letters in ALPHABETS.items()) + " END"
     steps = {
         # runs that no base span touches, without padding, with the size of their alphabet
         "c1": f"filter({_spans(CANDIDATE, 'random', 4)}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))",
         "c2": "transform(c1, c -> struct(c.start, c.stop, trim(TRAILING '=' FROM c.token) AS token, CASE WHEN c.token RLIKE '^[0-9]+$' THEN 10 WHEN c.token RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN c.token RLIKE '^[A-Z2-7]+=*$' THEN 32 ELSE 64 END AS k))",
-        "c3": f"transform(filter(c2, c -> c.k > 10 AND char_length(c.token) >= 16), c -> struct(c.start, c.stop, c.k, char_length(c.token) AS n, transform(sequence(1, char_length(c.token)), i -> cast({code} AS double)) AS x))",
-        "c4": "transform(c3, c -> struct(c.start, c.stop, c.k, c.n, c.x, aggregate(c.x, 0D, (a, v) -> a + v) / c.n AS mean, size(filter(c.x, v -> v < c.k / 2)) AS low,"
-        " c.k * aggregate(sequence(0, c.k - 1), 0D, (a, j) -> a + power(size(filter(c.x, v -> v = j)), 2)) / c.n - c.n AS chi))",
+        "c3": f"transform(filter(c2, c -> c.k > 10 AND char_length(c.token) >= 16), c -> struct(c.start, c.stop, c.k, char_length(c.token) AS n, CASE c.k WHEN 16 THEN lower(c.token) WHEN 32 THEN c.token ELSE translate(c.token, '-_', '+/') END AS token, {alphabet} AS alphabet))",
+        # one scan of the token for each letter counts it; codes come from one split, as picking letters by place would be quadratic
+        "c4": "transform(transform(c3, c -> struct(c AS c, transform(regexp_extract_all(c.token, '.', 0), l -> cast(instr(c.alphabet, l) - 1 AS double)) AS x)), d -> struct(d.c.start, d.c.stop, d.c.k, d.c.n, d.x, aggregate(d.x, 0D, (a, v) -> a + v) / d.c.n AS mean, size(filter(d.x, v -> v < d.c.k / 2)) AS low,"
+        " d.c.k * aggregate(regexp_extract_all(d.c.alphabet, '.', 0), 0D, (a, l) -> a + power(d.c.n - char_length(replace(d.c.token, l, '')), 2)) / d.c.n - d.c.n AS chi))",
         "c5": "transform(c4, c -> struct(c.start, c.stop, c.k, c.n, c.chi, (c.chi - (c.k - 1)) / sqrt(2D * (c.k - 1)) AS z_uniform,"
         " 2D * c.low * (c.n - c.low) / c.n AS m,"
         " 1 + aggregate(zip_with(slice(c.x, 1, c.n - 1), slice(c.x, 2, c.n - 1), (a, b) -> CASE WHEN (a < c.k / 2) = (b < c.k / 2) THEN 0 ELSE 1 END), 0, (a, v) -> a + v) AS runs,"
