@@ -188,3 +188,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item occurs, with all columns as they were. One pass for each block of items."""
+    raw = docs.withColumn("text", as_bytes())
+    for items in blocks(benchmark):
+        raw = raw.mapInArrow(_without(share(docs.sparkSession, Queries(items))), raw.schema)
+    return raw.withColumn("text", F.col("text").cast("string"))
+
+
+def _without(block):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: Queries = block()
+        for batch in chunks(batches, "text", CHUNK):
+            index = Index(queries, batch.column("text").to_pylist())
+            bad = np.zeros(batch.num_rows, bool)
+            for window in queries.windows:
+                bad[index.owner[index.phrases(window)[0]]] = True
+            yield batch.filter(pa.array(~bad))
+
+    return run

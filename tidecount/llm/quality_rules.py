@@ -74,10 +74,10 @@ def repeated_words(words: list[bytes], ends: np.ndarray) -> np.ndarray:
 def failure(line: str, words: list[str]) -> str | None:
     """The rule that ``line`` fails, if any."""
     n = len(words)
-    if len(NOISE.findall(line)) * 100 > 30 * n or len(DOUBLED.findall(line)) * 100 > 30 * n:
-        return "symbols"
     if len(SEPARATOR.findall(line)) * 5 >= n:
         return "navigation"
+    if len(NOISE.findall(line)) * 100 > 30 * n or len(DOUBLED.findall(line)) * 100 > 30 * n:
+        return "symbols"
     ended = END_MARK.search(line)
     if n <= 6 and not ended and MENU.search(line):
         return "navigation"
@@ -139,15 +139,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in chunks(iter([whole]), "text"):
-            raws = batch.column("text").to_pylist()
-            words, ends = join_words(raws, space_words)
-            repeats = repeated_words(words, ends)
-            keep = []
-            for raw, n, again in zip(raws, np.diff(ends).tolist(), repeats.tolist(), strict=True):
-                keep.append(not (n < 20 or 100 * again > 30 * n) and clean_lines(raw.decode("utf-8", "replace"))[2] <= MAX_LOST * n)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    for batch in chunks(batches, "text"):
+        raws = [raw or b"" for raw in batch.column("text").to_pylist()]
+        words, ends = join_words(raws, space_words)
+        repeats = repeated_words(words, ends)
+        keep = [
+            not (n < 20 or 100 * again > 30 * n) and clean_lines(raw.decode("utf-8", "replace"))[2] <= MAX_LOST * n
+            for raw, n, again in zip(raws, np.diff(ends).tolist(), repeats.tolist(), strict=True)
+        ]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
