@@ -237,7 +237,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     asked = shared.filter("names > 1").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("name").alias("names"))
     windows = known.join(asked, "doc_id").mapInArrow(_emit_windows, "w1 long, w2 long, doc_id long")
     windows = materialise(windows.distinct())
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    # written, so that the join below reads both sides from exchanges and hot windows can be split
+    first = materialise(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"))
     lost_windows = windows.join(first, ["w1", "w2"]).filter("doc_id > lo").select("doc_id", F.col("w2").alias("name"))
     lost = lost_blocks.union(lost_windows).groupBy("doc_id").agg(F.collect_set("name").alias("lost"))
     return raw.join(lost, "doc_id", "left").select("doc_id", "raw", "lost").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept binary")
