@@ -56,6 +56,7 @@ def test_quality_line_rules():
     assert judge("We use cookies to improve this site.") == "boilerplate"
     assert judge("SOME LONG SHOUTING LINE WITH MORE THAN TEN WORDS IN IT HERE.") == "shouting"
     assert judge("and and and and and and and and and more words.") == "monotone"
+    assert judge("ta ta ta ta ta ro ro ro ro ro mi mi mi mi.") == "monotone"
     assert judge("Lorem") == "fragment" and judge("A sentence of prose, with commas.") is None
     assert judge("La maison est belle et le jardin aussi") is None
     kept, failed, lost = quality_rules.clean_lines("One good line.\n\nOne good line.\nHome | A | B")
@@ -326,5 +327,18 @@ def test_every_operator_takes_an_empty_table(spark, docs):
         assert f(empty).count() == 0
 
 
+def test_sql_matches(spark, sf):
+    """The SQL of the operators that have it, over the smallest tables."""
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.execute(sql).df()
+        got = queries.queries()[name](spark, sf).toPandas()
+        assert sorted(got.columns) == sorted(want.columns), name
+        rows_of = lambda df: sorted(map(tuple, df[sorted(df.columns)].itertuples(index=False)), key=repr)
+        assert list(map(repr, rows_of(got))) == list(map(repr, rows_of(want))), name
+
+
 def test_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()} == set(range(1, 11))

@@ -4,7 +4,8 @@ Each task turns a few megabytes of training text into postings (term -> ascendin
 terms that occur in benchmark items are stored, as no other can match). A benchmark window of ten words is
 answered from its rarest terms: the postings of the rarest one, shifted by its offset, are the candidate
 starts, and the postings of the next rarest are intersected with them, offset-adjusted, until all ten agree
-(phrase match) or none is left. A proximity match asks for the window's three rarest terms within a span of 20 words.
+(phrase match) or none is left. A proximity match asks for a window's three longest terms, which stand for its rarest whatever
+the partition, the second and third each within 20 words of the first.
 
 The index needs no shuffle: postings stay with the documents they come from, and each query window is sent to
 every partition in blocks of at most ``BLOCK_BYTES`` of item text, so what is broadcast has a fixed bound however many items there are.
@@ -41,6 +42,9 @@ class Queries:
                 found.setdefault(tuple(ids[i : i + width]), set()).add(item)
         self.windows = [np.array(w, np.int32) for w in found]
         self.items = [sorted(s) for s in found.values()]
+        word = list(self.terms)
+        # by length, then bytes: an order that no partition or block of items changes
+        self.keys = [sorted(set(w), key=lambda t: (-len(word[t]), word[t]))[:3] for w in found]
 
 
 class Index:
@@ -65,26 +69,29 @@ class Index:
         base = term * (len(self.token) + 1)
         return np.searchsorted(self.key, base + low, "left") < np.searchsorted(self.key, base + high, "right")
 
-    def phrases(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the exact window, and positions of its rarest term near which its next two rarest occur."""
+    def phrases(self, window: np.ndarray) -> np.ndarray:
+        """Starts of the exact window."""
         order = np.argsort(self.count[window], kind="stable")
-        rarest = self.postings(window[order[0]])
-        none = rarest[:0]
-        if not len(rarest) or (len(window) > 1 and not self.count[window[order[1 : 3]]].all()):
-            return none, none
-        near = rarest
-        for k in order[1:3]:
-            low = np.maximum(near - SPAN + 1, self.ends[self.owner[near]])
-            high = np.minimum(near + SPAN - 1, self.ends[self.owner[near] + 1] - 1)
-            near = near[self.has_near(window[k], low, high)]
-        start = near - order[0]  # every phrase is a proximity match too
+        start = self.postings(window[order[0]]) - order[0]
+        if not len(start):
+            return start
         start = start[(start >= 0) & (start + len(window) <= len(self.token))]
-        start = start[self.owner[start] == self.owner[start + len(window) - 1]] if len(start) else start
         for k in order[1:]:
             if not len(start):
-                break
+                return start
             start = start[self.token[start + k] == window[k]]
-        return start, near
+        return start[self.owner[start] == self.owner[start + len(window) - 1]]
+
+    def near(self, keys: list[int]) -> np.ndarray:
+        """Positions of the first key around which each other one occurs in the same text, under ``SPAN`` words away."""
+        at = self.postings(keys[0])
+        for term in keys[1:]:
+            if not len(at) or not self.count[term]:
+                return at[:0]
+            low = np.maximum(at - SPAN + 1, self.ends[self.owner[at]])
+            high = np.minimum(at + SPAN - 1, self.ends[self.owner[at] + 1] - 1)
+            at = at[self.has_near(term, low, high)]
+        return at
 
 
 def _search(block):
@@ -96,8 +103,8 @@ def _search(block):
             hit = np.zeros(len(index.token) + 1, np.int64)
             items: dict[int, set[str]] = {}
             close: dict[int, set[str]] = {}
-            for window, held in zip(queries.windows, queries.items, strict=True):
-                start, near = index.phrases(window)
+            for window, held, keys in zip(queries.windows, queries.items, queries.keys, strict=True):
+                start, near = index.phrases(window), index.near(keys)
                 np.add.at(hit, start, 1)
                 np.add.at(hit, start + len(window), -1)
                 for d in np.unique(index.owner[start]).tolist():
@@ -205,7 +212,7 @@ def _without(block):
             index = Index(queries, batch.column("text").to_pylist())
             bad = np.zeros(batch.num_rows, bool)
             for window in queries.windows:
-                bad[index.owner[index.phrases(window)[0]]] = True
+                bad[index.owner[index.phrases(window)]] = True
             yield batch.filter(pa.array(~bad))
 
     return run

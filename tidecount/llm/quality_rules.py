@@ -3,10 +3,10 @@
 A line fails when one of these holds (a line without a word is neither kept nor failed):
 
 * ``symbols``: over 30 characters of ``#*$%&|<>{}~^`` for each 100 words, or doubled ``!!``/``??`` after over 30 % of its words
-* ``navigation``: separators (``|``, ``»``, ``›``, ``•``, ``·``) between its words, or at most six words without an end mark that name a menu entry
+* ``navigation``: a fifth of its words are separators (``|``, ``»``, ``›``, ``•``, ``·``), or at most six words without an end mark that name a menu entry
 * ``boilerplate``: at most 40 words with a notice that sites repeat (cookies, rights, scripts, terms)
 * ``shouting``: ten or more words, over 70 % of the cased letters upper case
-* ``monotone``: ten or more words of which one makes up over half
+* ``monotone``: ten or more words of which one makes up over half, or over 30 % equal the next
 * ``fragment``: fewer than three words and no end mark
 * ``repeated``: equal to an earlier line of the document
 
@@ -32,10 +32,10 @@ SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 NOISE = re.compile(r"[#*$%&|<>{}~^]")
 DOUBLED = re.compile(r"(?:!!|\?\?)")
-SEPARATOR = re.compile(r"(?:^|[\x20\t])[|»›•·](?=[\x20\t]|$)")
-END_MARK = re.compile(r"[.!?:;…。！？؟।\"”»')\]]\s*$")
-MENU = re.compile(r"(?i)\b(?:home|menu|login|log in|sign (?:in|up)|register|subscribe|search|next|previous|share|contact|sitemap|read more|click here|back to top|accueil|connexion|startseite|anmelden|inicio|buscar)\b")
-NOTICE = re.compile(r"(?i)\b(?:cookies?|privacy policy|all rights reserved|terms of (?:use|service)|lorem ipsum|javascript|newsletter|advertisement|powered by)\b")
+SEPARATORS = frozenset("|»›•·")
+END_MARKS = tuple(".!?:;…。！？؟।\"”»')]")
+MENU = re.compile(r"(?ia)\b(?:home|menu|login|log in|sign (?:in|up)|register|subscribe|search|next|previous|share|contact|sitemap|read more|click here|back to top|accueil|connexion|startseite|anmelden|inicio|buscar)\b")
+NOTICE = re.compile(r"(?ia)\b(?:cookies?|privacy policy|all rights reserved|terms of (?:use|service)|lorem ipsum|javascript|newsletter|advertisement|powered by)\b")
 
 MAX_LOST = 0.5
 WINDOW = 8
@@ -74,11 +74,11 @@ def repeated_words(words: list[bytes], ends: np.ndarray) -> np.ndarray:
 def failure(line: str, words: list[str]) -> str | None:
     """The rule that ``line`` fails, if any."""
     n = len(words)
-    if len(SEPARATOR.findall(line)) * 5 >= n:
+    if sum(w in SEPARATORS for w in words) * 5 >= n:
         return "navigation"
     if len(NOISE.findall(line)) * 100 > 30 * n or len(DOUBLED.findall(line)) * 100 > 30 * n:
         return "symbols"
-    ended = END_MARK.search(line)
+    ended = line.rstrip(SPACES).endswith(END_MARKS)
     if n <= 6 and not ended and MENU.search(line):
         return "navigation"
     if n <= 40 and NOTICE.search(line):
@@ -88,7 +88,7 @@ def failure(line: str, words: list[str]) -> str | None:
             cased = sum(map(str.islower, line)), sum(map(str.isupper, line))
             if cased[1] * 10 > 7 * sum(cased):
                 return "shouting"
-        if Counter(words).most_common(1)[0][1] * 2 > n:
+        if Counter(words).most_common(1)[0][1] * 2 > n or sum(map(str.__eq__, words, words[1:])) * 100 > 30 * n:
             return "monotone"
     if n < 3 and not ended:
         return "fragment"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, oracles
 from ._spark import read_table
 from .decontamination import contamination
 from .html_extract import main_text
@@ -74,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE}
+    return oracles.oracle_sql()
