@@ -22,7 +22,7 @@ from ._spark import as_bytes, materialise, share
 from ._text import chunks, join_words, space_words
 from .quality_rules import repeated_words
 
-TO_POOLED, TO_SPHERE = 0.2, 0.05
+TO_POOLED, TO_SPHERE = 0.6, 0.05
 SHARPNESS = 0.5  # of the log-density difference, whose features are not independent
 SYMBOL_BYTES = list(b"#*$%&|<>{}~^@\\_=+")
 NAMES = (
