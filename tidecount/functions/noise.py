@@ -21,7 +21,7 @@ def seed_text(metric: Column | str, day: Column, seed: int) -> Column:
 def noise_seed(metric: Column | str, day: Column, seed: int) -> Column:
     """The first 63 bits after the sign of the seed text's SHA-256, as a long."""
     number = F.conv(F.substring(F.sha2(F.encode(seed_text(metric, day, seed), "UTF-8"), 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return (number % F.lit(2**63).cast("decimal(20,0)")).cast("long")
+    return (number % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
 
 
 def uniform(text: Column, offset: int) -> Column:

@@ -32,7 +32,7 @@ SPINE = """spine AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM t)
 HASHED = ACTIVE + ", hashed AS (SELECT *, substr(sha256(user_id), 1, 16) AS h FROM active)"
 # the same over a log of deletions only
 GONE = TOMBS.replace("FROM events)", "FROM events WHERE event_type = 'error' AND value > 60)", 1)
-TEXT_DAYS = "array_to_string(list_transform(list_sort(days), x -> strftime(x, '%Y-%m-%d')), ',') AS days"
+TEXT_DAYS = "array_to_string([strftime(x, '%Y-%m-%d') FOR x IN list_sort(days)], ',') AS days"
 
 LISTED = f"WITH {T} SELECT seq, user_id, day, op, {TEXT_DAYS} FROM t"
 DAU = f"WITH {ACTIVE} SELECT day, count(DISTINCT user_id) AS users FROM active GROUP BY day"
