@@ -44,7 +44,7 @@ def seeded_laplace(seed: pd.Series, scale: pd.Series) -> pd.Series:
 
     def draw(s: int, b: float) -> float:
         u = random.Random(s).random() - 0.5
-        return -b * math.copysign(1, u) * math.log(1 - 2 * abs(u)) if u else 0.0
+        return b * math.copysign(1, u) * math.log(1 - 2 * abs(u))  # against the sign of u
 
     return pd.Series([draw(int(s), b) for s, b in zip(seed, scale, strict=True)], dtype=float)
 

@@ -82,6 +82,25 @@ def day_epsilon(releases: DataFrame) -> DataFrame:
     return releases.groupBy("metric", "day").agg(F.sum("epsilon").alias("epsilon"))
 
 
+def _private(releases: DataFrame, keys: list[str]) -> DataFrame:
+    """Naive sums by ``keys``, with the delta that says whether Rényi points count."""
+    return releases.groupBy(*keys).agg(F.sum("epsilon").alias("naive"), F.max("delta").alias("delta"))
+
+
+def _converted(points: DataFrame, keys: list[str], delta: float) -> DataFrame:
+    sums = points.groupBy(*keys, "alpha").agg(F.sum("rdp").alias("rdp"))
+    return sums.groupBy(*keys).agg(F.min(F.col("rdp") + math.log(1 / delta) / (F.col("alpha") - 1)).alias("rdp_epsilon"))
+
+
+def reported(releases: DataFrame, points: DataFrame, delta: float, keys: tuple[str, ...] = ("metric", "period")) -> DataFrame:
+    """(keys..., epsilon): what was spent by month, or by day, as the Rényi bound where releases have a delta, else as the naive sum."""
+    if not 0 < delta < 1:
+        raise ValueError("delta must lie in (0, 1)")
+    by = list(keys)
+    both = _private(releases, by).join(_converted(points, by, delta), by, "left")
+    return both.select(*by, F.when(F.col("delta") > 0, F.coalesce("rdp_epsilon", "naive")).otherwise(F.col("naive")).alias("epsilon"))
+
+
 def snapshot(releases: DataFrame, points: DataFrame, cap: dict[str, float], orders: tuple[float, ...], delta: float, slack_delta: float) -> DataFrame:
     """One row for each metric and month: naive, advanced and Rényi spending, what remains, and which composition the metric reports."""
     naive = spent(releases, cap)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import activity, mechanisms, sketches, turnstile
+
 
 def errors(rows: DataFrame, estimate: str = "estimate", exact: str = "exact") -> DataFrame:
     """Adds ``ae``, the absolute error, and ``re``, relative to at least 1."""
@@ -18,3 +22,27 @@ def error_stats(rows: DataFrame, *group: str) -> DataFrame:
     if "lower_95" in rows.columns:
         stats.append(F.avg(F.col("exact").between(F.col("lower_95"), F.col("upper_95")).cast("double")).alias("coverage"))
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *stats)
+
+
+def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...], window_days: int, delta: float, seed: int) -> DataFrame:
+    """(sketch, epsilon, metric, day, exact, estimate): the last day's releases for every sketch and epsilon.
+
+    Daily counts are released from exact counts, window counts from the sketch, as a release would.
+    """
+    pairs = turnstile.active_pairs(rows)
+    day = rows.agg(F.max("day")).first()[0]
+    if day is None:
+        raise ValueError("no events")
+    last = rows.sparkSession.createDataFrame([(day,)], "day date")
+    today = activity.rolling(pairs, last, 1).withColumn("metric", F.lit("dau"))
+    window = pairs.filter(F.col("day").between(F.date_sub(F.lit(day), window_days - 1), F.lit(day))).select("user_id", F.lit(day).alias("day"))
+    exact = activity.daily(window)
+    out = []
+    for name in names:
+        estimate = sketches.merged(sketches.daily_sketches(window, name), ["day"]).select("day", "estimate")
+        for epsilon in epsilons:
+            daily = mechanisms.release(today.withColumn("exact", F.col("users")), "dau", epsilon, 0.0, seed)
+            month = mechanisms.release(exact.withColumnRenamed("users", "exact").join(estimate.withColumnRenamed("estimate", "users"), "day"), "mau", epsilon, delta, seed).withColumn("metric", F.lit("mau"))
+            for part in (daily, month):
+                out.append(part.select(F.lit(name).alias("sketch"), F.lit(float(epsilon)).alias("epsilon"), "metric", "day", F.col("exact").cast("double").alias("exact"), F.col("estimate").cast("double").alias("estimate")))
+    return reduce(DataFrame.union, out)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.config import Config
 from ..functions.pseudonym import user_root, with_user_key
-from ..sources.schema import ACTIVITY, ERASURE
-from ..sources.sinks import append, current
-from . import turnstile
+from ..sources.schema import ACTIVITY, ERASURE, RDP_RELEASE, RELEASE, RESET, SNAPSHOT
+from ..sources.sinks import after_reset, append, current, overwrite_partitions
+from ..sources.sinks import numbered as sinks_numbered
+from . import accountant, mechanisms, sketches, turnstile
 
 
 def activity(rows: DataFrame, config: Config) -> DataFrame:
@@ -61,6 +62,66 @@ class Ledger:
         append(done, f"{self.path}/erasures")
         return days
 
+    def refresh(self, days: list, sketch: str = "kmv") -> None:
+        """Count ``days`` again and replace their snapshots; other days' stay as they are."""
+        spine = self.spark.createDataFrame([(d,) for d in days], "day date")
+        active = self.active().filter(F.col("day").isin(*days)) if days else self.active().limit(0)
+        build = sketches.backend(sketch)
+        made = active.groupBy("day").agg(F.count_distinct("user_key").alias("exact_count"), F.to_json(F.struct(build.build("user_key").alias("s"))).alias("sketch"))
+        full = spine.join(made, "day", "left").select(F.coalesce("exact_count", F.lit(0)).cast("long").alias("exact_count"), "sketch", F.lit(sketch).alias("sketch_impl"), "day")
+        overwrite_partitions(full, f"{self.path}/snapshots", "day")
+
+    def snapshots(self) -> DataFrame:
+        return self._read("snapshots", SNAPSHOT)
+
+    # Budgets. One writer appends at a time; ids are arrival numbers within a log.
+
+    def _next(self, log: DataFrame) -> int:
+        return (log.agg(F.max("id")).first()[0] or 0) + 1
+
+    def _all_releases(self) -> DataFrame:
+        return self._read("releases", RELEASE)
+
+    def releases(self, metric: str | None = None, period: str | None = None) -> DataFrame:
+        """The releases since each month's last reset, by metric and month if given."""
+        log = after_reset(self._all_releases(), self._read("resets", RESET))
+        for name, value in (("metric", metric), ("period", period)):
+            log = log if value is None else log.filter(F.col(name) == value)
+        return log
+
+    def record_releases(self, released: DataFrame, config: Config) -> None:
+        """Append releases (metric, day, period, epsilon, delta, mechanism) and their Rényi points."""
+        start = self._next(self._all_releases())
+        ordered = sinks_numbered(released, start, "metric", "day").withColumn("seed", F.lit(config.default_seed).cast("long"))
+        append(ordered.select("id", "metric", "day", "period", "epsilon", "delta", "mechanism", "seed"), f"{self.path}/releases")
+        written = self._all_releases().filter(F.col("id") >= start)
+        self.record_rdp(mechanisms.rdp_points(written, config.rdp_orders, config.sensitivity).join(written.select("metric", "day", "id"), ["metric", "day"]))
+
+    def record_rdp(self, points: DataFrame) -> None:
+        """Append Rényi points (id, metric, day, period, alpha, rdp); an order of at most 1 or a negative value is an error."""
+        checked = points.withColumn("alpha", F.when(F.col("alpha") > 1, F.col("alpha")).otherwise(F.raise_error(F.lit("alpha must be above 1")).cast("double"))).withColumn("rdp", F.when(F.col("rdp") >= 0, F.col("rdp")).otherwise(F.raise_error(F.lit("a Rényi value can't be negative")).cast("double")))
+        append(checked.select("id", "metric", "day", "period", "alpha", F.col("rdp").alias("epsilon")), f"{self.path}/rdp_releases")
+
+    def rdp(self) -> DataFrame:
+        """(metric, day, period, alpha, rdp) since each month's last reset."""
+        log = after_reset(self._read("rdp_releases", RDP_RELEASE), self._read("resets", RESET))
+        return log.select("metric", "day", "period", "alpha", F.col("epsilon").alias("rdp"))
+
+    def reset(self, metric: str, period: str) -> None:
+        """Start a month's budget anew: a mark above which releases count. Nothing is deleted."""
+        mark = self._next(self._all_releases()) - 1
+        append(self.spark.createDataFrame([(metric.lower(), period, mark)], RESET), f"{self.path}/resets")
+
+    def budget(self, config: Config) -> DataFrame:
+        """The accountant's snapshot of all months."""
+        caps = {m: config.cap(m) for m in ("dau", "mau")}
+        return accountant.snapshot(self.releases(), self.rdp(), caps, config.rdp_orders, config.delta, config.advanced_delta)
+
+    def backup(self, path: str) -> None:
+        """A copy of every table."""
+        for name, schema in (("activity", ACTIVITY), ("erasures", ERASURE), ("releases", RELEASE), ("rdp_releases", RDP_RELEASE), ("resets", RESET)):
+            self._read(name, schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
     def active(self) -> DataFrame:
         """(day, user_key) pairs active by the ordered fold, deletions by their tombstones."""
         folded = self.activity().groupBy("day", "user_key").agg(F.max_by("op", F.struct("seq", "step")).alias("op"))

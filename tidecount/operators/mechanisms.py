@@ -29,7 +29,8 @@ def gaussian_sigma(epsilon: float, delta: float, sensitivity: float = 1.0) -> fl
 
 
 def laplace_half_width(scale: float, alpha: float = 0.05) -> float:
-    return -scale * math.log(alpha)
+    """A tail of ``alpha / 2`` of each side's exponential, so wider than the exact two-sided quantile."""
+    return -scale * math.log(alpha / 2)
 
 
 def release(values: DataFrame, metric: str, epsilon: float, delta: float, seed: int, sensitivity: float = 1.0, value: str = "users", parity: bool = False) -> DataFrame:

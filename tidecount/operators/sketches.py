@@ -62,8 +62,9 @@ def kmv_difference(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
         return side.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("kth")).select(F.when(F.col("n") < k, F.lit("g")).otherwise(F.col("kth")).alias("limit"))
 
     limit = theta(left).union(theta(right)).agg(F.min("limit").alias("limit"))  # "g" lies above all hashes
-    kept = left.join(right, "h", "left_anti").join(F.broadcast(limit)).filter("h < limit")  # limit is one row
-    n = kept.agg(F.count(F.lit(1)).alias("survivors")).join(F.broadcast(limit))
+    one = F.broadcast(limit.withColumn("one", F.lit(1)))  # a single row, met by a constant key
+    kept = left.join(right, "h", "left_anti").withColumn("one", F.lit(1)).join(one, "one").filter("h < limit")
+    n = kept.agg(F.count(F.lit(1)).alias("survivors")).withColumn("one", F.lit(1)).join(one, "one")
     return n.select("survivors", F.when(F.col("limit") == "g", F.col("survivors").cast("double")).otherwise(F.col("survivors") / (unsigned(F.col("limit")) / F.lit(TOP))).alias("estimate"))
 
 

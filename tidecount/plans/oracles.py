@@ -72,7 +72,7 @@ def _noisy(source: str, metric: str, epsilon: float, delta: float) -> str:
     else:
         scale = 1 / epsilon
         u = f"({_u(text, 1)} - 0.5::DOUBLE)"
-        noise, half, kind = f"-({scale!r}::DOUBLE) * sign({u}) * ln(1 - 2 * abs({u}))", -scale * math.log(0.05), "laplace"
+        noise, half, kind = f"-({scale!r}::DOUBLE) * sign({u}) * ln(1 - 2 * abs({u}))", -scale * math.log(0.05 / 2), "laplace"
     return f"SELECT day, users + {noise} AS e, {half!r}::DOUBLE AS half, '{kind}' AS mechanism FROM ({source})"
 
 
@@ -138,6 +138,20 @@ STATS = f"""WITH est AS (WITH {HASHED} {_kmv('day')}), ex AS ({DAU}), e AS (
 HISTOGRAM = f"WITH {LOG_TABLE} SELECT handler, method, le, sum(CASE WHEN le = '+Inf' OR duration_s <= CAST(CASE WHEN le = '+Inf' THEN '0' ELSE le END AS DOUBLE) THEN 1 ELSE 0 END)::BIGINT AS requests FROM requests, (VALUES ('0.05'), ('0.1'), ('0.25'), ('0.5'), ('1.0'), ('2.5'), ('5.0'), ('+Inf')) b(le) GROUP BY ALL"
 
 
+def _sweep() -> str:
+    parts = []
+    for sketch in ("set", "kmv"):
+        for epsilon in (0.3, 1.0):
+            for metric, days, delta in (("dau", 1, 0.0), ("mau", 30, 1e-6)):
+                counts = f"SELECT * FROM ({_rolling(days)}) WHERE day = (SELECT max(CAST(ts AS DATE)) FROM events)"
+                parts.append(f"SELECT '{sketch}' AS sketch, {epsilon}::DOUBLE AS epsilon, '{metric}' AS metric, n.day, users::DOUBLE AS exact, round(e, 6) AS estimate FROM ({_noisy(counts, metric, epsilon, delta)}) n JOIN ({counts}) c ON c.day = n.day")
+    return " UNION ALL ".join(parts)
+
+
+# the sketches hold more keys than any test table has users, so both estimate the exact count
+SWEEP = _sweep()
+
+
 def oracle_sql() -> dict[str, str]:
     window = f"day BETWEEN DATE '{END_DAY}' - 29 AND DATE '{END_DAY}'"
     return {
@@ -185,6 +199,10 @@ def oracle_sql() -> dict[str, str]:
         "rdp_best_epsilon": POINTS + " SELECT metric, period, round(rdp_epsilon, 6) AS rdp_epsilon, best_alpha FROM best",
         "advanced_composition": POINTS + " SELECT metric, period, round(advanced_epsilon, 6) AS advanced_epsilon, round(advanced_delta, 12) AS advanced_delta FROM adv",
         "day_epsilon": REQUESTS + " SELECT metric, day, sum(epsilon) AS epsilon FROM rel GROUP BY ALL",
+        "budget_reported_month": POINTS + " SELECT metric, period, round(CASE WHEN delta > 0 THEN rdp_epsilon ELSE spent END, 6) AS epsilon FROM spent JOIN best USING (metric, period)",
+        "budget_reported_day": POINTS + ", c AS (SELECT metric, day, min(rdp + ln(1e6::DOUBLE) / (alpha - 1)) AS e FROM points GROUP BY ALL) SELECT metric, day, round(CASE WHEN delta > 0 THEN e ELSE epsilon END, 6) AS epsilon FROM rel JOIN c USING (metric, day)",
+        "metadata_columns": "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN CAST(event_id AS VARCHAR) END AS \"metadata.{k}\"" for k in ("click", "error", "view")) + " FROM events",
+        "release_sweep": SWEEP,
         "budget_snapshot": POINTS
         + " SELECT metric, period, releases, best_alpha, CASE WHEN delta > 0 THEN 'rdp' ELSE 'naive' END AS composition, round(spent, 6) AS spent, round(remaining, 6) AS remaining, round(rdp_epsilon, 6) AS rdp_epsilon, round(advanced_epsilon, 6) AS advanced_epsilon, round(cap, 6) AS cap FROM spent JOIN best USING (metric, period) JOIN adv USING (metric, period)",
         "budget_next_reset": f"WITH {T} SELECT DISTINCT day, strftime(day, '%Y-%m') AS period, CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) AS next_reset FROM t",

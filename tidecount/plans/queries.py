@@ -406,6 +406,20 @@ def day_epsilon(spark, d):
     return accountant.day_epsilon(_releases(spark, d))
 
 
+def _points(spark, d):
+    return mechanisms.rdp_points(_releases(spark, d), CONFIG.rdp_orders)
+
+
+@query
+def budget_reported_month(spark, d):
+    return accountant.reported(_releases(spark, d), _points(spark, d), CONFIG.delta).withColumn("epsilon", F.round("epsilon", 6))
+
+
+@query
+def budget_reported_day(spark, d):
+    return accountant.reported(_releases(spark, d), _points(spark, d), CONFIG.delta, ("metric", "day")).withColumn("epsilon", F.round("epsilon", 6))
+
+
 @query
 def budget_snapshot(spark, d):
     out = plans.budget_summary(_releases(spark, d), CONFIG)
@@ -448,6 +462,19 @@ def _log(spark, d):
     return _events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("handler"), F.lit("POST").alias("method"), status.alias("status"), (F.col("value") / 100).alias("duration_s"), F.col("user_id").cast("string").alias("client"))
 
 
+@query
+def release_sweep(spark, d):
+    out = evaluation.sweep(_rows(spark, d), ("set", "kmv"), (0.3, 1.0), 30, CONFIG.delta, SEED)
+    return out.withColumn("estimate", F.round("estimate", 6))
+
+
+@query
+def metadata_columns(spark, d):
+    """Metadata maps with different keys, flattened to the union of their keys."""
+    kinds = {k: F.when(F.col("event_type") == k, F.col("event_id").cast("string")) for k in ("view", "click", "error")}
+    return sinks.flatten_metadata(_events(spark, d).select("event_id", sources.metadata_map(kinds).alias("metadata")))
+
+
 @query
 def http_totals(spark, d):
     return requests.totals(_log(spark, d))

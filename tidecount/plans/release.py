@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.config import Config
 from ..operators import accountant, activity, mechanisms, turnstile
+from ..operators.ledger import Ledger
+
+METRICS = ("dau", "mau")
+
+
+def metric_name(metric: str) -> str:
+    """The metric in lower case; an unknown one is an error."""
+    if metric.lower() not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+    return metric.lower()
+
+
+class BudgetExceeded(Exception):
+    """A release would cost more than the month has left; ``next_reset`` says when there is budget again."""
+
+    def __init__(self, metric: str, day: dt.date):
+        self.metric, self.next_reset = metric, dt.date(day.year + day.month // 12, day.month % 12 + 1, 1)
+        super().__init__(f"the {metric} budget of {day:%Y-%m} is exhausted until {self.next_reset}")
 
 
 def _caps(config: Config) -> dict[str, float]:
@@ -35,6 +55,7 @@ def release(rows: DataFrame, metric: str, config: Config, days: DataFrame | None
     (metric, day, window_days, status, estimate, lower_95, upper_95, epsilon_used, delta, mechanism, next_reset). A request beyond the budget
     has status ``budget_exhausted`` and no estimate. The true count is left out unless ``debug_exact``.
     """
+    metric = metric_name(metric)
     days = activity.spine(rows) if days is None else days
     asked = accountant.gate(requests_for(days, metric, config, window_days), _caps(config))
     counts = true_counts(rows, days, metric, config, window_days)
@@ -56,3 +77,36 @@ def releases_of(answers: DataFrame) -> DataFrame:
 def budget_summary(releases: DataFrame, config: Config) -> DataFrame:
     points = mechanisms.rdp_points(releases, config.rdp_orders, config.sensitivity)
     return accountant.snapshot(releases, points, _caps(config), config.rdp_orders, config.delta, config.advanced_delta)
+
+
+def release_stored(ledger: Ledger, metric: str, day: dt.date, config: Config, window_days: int | None = None) -> dict:
+    """One release from a ledger: pending erasures are replayed, the count is taken, the stored budget is checked, and the release is recorded.
+
+    Daily counts use rotating keys, of which a day has one for each user; window counts use the keys that don't rotate,
+    so that a user counts once whatever the window.
+    """
+    metric = metric_name(metric)
+    ledger.refresh(ledger.replay())
+    period, epsilon = f"{day:%Y-%m}", config.epsilon(metric)
+    spent = ledger.releases(metric, period).agg(F.sum("epsilon")).first()[0] or 0.0
+    if spent + epsilon > config.cap(metric) + accountant.SLACK:
+        raise BudgetExceeded(metric, day)
+    window = 1 if metric == "dau" else window_days or config.mau_window_days
+    start = day - dt.timedelta(days=window - 1)
+    state = ledger.activity().filter(F.col("day").between(F.lit(start), F.lit(day))).groupBy("day", "user_key").agg(F.max_by("op", F.struct("seq", "step")).alias("op"), F.first("user_root").alias("user_root"))
+    count = state.filter("op = '+'").agg(F.count_distinct("user_root").alias("users")).withColumn("day", F.lit(day))
+    delta = config.delta if metric == "mau" else 0.0
+    noisy = mechanisms.release(count, metric, epsilon, delta, config.default_seed, config.sensitivity).first()
+    released = ledger.spark.createDataFrame([(metric, day, period, epsilon, delta, noisy.mechanism)], "metric string, day date, period string, epsilon double, delta double, mechanism string")
+    ledger.record_releases(released, config)
+    return {
+        "metric": metric, "day": day, "window_days": window, "estimate": noisy.estimate, "lower_95": noisy.lower_95, "upper_95": noisy.upper_95, "epsilon_used": epsilon,
+        "delta": delta, "mechanism": noisy.mechanism, "budget_remaining": max(0.0, config.cap(metric) - spent - epsilon),
+    }
+
+
+def budget_report(summary: DataFrame, at: dt.datetime) -> DataFrame:
+    """One row of JSON: when it was made, and each metric's months."""
+    months = summary.groupBy("metric").agg(F.sort_array(F.collect_list(F.struct("period", *(c for c in summary.columns if c not in ("metric", "period"))))).alias("months"))
+    packed = months.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "months")))).alias("metrics"))
+    return packed.select(F.to_json(F.struct(F.lit(at.isoformat()).alias("generated_at"), "metrics")).alias("report"))

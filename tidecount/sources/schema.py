@@ -9,3 +9,5 @@ RELEASE = "id long, metric string, day date, period string, epsilon double, delt
 RDP_RELEASE = "id long, metric string, day date, period string, alpha double, epsilon double"
 REQUEST = "req_seq long, metric string, day date, period string, window_days int, epsilon double, delta double"
 REQUEST_LOG = "ts timestamp, handler string, method string, status int, duration_s double, client string"
+RESET = "metric string, period string, id long"
+SNAPSHOT = "exact_count long, sketch string, sketch_impl string, day date"

@@ -20,6 +20,23 @@ def write_csv(rows: DataFrame, path: str) -> None:
     _metadata(rows).select("seq", "user_id", "op", "day", F.to_json("d").alias("metadata.days")).write.option("header", True).option("escape", '"').csv(path)
 
 
+MOST_KEYS = 1000
+
+
+def metadata_keys(rows: DataFrame, column: str = "metadata") -> list[str]:
+    """The keys of a map column over all rows, in order; columns of a file, so their number is checked."""
+    keys = [r[0] for r in rows.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k").limit(MOST_KEYS + 1).collect()]
+    if len(keys) > MOST_KEYS:
+        raise ValueError(f"over {MOST_KEYS} metadata keys")
+    return keys
+
+
+def flatten_metadata(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """A map column as one column ``metadata.<key>`` for each key of any row, sorted by key."""
+    rest = [F.col(c) for c in rows.columns if c != column]
+    return rows.select(*rest, *(F.element_at(column, k).alias(f"{column}.{k}") for k in metadata_keys(rows, column)))
+
+
 def append(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("append").partitionBy(*partitions).parquet(path)
 

@@ -36,9 +36,18 @@ def _apply(folder: str):
         overwrite_partitions(batch.withColumn("batch", F.lit(batch_id).cast("long")), f"{folder}/log", "batch")
         log = stored(spark, folder)
         fresh = spark.read.schema(f"{ROWS}, batch long").parquet(f"{folder}/log").filter(F.col("batch") == batch_id).drop("batch")
-        # days that a deletion without a list removes are known to the log only
-        touched = turnstile.tombstones(log).join(fresh.select("seq"), "seq", "left_semi").select("day").union(fresh.select("day")).union(fresh.select(F.explode("days").alias("day"))).distinct()
-        counted = activity.daily(turnstile.active_pairs(log).join(F.broadcast(touched), "day", "left_semi"))  # days: at most the calendar's
+        named = fresh.select("day").union(fresh.select(F.explode("days").alias("day")))
+        # a deletion without a list touches all days that its user has in the log
+        whole = fresh.filter("op = '-' AND size(days) = 0").select("user_id").distinct()
+        users = turnstile.known_days(log.join(whole, "user_id", "left_semi")).select("day")
+        touched = named.union(users).distinct()
+        days = [r.day for r in touched.collect()]  # at most the calendar's
+        if not days:
+            return
+        # only rows that name a touched day, or remove all days, can change a count
+        listed = F.array(*map(F.lit, days))
+        part = log.filter(F.arrays_overlap(listed, F.concat(F.array("day"), "days")) | ((F.col("op") == "-") & (F.size("days") == 0)))
+        counted = activity.daily(turnstile.active_pairs(part).filter(F.col("day").isin(*days)))
         overwrite_partitions(touched.join(counted, "day", "left").select(F.coalesce("users", F.lit(0)).cast("long").alias("users"), "day"), f"{folder}/daily", "day")
 
     return apply
