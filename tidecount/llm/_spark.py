@@ -27,13 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again, which cuts its lineage.
 
     The files live outside any executor, so a lost executor costs no recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/tidecount/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

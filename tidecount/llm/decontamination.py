@@ -1,20 +1,23 @@
-"""Benchmark decontamination over a positional inverted index that is partitioned by document.
+"""Benchmark decontamination over a distributed positional inverted index.
 
-Each task turns a few megabytes of training text into postings (term -> ascending token positions; only
-terms that occur in benchmark items are stored, as no other can match). A benchmark window of ten words is
-answered from its rarest terms: the postings of the rarest one, shifted by its offset, are the candidate
-starts, and the postings of the next rarest are intersected with them, offset-adjusted, until all ten agree
-(phrase match) or none is left. A proximity match asks for a window's three longest terms, which stand for its rarest whatever
-the partition, the second and third each within 20 words of the first.
+``build_index`` turns the documents into segments of a few megabytes of text and stores, for each, its terms and their
+postings: ascending token positions, as gaps. Segments are partitioned by document, so building and searching shuffle nothing, and
+a stored index answers any number of benchmarks.
 
-The index needs no shuffle: postings stay with the documents they come from, and each query window is sent to
-every partition in blocks of at most ``BLOCK_BYTES`` of item text, so what is broadcast has a fixed bound however many items there are.
+``search`` answers each benchmark window of ten words from its rarest terms: the rarest one's postings, less its offset in the
+window, are the candidate starts; the postings of the next rarest, adjusted alike, are intersected with them, until all terms
+agree (phrase match) or no start is left. A proximity match asks for a window's three longest terms, which stand for its rarest
+whatever the segment, the second and third each within 20 words of the first.
+
+Items are sent to the segments in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast has a fixed bound however many there are.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,112 +29,154 @@ from ._text import alnum_words, chunks, join_words
 
 WIDTH = 10
 SPAN = 20
-CHUNK = 6 << 20
+CHUNK = 6 << 20  # of text in one segment
 BLOCK_BYTES = 16 << 20  # of item text in one broadcast block
+SEGMENT = "segment string, doc_ids array<long>, ends array<int>, terms binary, counts binary, gaps binary"
+MATCHES = "segment string, place int, doc_id long, n_words long, hits array<long>, items array<string>, near_items array<string>"
 
 
 class Queries:
     """The distinct windows of a block of benchmark items, with the items that hold each."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
-        self.terms: dict[bytes, int] = {}
+        terms: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, raw in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in alnum_words(raw)]
+            ids = [terms.setdefault(w, len(terms)) for w in alnum_words(raw)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.windows = [np.array(w, np.int32) for w in found]
+        self.terms = list(terms)
+        self.windows = [np.array(w, np.int64) for w in found]
         self.items = [sorted(s) for s in found.values()]
-        word = list(self.terms)
-        # by length, then bytes: an order that no partition or block of items changes
-        self.keys = [sorted(set(w), key=lambda t: (-len(word[t]), word[t]))[:3] for w in found]
+        # by length, then bytes: an order that no segment or block of items changes
+        self.keys = [np.array(sorted(set(w), key=lambda t: (-len(self.terms[t]), self.terms[t]))[:3], np.int64) for w in found]
+
+
+class Postings:
+    """A segment: for each term its ascending token positions; ``ends`` bound the documents' tokens."""
 
+    def __init__(self, ends: np.ndarray, terms: list[bytes], counts: np.ndarray, positions: np.ndarray):
+        self.ends, self.terms, self.counts, self.positions = ends, terms, counts, positions
+        self.first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
 
-class Index:
-    """Positional postings of some documents' tokens."""
+    @classmethod
+    def of_texts(cls, raws: list[bytes | None]) -> Postings:
+        words, ends = join_words(raws, alnum_words)
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        token = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        return cls(ends, list(number), np.bincount(token, minlength=len(number)), np.argsort(token, kind="stable"))
 
-    def __init__(self, queries: Queries, raws: list[bytes | None]):
-        words, self.ends = join_words(raws, alnum_words)
-        get = queries.terms.get
-        self.token = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        self.owner = np.repeat(np.arange(len(raws)), np.diff(self.ends))
-        known = np.flatnonzero(self.token >= 0)
-        self.position = known[np.argsort(self.token[known], kind="stable")]
-        self.count = np.bincount(self.token[known], minlength=len(queries.terms))
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.key = self.token[self.position].astype(np.int64) * (len(words) + 1) + self.position
+    @classmethod
+    def stored(cls, ends: list[int], terms: bytes, counts: bytes, gaps: bytes) -> Postings:
+        number = np.frombuffer(counts, np.int32).astype(np.int64)
+        run = np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int64)
+        start = np.cumsum(number) - number
+        base = np.where(start > 0, run[start - 1], 0) if len(number) else run
+        return cls(np.array(ends, np.int64), terms.split(), number, run - np.repeat(base, number))
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.position[self.first[term] : self.first[term + 1]]
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Terms, counts and gaps; the first gap of a term is its first position."""
+        gaps = np.diff(self.positions, prepend=0)
+        heads = self.first[:-1]
+        gaps[heads] = self.positions[heads]
+        return b" ".join(self.terms), self.counts.astype(np.int32).tobytes(), gaps.astype(np.int32).tobytes()
 
-    def has_near(self, term: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether ``term`` occurs at a position from low to high."""
-        base = term * (len(self.token) + 1)
-        return np.searchsorted(self.key, base + low, "left") < np.searchsorted(self.key, base + high, "right")
+    def owner(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends[1:], position, side="right")
+
+    def of(self, term: int) -> np.ndarray:
+        return self.positions[self.first[term] : self.first[term + 1]]
 
     def phrases(self, window: np.ndarray) -> np.ndarray:
-        """Starts of the exact window."""
-        order = np.argsort(self.count[window], kind="stable")
-        start = self.postings(window[order[0]]) - order[0]
-        if not len(start):
-            return start
-        start = start[(start >= 0) & (start + len(window) <= len(self.token))]
+        """Starts of the exact window, given by this segment's terms."""
+        order = np.argsort(self.counts[window], kind="stable")
+        start = self.of(window[order[0]]) - order[0]
         for k in order[1:]:
             if not len(start):
                 return start
-            start = start[self.token[start + k] == window[k]]
-        return start[self.owner[start] == self.owner[start + len(window) - 1]]
+            there = self.of(window[k])
+            at = np.searchsorted(there, start + k)
+            start = start[there[np.minimum(at, len(there) - 1)] == start + k]
+        start = start[start >= 0]
+        return start[self.owner(start) == self.owner(start + len(window) - 1)]
 
-    def near(self, keys: list[int]) -> np.ndarray:
+    def near(self, keys: np.ndarray) -> np.ndarray:
         """Positions of the first key around which each other one occurs in the same text, under ``SPAN`` words away."""
-        at = self.postings(keys[0])
+        at = self.of(keys[0])
         for term in keys[1:]:
-            if not len(at) or not self.count[term]:
-                return at[:0]
-            low = np.maximum(at - SPAN + 1, self.ends[self.owner[at]])
-            high = np.minimum(at + SPAN - 1, self.ends[self.owner[at] + 1] - 1)
-            at = at[self.has_near(term, low, high)]
+            if not len(at):
+                return at
+            text = self.owner(at)
+            low, high = np.maximum(at - SPAN + 1, self.ends[text]), np.minimum(at + SPAN - 1, self.ends[text + 1] - 1)
+            there = self.of(term)
+            at = at[np.searchsorted(there, low, "left") < np.searchsorted(there, high, "right")]
         return at
 
+    def bound(self, queries: Queries) -> np.ndarray:
+        """This segment's number of each query term, -1 where it doesn't occur."""
+        place = {t: i for i, t in enumerate(self.terms)}
+        return np.array([place.get(t, -1) for t in queries.terms], np.int64)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "raw", CHUNK):
+        index = Postings.of_texts(batch.column("raw").to_pylist())
+        terms, counts, gaps = index.packed()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([index.ends.tolist()], pa.list_(pa.int32())),
+                pa.array([terms], pa.binary()), pa.array([counts], pa.binary()), pa.array([gaps], pa.binary()),
+            ],
+            ["segment", "doc_ids", "ends", "terms", "counts", "gaps"],
+        )
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored segments of ``docs(doc_id, text, ...)``, in the shared folder."""
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw")).mapInArrow(_build, SEGMENT), codec="zstd")
+
 
 def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = block()
-        for batch in chunks(batches, "raw", CHUNK):
-            index = Index(queries, batch.column("raw").to_pylist())
-            n = batch.num_rows
-            hit = np.zeros(len(index.token) + 1, np.int64)
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            index = Postings.stored(row["ends"], row["terms"], row["counts"], row["gaps"])
+            n = len(row["doc_ids"])
+            bound = index.bound(queries)
+            hit = np.zeros(index.ends[-1] + 1, np.int64)
             items: dict[int, set[str]] = {}
             close: dict[int, set[str]] = {}
             for window, held, keys in zip(queries.windows, queries.items, queries.keys, strict=True):
-                start, near = index.phrases(window), index.near(keys)
+                keys = bound[keys]
+                if keys.min() < 0:
+                    continue
+                for d in np.unique(index.owner(index.near(keys))).tolist():
+                    close.setdefault(d, set()).update(held)
+                window = bound[window]
+                if window.min() < 0:
+                    continue
+                start = index.phrases(window)
                 np.add.at(hit, start, 1)
                 np.add.at(hit, start + len(window), -1)
-                for d in np.unique(index.owner[start]).tolist():
+                for d in np.unique(index.owner(start)).tolist():
                     items.setdefault(d, set()).update(held)
-                for d in np.unique(index.owner[near]).tolist():
-                    close.setdefault(d, set()).update(held)
             covered = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
             where = np.split(covered, np.searchsorted(covered, index.ends[1:-1]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(index.ends)),
+                    pa.array([row["segment"]] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(index.ends)),
                     pa.array([(w - a).tolist() for w, a in zip(where, index.ends.tolist(), strict=False)], pa.list_(pa.int64())),
                     pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
                     pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
                 ],
-                ["doc_id", "n_words", "hits", "items", "near_items"],
-            )
+                [c.split()[0] for c in MATCHES.split(", ")],
+            )
 
     return run
 
 
-MATCHES = "doc_id long, n_words long, hits array<long>, items array<string>, near_items array<string>"
-
-
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size, one at a time on the driver."""
+    """The items in blocks of bounded size, one at a time on the driver; at least one block, which may be empty."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), as_bytes().alias("raw")).filter("item_id is not null and raw is not null")
     held, size = [], 0
     for row in rows.toLocalIterator():
@@ -143,54 +188,40 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, hits, items, near_items) for each row of ``docs``: word positions hit, items matched exactly, items near.
+def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(segment, place, doc_id, n_words, hits, items, near_items) for each document of an index: word positions hit, items matched exactly, items near.
 
-    One pass over the documents for each block of items. With several blocks, each pass writes
-    its rows, which are merged by document; with one block no row is moved.
+    One pass over the index for each block of items; with several, each pass writes its rows, which are merged by document.
     """
-    spark = docs.sparkSession
-    every, held, number = None, None, 0
+    spark, parts, held = index.sparkSession, [], None
     for items in blocks(benchmark):
         if held is not None:
-            every, number = _and(every, docs, share(spark, Queries(held)), number), number + 1
+            parts.append(_pass(index, held))
         held = items
-    block = share(spark, Queries(held or []))
-    if every is None:
-        raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw"))
-        return raw.mapInArrow(_search(block), MATCHES)
-    every = _and(every, docs, block, number)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
-    # Rows are told apart by doc_id and text; equal rows, which each block counted, come out as often as they went in.
-    merged = every.groupBy("doc_id", "t").agg(F.max("n_words").alias("n_words"), union("hits"), union("items"), union("near_items"), (F.count(F.lit(1)) / F.count_distinct("block")).cast("int").alias("copies"))
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", "hits", "items", "near_items")
-
-
-def _and(every: DataFrame | None, docs: DataFrame, block, number: int) -> DataFrame:
-    step = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw")).mapInArrow(_keyed(block), MATCHES + ", t string")).withColumn("block", F.lit(number))
+    if not parts:
+        return index.mapInArrow(_search(share(spark, Queries(held))), MATCHES)
+    every = _pass(index, held)
+    for part in parts:
+        every = every.union(part)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), union("hits"), union("items"), union("near_items"))
+    return merged.select(*(c.split()[0] for c in MATCHES.split(", ")))
+
+
+def _pass(index: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
+    block = share(index.sparkSession, Queries(items))
+    done = materialise(index.mapInArrow(_search(block), MATCHES))
     block.drop()
-    return step if every is None else every.union(step)
-
-
-def _keyed(block):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "raw", CHUNK):
-            texts = [hashlib.sha256(r or b"").hexdigest() for r in batch.column("raw").to_pylist()]
-            at = 0
-            for out in _search(block)(iter([batch])):
-                yield out.append_column("t", pa.array(texts[at : at + out.num_rows]))
-                at += out.num_rows
-
-    return run
+    return done
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, and n_near_items.
 
     Null and empty texts have no words and no hits; items without words match nothing; repeated item_ids
-    count once. An empty benchmark leaves every document clean.
+    count once; repeated rows give repeated results. An empty benchmark leaves every document clean.
     """
-    return matches(docs, benchmark).select(
+    return search(build_index(docs), benchmark).select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
@@ -198,7 +229,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no window of an item occurs, with all columns as they were. One pass for each block of items."""
+    """The rows of ``docs`` in whose text no window of an item occurs, with all columns as they were.
+
+    Each task indexes the texts it reads and drops rows at once, so that whole texts need not be joined with a stored index's matches.
+    """
     raw = docs.withColumn("text", as_bytes())
     for items in blocks(benchmark):
         raw = raw.mapInArrow(_without(share(docs.sparkSession, Queries(items))), raw.schema)
@@ -209,10 +243,13 @@ def _without(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = block()
         for batch in chunks(batches, "text", CHUNK):
-            index = Index(queries, batch.column("text").to_pylist())
+            index = Postings.of_texts(batch.column("text").to_pylist())
+            bound = index.bound(queries)
             bad = np.zeros(batch.num_rows, bool)
             for window in queries.windows:
-                bad[index.owner[index.phrases(window)]] = True
+                window = bound[window]
+                if window.min() >= 0:
+                    bad[index.owner(index.phrases(window))] = True
             yield batch.filter(pa.array(~bad))
 
     return run
