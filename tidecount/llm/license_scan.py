@@ -59,13 +59,20 @@ FAMILIES = (
     ("upl", "universal permissive licen[sc]e", "universal", ("1 0",), "upl"),
     ("llama", "llama (?:[0-9 ]+)?community licen[sc]e", "llama", (), "llama"),
     ("openrail", "open ?rail(?: m)?(?: licen[sc]e)?", "rail", (), "openrail"),
-    ("cc0", "(?:cc0|cc (?:0|zero)|creative commons zero)", "c", ("1 0",), "cc0"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", "c", ("2 0", "2 5", "3 0", "4 0"), "cc by"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)", "s", ("2 0", "2 5", "3 0", "4 0"), "cc by sa"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)", "n", ("2 0", "2 5", "3 0", "4 0"), "cc by nc"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "n", ("2 0", "2 5", "3 0", "4 0"), "cc by nd"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "s", ("2 0", "2 5", "3 0", "4 0"), "cc by nc sa"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "n", ("2 0", "2 5", "3 0", "4 0"), "cc by nc nd"),
+    ("cc0", "cc(?:0| 0| zero)", "cc", ("1 0",), "cc0"),
+    ("cc0", "creative commons zero", "zero", ("1 0",), "cc0"),
+    ("cc-by", "cc (?:by|attribution)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by"),
+    ("cc-by", "creative commons attribution", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by"),
+    ("cc-by-sa", "cc (?:by|attribution) (?:sa|share ?alike)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by sa"),
+    ("cc-by-sa", "creative commons attribution (?:sa|share ?alike)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by sa"),
+    ("cc-by-nc", "cc (?:by|attribution) (?:nc|non ?commercial)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc"),
+    ("cc-by-nc", "creative commons attribution (?:nc|non ?commercial)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc"),
+    ("cc-by-nd", "cc (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nd"),
+    ("cc-by-nd", "creative commons attribution (?:nd|no ?deriv(?:ative)?s?)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nd"),
+    ("cc-by-nc-sa", "cc (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc sa"),
+    ("cc-by-nc-sa", "creative commons attribution (?:nc|non ?commercial) (?:sa|share ?alike)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc sa"),
+    ("cc-by-nc-nd", "cc (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc nd"),
+    ("cc-by-nc-nd", "creative commons attribution (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc nd"),
 )
 # Notices that name no family, as label, pattern, keyword, confidence.
 NOTICES = (
@@ -74,11 +81,15 @@ NOTICES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission", 1.0),
     ("zlib", "this software is provided as is without any express or implied warranty in no event", "warranty", 0.9),
     ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", "domain", 0.8),
-    ("public-domain", "(?:domaine public|dominio público|gemeinfrei)", "m", 0.6),
+    ("public-domain", "domaine public", "domaine", 0.6),
+    ("public-domain", "dominio público", "dominio", 0.6),
+    ("public-domain", "gemeinfrei", "gemeinfrei", 0.6),
     ("proprietary", "all rights reserved", "reserved", 0.5),
     ("proprietary", "(?:proprietary and confidential|unauthorized copying)", "copyright", 0.7),
     ("unknown", "(?:is|are) licen[sc]ed under", "licen", 0.4),
-    ("unknown", "(?:sous licence|bajo (?:la )?licencia|unter (?:der )?lizenz)", "li", 0.4),
+    ("unknown", "sous licence", "licence", 0.4),
+    ("unknown", "bajo (?:la )?licencia", "licencia", 0.4),
+    ("unknown", "unter (?:der )?lizenz", "lizenz", 0.4),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 0.3),
 )
 # How a family may be spoken of: form, keyword besides that of the name (or empty), priority, confidence.
@@ -96,6 +107,8 @@ def rules() -> list[tuple[str, int, float, str, str, str]]:
     """All rules in order: label, priority, confidence, keyword, second keyword, pattern over `` word word``."""
     out = [(label, 100, 0.7, phrase.split()[0], phrase.split()[-1], f" {phrase}(?= )") for phrase, label in BASE]
     for (label, name, key, versions, ident), (form, word, priority, confidence) in product(FAMILIES, FORMS):
+        if "{id}" in form and name.startswith("creative commons"):
+            continue  # the family's other entry has this rule
         if "{version}" in form and not versions:
             if form.startswith("{name}"):
                 continue
@@ -104,7 +117,7 @@ def rules() -> list[tuple[str, int, float, str, str, str]]:
             text = form.replace("{version}", version or "(?:" + "|".join(versions) + ")") if "{version}" in form else form
             named = text.replace("{name}", name).replace("{id}", ident)
             by_id = "{id}" in form
-            out.append((label if version is None else f"{label}-{version.replace(' ', '.')}", priority, confidence, ident.split()[0] if by_id else key, word or "c", f" {named}(?= )"))
+            out.append((label if version is None else f"{label}-{version.replace(' ', '.')}", priority, confidence, ident.split()[0] if by_id else key, word, f" {named}(?= )"))
     out += [(label, 5, confidence, key, "", f" {text}(?= )") for label, text, key, confidence in NOTICES]
     return out
 
