@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{OTHER}]+"
 # A text without any of these, and without "cc" before "by", "0" or "zero", is not looked at further. Every base phrase holds one.
 GATE = ("licen", "lizen", "copyright", "copyleft", "spdx", "domain", "dominio", "gemeinfrei", "reserved", "commons", "cc0", "gpl", "gnu", "bsd", "rail", "hereby", "redistribution", "permission", "warranty")
 SHORT = rf"cc[{OTHER}]+(?:by|0|zero)"
@@ -139,7 +138,10 @@ def detect(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words`` and ``found``: detections (first and last word, label, priority, confidence) that are not suppressed; base rules have priority 100."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD)).cast("long")).withColumn("low", F.lower("text"))
+    # words are the pieces between runs of other characters, but for an empty first and last one; matching the words themselves,
+    # a complement of many ranges, is over ten times slower
+    rows = rows.withColumn("pieces", F.split("text", f"[{OTHER}]+", -1))
+    rows = rows.withColumn("n_words", F.expr("cast(greatest(0, size(pieces) - if(pieces[0] = '', 1, 0) - if(pieces[size(pieces) - 1] = '', 1, 0)) AS bigint)")).withColumn("low", F.lower("text")).drop("pieces")
     # plain substring searches, each far cheaper than one pattern of alternatives
     rows = rows.withColumn("gate", F.expr(" OR ".join(f"contains(low, '{k}')" for k in GATE) + f" OR (contains(low, 'cc') AND low RLIKE r'{SHORT}')"))
     words = f"concat(' ', trim(regexp_replace(translate(text, '{upper}', '{lower}'), r'[{OTHER}]+', ' ')), ' ')"
