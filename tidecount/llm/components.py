@@ -10,12 +10,13 @@ from ._spark import materialise
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    # written, so that the join reads both sides from exchanges and a hub's edges can be split over tasks
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).filter("m < a"))
+    return both.filter("b > a").join(least, "a", "left").select(F.col("b").alias("a"), F.coalesce("m", "a").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")))
     return edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -23,7 +24,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(a, b)``: each node but the smallest of its component, with that smallest node.
 
     Self-loops, repeated edges and either direction are fine; no edges give no rows. No node's
-    neighbours are ever gathered: a round is two aggregations with partial sums and two joins,
+    neighbours are ever gathered: a round is two aggregations with partial minima and two joins,
     whose hot keys adaptive execution splits. The number of rounds grows with the logarithm of the longest path.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -32,7 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             return now
-        now = materialise(_small(_large(now)))
+        now = materialise(_small(materialise(_large(now))))
         after = now.agg(mark).first()[0]
         if after == before:
             return now

@@ -222,7 +222,8 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw"))
     signed = materialise(raw.mapInArrow(_signatures(width), "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"))
-    classes = signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # written, so that joins on a set that a third of all rows may share can be split
+    classes = materialise(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = materialise(
         signed.filter("n > 0").join(classes, ["d1", "d2"]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "sig", "bands")
     )
@@ -232,8 +233,9 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     texts = tiles.join(raw, F.col("rep") == F.col("doc_id")).select("tile", "rep", "grp", "side", "raw")
     links = texts.groupBy("tile").applyInArrow(_tile(width, percent), "a long, b long")
     found = components(links).select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    rows = signed.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(found, "rep", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    root = materialise(classes.join(found, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")))
+    rows = signed.select("doc_id", "n", "d1", "d2").join(root, ["d1", "d2"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
