@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import shared_dir
+from ._spark import materialise, shared_dir
 from ._text import chunks
 
 MEMO = 400_000  # units whose counts a task remembers; more make it start anew
@@ -107,5 +107,7 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, cache: str |
     misses = rows.alias("r").join(wanted.alias("w"), (F.col("r.digest") == F.col("w.digest")) & F.col("r.doc_id").eqNullSafe(F.col("w.first"))).select("text", "r.digest")
     counted = misses.mapInArrow(_encode(spark.sparkContext.broadcast(model)), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
+    # one count a digest, even if another run appended some meanwhile; written, so that a text that many rows share can be split
+    counts = materialise(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     return narrow.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
