@@ -309,6 +309,24 @@ def test_contamination(spark, docs, prose, monkeypatch):
         assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
 
 
+def test_contamination_in_a_large_segment(spark, docs):
+    """Half a million words and thousands of terms in one segment."""
+    r = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(150)]
+    texts = []
+    for i in range(200):
+        w = r.choices(vocabulary, k=2500)
+        if i % 3 == 0:
+            part = r.choice(items)[1].split()[5 : 5 + r.choice((9, 10, 20))]
+            w[700 : 700 + len(part)] = part
+        texts.append(" ".join(w))
+    got = rows(decontamination.contamination(docs(texts).coalesce(1), spark.createDataFrame(items, "item_id long, text string")))
+    want = list(brute_contamination(texts, items))
+    assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in range(len(texts))] == want
+    assert 20 < sum(w[4] for w in want) < 67
+
+
 def test_contamination_of_repeated_rows_and_empty_tables(spark, docs, prose, monkeypatch):
     bench = spark.createDataFrame([(1, prose(1, 20)), (2, prose(2, 20))], "item_id long, text string")
     df = docs([(5, prose(1, 20)), (5, prose(1, 20)), (5, "other"), (None, prose(2, 20))])
