@@ -23,10 +23,14 @@ def key_hash(key: Column) -> Column:
     return F.substring(F.sha2(F.encode(key, "UTF-8"), 256), 1, 16)
 
 
-@F.pandas_udf(T.StringType())
-def key_hash_blake2b(keys: pd.Series) -> pd.Series:
-    """64-bit BLAKE2b, personalised, where hashes must agree with sketches made elsewhere."""
-    return keys.map(lambda k: hashlib.blake2b(k.encode(), digest_size=8, person=b"dpdau-kmv").hexdigest(), na_action="ignore")
+def key_hash_blake2b(person: bytes = b"tidecount"):
+    """A function of a key column: 64-bit BLAKE2b under a personalisation, where hashes must agree with sketches made elsewhere."""
+
+    @F.pandas_udf(T.StringType())
+    def hashed(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: hashlib.blake2b(k.encode(), digest_size=8, person=person).hexdigest(), na_action="ignore")
+
+    return hashed
 
 
 def unsigned(hex16: Column) -> Column:

@@ -259,7 +259,7 @@ def bloom_sizing(spark, d):
 
 @query
 def kmv_blake2b_estimate(spark, d):
-    keys = _pairs(spark, d).withColumn("h", sketches.key_hash_blake2b("user_id"))
+    keys = _pairs(spark, d).withColumn("h", sketches.key_hash_blake2b()("user_id"))
     return sketches.kmv_count(keys, ["day"], BUCKET_K)
 
 
