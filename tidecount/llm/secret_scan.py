@@ -3,13 +3,18 @@
 Every run of 20 or more encoding characters that no base span touches is a candidate. Its encoding is inferred
 (hexadecimal, base 32, base 64; plain numbers are none) and its characters become codes. Against the null "random":
 a chi-squared test of a uniform alphabet, a test of the runs above and below the middle, and one of the serial correlation of
-neighbours; each must not reject at |z| > 3.29. Against the null "text", whose letters collide more often, the same
-chi-squared statistic gives a p-value. A document's candidates are reported at a false-discovery rate of 1 % (Benjamini and
-Hochberg), each p-value divided by a weight in proportion to the candidate's length, as long runs carry more evidence.
+neighbours; each must not reject at |z| > 3.29. Against the null "text", base 64 has a p-value from the same chi-squared
+statistic, as letters of text collide more often. The smaller alphabets are too near a random one for that; theirs is one over the
+likelihood ratio of a uniform alphabet to text written in it, words (and in hexadecimal numbers, whichever fits better), which bounds
+the p-value. A document's candidates are reported at a false-discovery rate of 1 % (Benjamini and Hochberg) within
+each class: hexadecimal, base 32, base 64, and base 64 of one letter case without digits, as plain words are, so that those don't raise
+the bar for others. Each p-value is divided by a weight in proportion to the candidate's length, as long runs carry more evidence.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,10 @@ ALPHABETS = {
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 COLLIDE = 0.066  # chance that two letters of a text are equal
+# Letters of text, in thousandths, over some languages in Latin script.
+LETTERS = dict(zip("eansirtoldhcumpgbfvywqkzjx", (140, 88, 78, 72, 74, 68, 70, 58, 47, 43, 28, 33, 42, 28, 24, 18, 15, 14, 12, 9, 9, 7, 7, 6, 4, 4), strict=True))
+DIGITS = 0.1  # share of digits in words written in hexadecimal
+STRAY = 0.03  # share of letters in numbers, and of digits in words written in base 32
 LIMIT = 3.29  # two-sided 0.1 %
 RATE = 0.01
 NONE = "array<struct<start:bigint,kind_order:int,stop:bigint,kind:string,token:string>>"
@@ -44,6 +53,16 @@ def _spans(pattern: str, kind: str, order: int, least: str = "true", group: int
         a -> a.found), x -> {least})"""
 
 
+def _scores(k: int, digits: float) -> str:
+    """SQL for an array with, for each code of an alphabet, the log of how much likelier it is at random than in text with this share of digits."""
+    letters = [a.lower() for a in ALPHABETS[k] if a.isalpha()]
+    each = {a: (1 - digits) * LETTERS[a] / sum(LETTERS[b] for b in letters) for a in letters}
+    if digits > 0.5:  # numbers, whose few letters are any
+        each = dict.fromkeys(letters, (1 - digits) / len(letters))
+    other = digits / (k - len(letters))
+    return "array(" + ", ".join(f"{log(1 / k / each.get(a.lower(), other)):.4f}D" for a in ALPHABETS[k]) + ")"
+
+
 def _gated(value: str, kind: str) -> Column:
     return F.expr(f"CASE WHEN gate THEN {value} ELSE cast(array() AS {kind}) END")
 
@@ -56,23 +75,28 @@ def _normal(z: str) -> str:
 def _random(rows: DataFrame) -> DataFrame:
     """Adds ``random``: spans of candidates that pass the battery."""
     alphabet = "CASE c.k " + " ".join(f"WHEN {k} THEN '{letters}'" for k, letters in ALPHABETS.items()) + " END"
+    total = lambda k, digits: f"aggregate(transform(c.x, v -> {_scores(k, digits)}[cast(v AS int)]), 0D, (a, v) -> a + v)"
     steps = {
         # runs that no base span touches, without padding, with the size of their alphabet
         "c1": f"filter({_spans(CANDIDATE, 'random', 4)}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))",
         "c2": "transform(c1, c -> struct(c.start, c.stop, trim(TRAILING '=' FROM c.token) AS token, CASE WHEN c.token RLIKE '^[0-9]+$' THEN 10 WHEN c.token RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN c.token RLIKE '^[A-Z2-7]+=*$' THEN 32 ELSE 64 END AS k))",
-        "c3": f"transform(filter(c2, c -> c.k > 10 AND char_length(c.token) >= 16), c -> struct(c.start, c.stop, c.k, char_length(c.token) AS n, CASE c.k WHEN 16 THEN lower(c.token) WHEN 32 THEN c.token ELSE translate(c.token, '-_', '+/') END AS token, {alphabet} AS alphabet))",
+        "c3": f"transform(filter(c2, c -> c.k > 10 AND char_length(c.token) >= 16), c -> struct(c.start, c.stop, c.k, char_length(c.token) AS n, CASE c.k WHEN 16 THEN lower(c.token) WHEN 32 THEN c.token ELSE translate(c.token, '-_', '+/') END AS token, {alphabet} AS alphabet, CASE WHEN c.k < 64 THEN c.k WHEN c.token RLIKE '^([^0-9A-Z]+|[^0-9a-z]+)$' THEN 0 ELSE 64 END AS class))",
         # one scan of the token for each letter counts it; codes come from one split, as picking letters by place would be quadratic
-        "c4": "transform(transform(c3, c -> struct(c AS c, transform(regexp_extract_all(c.token, '.', 0), l -> cast(instr(c.alphabet, l) - 1 AS double)) AS x)), d -> struct(d.c.start, d.c.stop, d.c.k, d.c.n, d.x, aggregate(d.x, 0D, (a, v) -> a + v) / d.c.n AS mean, size(filter(d.x, v -> v < d.c.k / 2)) AS low,"
+        "c4": "transform(transform(c3, c -> struct(c AS c, transform(regexp_extract_all(c.token, '.', 0), l -> cast(instr(c.alphabet, l) - 1 AS double)) AS x)), d -> struct(d.c.start, d.c.stop, d.c.k, d.c.n, d.c.class, d.x, aggregate(d.x, 0D, (a, v) -> a + v) / d.c.n AS mean, size(filter(d.x, v -> v < d.c.k / 2)) AS low,"
         " d.c.k * aggregate(regexp_extract_all(d.c.alphabet, '.', 0), 0D, (a, l) -> a + power(d.c.n - char_length(replace(d.c.token, l, '')), 2)) / d.c.n - d.c.n AS chi))",
-        "c5": "transform(c4, c -> struct(c.start, c.stop, c.k, c.n, c.chi, (c.chi - (c.k - 1)) / sqrt(2D * (c.k - 1)) AS z_uniform,"
+        "c5": "transform(c4, c -> struct(c.start, c.stop, c.k, c.n, c.class, c.chi, (c.chi - (c.k - 1)) / sqrt(2D * (c.k - 1)) AS z_uniform,"
+        f" CASE c.k WHEN 16 THEN least({total(16, DIGITS)}, {total(16, 1 - STRAY)}) WHEN 32 THEN {total(32, STRAY)} END AS ratio,"
         " 2D * c.low * (c.n - c.low) / c.n AS m,"
         " 1 + aggregate(zip_with(slice(c.x, 1, c.n - 1), slice(c.x, 2, c.n - 1), (a, b) -> CASE WHEN (a < c.k / 2) = (b < c.k / 2) THEN 0 ELSE 1 END), 0, (a, v) -> a + v) AS runs,"
         " sqrt(c.n) * aggregate(zip_with(slice(c.x, 1, c.n - 1), slice(c.x, 2, c.n - 1), (a, b) -> (a - c.mean) * (b - c.mean)), 0D, (a, v) -> a + v)"
         "   / nullif(aggregate(c.x, 0D, (a, v) -> a + (v - c.mean) * (v - c.mean)), 0D) AS z_serial))",
         # a constant half or constant code has no variance and fails
-        "c6": "transform(c5, c -> struct(c.start, c.stop, c.n, c.z_uniform, c.z_serial, (c.runs - 1 - c.m) / nullif(sqrt(c.m * (c.m - 1) / (c.n - 1)), 0D) AS z_runs,"
-        f" {_normal(f'(c.chi - (c.k * (1 + (c.n - 1) * greatest({COLLIDE}D, 2D / c.k)) - c.n)) / sqrt(2D * (c.k - 1) + 4D * c.n * (c.k * greatest({COLLIDE}D, 2D / c.k) - 1))')} * cast(aggregate(c5, 0D, (a, v) -> a + v.n) AS double) / size(c5) / c.n AS p))",
-        "c7": f"filter(c6, c -> c.p <= array_max(transform(c6, r -> CASE WHEN r.p <= {RATE} * size(filter(c6, o -> o.p <= r.p)) / size(c6) THEN r.p ELSE -1D END)))",
+        "c6": "transform(c5, c -> struct(c.start, c.stop, c.n, c.class, c.z_uniform, c.z_serial, (c.runs - 1 - c.m) / nullif(sqrt(c.m * (c.m - 1) / (c.n - 1)), 0D) AS z_runs,"
+        f" CASE WHEN c.k < 64 THEN exp(-greatest(0D, least(c.ratio, 700D))) ELSE {_normal(f'(c.chi - (c.k * (1 + (c.n - 1) * {COLLIDE}D) - c.n)) / sqrt(2D * (c.k - 1) + 4D * c.n * (c.k * {COLLIDE}D - 1))')} END AS p))",
+        # by class: the p-values with their weights, and the largest that is reported
+        "families": "transform(filter(transform(array(0, 16, 32, 64), g -> filter(c6, c -> c.class = g)), f -> size(f) > 0), f -> transform(f, c -> struct(c.start, c.stop, c.z_uniform, c.z_serial, c.z_runs, c.p * cast(aggregate(f, 0D, (a, v) -> a + v.n) AS double) / size(f) / c.n AS p)))",
+        "cut": f"transform(families, f -> array_max(transform(f, r -> CASE WHEN r.p <= {RATE} * size(filter(f, o -> o.p <= r.p)) / size(f) THEN r.p ELSE -1D END)))",
+        "c7": "flatten(zip_with(families, cut, (f, t) -> filter(f, c -> c.p <= t)))",
         "random": f"transform(filter(c7, c -> coalesce(abs(c.z_uniform) <= {LIMIT} AND abs(c.z_runs) <= {LIMIT} AND abs(c.z_serial) <= {LIMIT}, false)), c -> struct(c.start AS start, 4 AS kind_order, c.stop AS stop, 'random' AS kind, '' AS token))",
     }
     kinds = {"c1": NONE, "c2": "array<struct<start:bigint,stop:bigint,token:string,k:int>>", "random": NONE}
