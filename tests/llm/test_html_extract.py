@@ -1,5 +1,7 @@
 """Main text extraction: held-out layouts, hand-written pages, broken markup."""
 
+import time
+
 import pytest
 
 from tidecount.llm import html_extract
@@ -37,6 +39,33 @@ def test_parse(page, want):
     assert runs(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<p class="a"">Hello <a href="x">there</a> more</p><p class="b">Second paragraph.</p><p>Third.</p>', ["Hello there more", "Second paragraph.", "Third."]),
+    ("<img alt=Tom's><p>First paragraph.</p><p>Second paragraph.</p>", ["First paragraph.", "Second paragraph."]),
+    ("<p x=Tom'hidden' =\"y>a</p><p a = 'b>c'>d</p>", ["a", "d"]),
+    ("<div><button>Menu<p>a</p></div><p>b</p>", ["Menu", "a", "b"]),
+    ("<div><button>Menu</div><p>a</p><button>no</button><p>b</p>", ["Menu", "a", "b"]),
+    ("<div><datalist><option>x</div><p>a</p><datalist>no</datalist>", ["x", "a"]),
+    ("<button>x<p>a</p><button>no</button><p>b", ["x", "a", "b"]),
+    ("<select><option>x</option><p>a</p><select><option>no</select><p>b", ["x", "a", "b"]),
+    ("<template><p>a</p><p>b</p>", ["a", "b"]),
+    ("<template><template>no</template><p>no</p></template><p>a", ["a"]),
+    ("<button><div>no</div></button><p>a", ["a"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> holds</p>", ["so x=1 holds"]),
+])
+def test_stray_quotes_and_unclosed_elements(page, want):
+    assert runs(page) == want
+
+
+def test_unclosed_elements_in_linear_time():
+    start = time.monotonic()
+    for tag in ("button", "template", "svg", "select"):
+        parse(f"<{tag}>" * 20_000 + "<p>a")
+    parse("<p a='" * 20_000)
+    parse("<p " + "a = " * 50_000)
+    assert time.monotonic() - start < 20
+
+
 def scores(pages):
     right = kept = there = 0
     got = extract([p for p, _ in pages], trained())

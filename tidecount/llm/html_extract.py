@@ -30,9 +30,9 @@ TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 700, 60, 4, 0.25, 32
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select button object canvas audio video map datalist".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg annotation annotation-xml select button object canvas audio video map datalist".split())
 OPAQUE = frozenset("script style textarea title iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img del".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img del math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
@@ -42,8 +42,13 @@ BAD = re.compile(r"comment|disqus|reply|footer|header|masthead|banner|menu|nav|c
 COMMENTS = re.compile(r"comment|disqus|reply|respond|discussion")
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|</[^>]*(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote delimits a value right after "=" only; elsewhere it is an ordinary character.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|$)|</[^>]*(?:>|$)",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>\"'][^\s>]*+))?+)?+")
 SPACE = re.compile(r"[\s ]+")
 
 
@@ -60,11 +65,40 @@ class Node:
         self.text = ""
 
 
+def _pairs(page: str, tag: str) -> dict[int, tuple[int, int]]:
+    """For the start of each start tag that has a matching end tag, where that begins and ends."""
+    out, opened = {}, []
+    for found in re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>", re.I).finditer(page):
+        if not found.group(1):
+            if tag in ("button", "select"):  # a second start tag ends the first element
+                opened.clear()
+            opened.append(found.start())
+        elif opened:
+            out[opened.pop()] = found.span()
+    return out
+
+
+def _left(page: str, at: int, end: int, stack: list[Node]) -> bool:
+    """Whether an end tag between ``at`` and ``end`` closes an element that is open at ``at``, and with it what was opened there."""
+    outer, inner = {n.tag for n in stack} - {"p"}, {}
+    for found in TOKEN.finditer(page, at, end):
+        tag = (found.group(2) or "").lower()
+        if found.group(1):
+            if inner.get(tag):
+                inner[tag] -= 1
+            elif tag in outer:
+                return True
+        elif tag:
+            inner[tag] = inner.get(tag, 0) + 1
+    return False
+
+
 def parse(page: str) -> Node:
     """The block tree of a page. Inline elements leave no node; white space inside a block becomes one space."""
     root = Node("#root", None)
     stack, inline, run = [root], [], None
     at, end = 0, len(page)
+    pairs: dict[str, dict[int, tuple[int, int]]] = {}
 
     def flush() -> None:
         nonlocal run
@@ -128,16 +162,12 @@ def parse(page: str) -> Node:
                 at = close.start() if close else end
                 shut = page.find(">", at)
                 at = shut + 1 if close and shut >= 0 else end
-            elif not closed:  # all up to the matching end tag
-                depth = 1
-                for other in re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>", re.I).finditer(page, at):
-                    depth += -1 if other.group(1) else 1
-                    if not depth:
-                        at = other.end()
-                        break
-                else:
-                    if tag not in ("svg", "math", "noscript", "object", "canvas", "audio", "video", "map"):
-                        at = end
+            elif not closed:  # all up to the matching end tag; without one, the start tag only
+                if tag not in pairs:
+                    pairs[tag] = _pairs(page, tag)
+                close, after = pairs[tag].get(found.start(), (at, at))
+                if tag not in ("button", "datalist") or not _left(page, at, close, stack):
+                    at = after
             continue
         flush()
         if tag in ENDS_P and stack[-1].tag == "p":
