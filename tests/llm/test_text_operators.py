@@ -103,6 +103,43 @@ def test_license_rules(docs, text, labels):
     assert license_scan.scan(docs([text])).first().labels == labels
 
 
+def test_license_alternatives_without_other_gate_words(docs):
+    texts = ["This file is proprietary and confidential.", "Unauthorized copying is forbidden.", "Photo: CC Attribution-ShareAlike 4.0"]
+    got = rows(license_scan.scan(docs(texts)))
+    assert [(got[i].labels, got[i].score) for i in range(2)] == [("proprietary", 0.7)] * 2
+    assert got[2].labels == "cc-by-sa-4.0" and got[2].score == 0.9
+
+
+def test_samples_of_all_license_rules_pass_gate_and_keywords():
+    r = random.Random(8)
+
+    def sample(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                kind, value = r.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else r.randint(*value))
+            elif name == "BRANCH":
+                out += sample(r.choice(arg[1]))
+            elif name == "SUBPATTERN":
+                out += sample(arg[3])
+            elif name == "MAX_REPEAT":
+                out += "".join(sample(arg[2]) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+            else:
+                assert name == "ASSERT", name
+        return out
+
+    for label, _, _, key, key2, pattern in license_scan.rules():
+        parsed = re._parser.parse(pattern)
+        for _ in range(30):
+            text = sample(parsed) + " "
+            assert re.search(pattern, text) and key in text and key2 in text, (label, text)
+            assert any(k in text for k in license_scan.GATE) or re.search(license_scan.SHORT, text), (label, text)
+
+
 def test_license_rules_fit_their_gate():
     rules = license_scan.rules()
     assert len(rules) > 200

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-# A text without any of these, and without "cc" before "by", "0" or "zero", is not looked at further. Every base phrase holds one.
-GATE = ("licen", "lizen", "copyright", "copyleft", "spdx", "domain", "dominio", "gemeinfrei", "reserved", "commons", "cc0", "gpl", "gnu", "bsd", "rail", "hereby", "redistribution", "permission", "warranty")
-SHORT = rf"cc[{OTHER}]+(?:by|0|zero)"
+# A text without any of these, and without "cc" before "by", "0", "zero" or "attribution", is not looked at further. Every base phrase holds one.
+GATE = ("licen", "lizen", "copyright", "copyleft", "spdx", "domain", "dominio", "gemeinfrei", "reserved", "commons", "cc0", "gpl", "gnu", "bsd", "rail", "hereby", "redistribution", "permission", "warranty", "proprietary", "copying")
+SHORT = rf"cc[{OTHER}]+(?:by|0|zero|attribution)"
 
 # Licence families, as label, pattern of the name in words, keyword of the name, versions, identifier in words.
 FAMILIES = (
@@ -84,7 +84,8 @@ NOTICES = (
     ("public-domain", "dominio público", "dominio", 0.6),
     ("public-domain", "gemeinfrei", "gemeinfrei", 0.6),
     ("proprietary", "all rights reserved", "reserved", 0.5),
-    ("proprietary", "(?:proprietary and confidential|unauthorized copying)", "copyright", 0.7),
+    ("proprietary", "proprietary and confidential", "proprietary", 0.7),
+    ("proprietary", "unauthorized copying", "copying", 0.7),
     ("unknown", "(?:is|are) licen[sc]ed under", "licen", 0.4),
     ("unknown", "sous licence", "licence", 0.4),
     ("unknown", "bajo (?:la )?licencia", "licencia", 0.4),
