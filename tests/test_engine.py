@@ -186,6 +186,17 @@ def test_ledger(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_ledger_deletion_of_days_stored_before(spark, tmp_path):
+    day = lambda d: dt.date(2025, 10, d)
+    table = lambda rows: spark.createDataFrame(rows, "seq long, user_id string, day date, op string, days array<date>")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.record(table([(1, "a", day(1), "+", []), (2, "a", day(8), "+", []), (3, "b", day(8), "+", [])]), C)
+    ledger.record(table([(4, "a", day(9), "-", [])]), C)
+    assert [r.day for r in ledger.active().collect()] == [day(8)]
+    assert [sorted(r.days) for r in ledger.erasures().collect()] == [[day(1), day(8), day(9)]]
+    assert ledger.replay() == [day(1), day(8), day(9)]
+
+
 def test_dynamic_overwrite(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.append(spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string"), path, "p")

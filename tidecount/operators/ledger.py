@@ -16,10 +16,10 @@ from ..sources.sinks import numbered as sinks_numbered
 from . import accountant, mechanisms, sketches, turnstile
 
 
-def activity(rows: DataFrame, config: Config) -> DataFrame:
+def activity(rows: DataFrame, config: Config, known: DataFrame | None = None) -> DataFrame:
     """The log that is stored: the rows and their tombstones under each day's own salt, with the erasure key."""
-    log = turnstile.expanded_log(rows)
-    source = turnstile.tombstones(rows).select("seq", "user_id", "day", "source_day")
+    log = turnstile.expanded_log(rows, known)
+    source = turnstile.tombstones(rows, known).select("seq", "user_id", "day", "source_day")
     log = log.join(source, ["seq", "user_id", "day"], "left")
     keyed = with_user_key(log, config.hash_salt_secret, config.hash_salt_rotation_days).withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
     note = F.when(F.col("step") == 1, F.to_json(F.struct(F.lit(True).alias("tombstone"), F.date_format("source_day", "yyyy-MM-dd").alias("source_day"))))
@@ -40,9 +40,16 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
 
     def record(self, rows: DataFrame, config: Config) -> None:
-        """Append turnstile rows, and a pending erasure for each deletion."""
-        append(activity(rows, config), f"{self.path}/activity", "day")
-        asked = turnstile.erasures(rows).withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
+        """Append turnstile rows, and a pending erasure for each deletion.
+
+        ``seq`` goes on from one call to the next. A deletion of all known days takes in those that are stored already.
+        """
+        users = rows.filter("op = '-' AND size(days) = 0").select("user_id").distinct().withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
+        # read before anything is appended
+        known = self.activity().join(users, "user_root").groupBy("user_id", "day").agg(F.min("seq").alias("first_seq"))
+        log, asked = activity(rows, config, known), turnstile.erasures(rows, known)
+        append(log, f"{self.path}/activity", "day")
+        asked = asked.withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
         append(asked.select("erasure_id", "user_root", "days", F.lit(True).alias("pending"), F.lit(0).cast("long").alias("version")), f"{self.path}/erasures")
 
     def activity(self, *days: str) -> DataFrame:

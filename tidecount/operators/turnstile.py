@@ -38,22 +38,25 @@ def known_days(rows: DataFrame) -> DataFrame:
     return _named(rows).groupBy("user_id", "day").agg(F.min("seq").alias("first_seq"))
 
 
-def tombstones(rows: DataFrame) -> DataFrame:
+def tombstones(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(seq, user_id, source_day, day): what each deletion removes, one row for each day.
 
-    A deletion without listed days removes all days of its user known by then. The join is on the user, whose days number
+    A deletion without listed days removes all days of its user known by then, from these rows or as ``known`` (user_id, day, first_seq). The join is on the user, whose days number
     as many as the calendar's.
     """
     gone = rows.filter("op = '-'").select("seq", "user_id", F.col("day").alias("source_day"), "days")
     listed = gone.filter("size(days) > 0").select("seq", "user_id", "source_day", F.explode(F.array_distinct(F.concat(F.array("source_day"), "days"))).alias("day"))
-    rest = gone.filter("size(days) = 0").drop("days").join(known_days(rows), "user_id").filter("first_seq <= seq").select("seq", "user_id", "source_day", "day")
+    days = known_days(rows)
+    if known is not None:
+        days = days.unionByName(known).groupBy("user_id", "day").agg(F.min("first_seq").alias("first_seq"))
+    rest = gone.filter("size(days) = 0").drop("days").join(days, "user_id").filter("first_seq <= seq").select("seq", "user_id", "source_day", "day")
     return listed.union(rest)
 
 
-def expanded_log(rows: DataFrame) -> DataFrame:
+def expanded_log(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(seq, step, user_id, day, op): the log with every deletion's tombstones right behind it."""
     base = rows.select("seq", F.lit(0).alias("step"), "user_id", "day", "op")
-    return base.union(tombstones(rows).select("seq", F.lit(1).alias("step"), "user_id", "day", F.lit("-").alias("op")))
+    return base.union(tombstones(rows, known).select("seq", F.lit(1).alias("step"), "user_id", "day", F.lit("-").alias("op")))
 
 
 def day_fold(log: DataFrame) -> DataFrame:
@@ -61,9 +64,9 @@ def day_fold(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "day").agg(F.max_by("op", F.struct("seq", "step")).alias("op")).filter("op = '+'").select("user_id", "day")
 
 
-def erasures(rows: DataFrame) -> DataFrame:
+def erasures(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(erasure_id, user_id, days): one audit row for each deletion, with its affected days in order."""
-    return tombstones(rows).groupBy(F.col("seq").alias("erasure_id"), "user_id").agg(F.array_sort(F.collect_set("day")).alias("days"))
+    return tombstones(rows, known).groupBy(F.col("seq").alias("erasure_id"), "user_id").agg(F.array_sort(F.collect_set("day")).alias("days"))
 
 
 def dirty_days(rows: DataFrame) -> DataFrame:
