@@ -86,6 +86,16 @@ def test_empty_log(spark):
     assert activity.window_count(pairs, "2025-10-01", 30).first().users == 0
 
 
+def test_zero_fill_counts_every_day(spark, tmp_path):
+    """From Friday to Tuesday, without events on Sunday."""
+    from tidecount.plans import queries
+
+    at = [dt.datetime(2025, 10, d, 9) for d in (3, 4, 4, 6, 7)]
+    rows = [(i, t, u, "view", 1.0, "{}") for i, (t, u) in enumerate(zip(at, (1, 1, 2, 1, 2), strict=True))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.day.day: r.users for r in queries.queries()["dau_zero_fill"](spark, str(tmp_path)).collect()} == {3: 1, 4: 2, 5: 0, 6: 1, 7: 1}
+
+
 def test_flips(spark):
     rows = [("a", 0, "+", []), ("a", 0, "-", []), ("a", 0, "+", []), ("b", 0, "+", []), ("b", 0, "+", []), ("c", 0, "-", [])]
     assert {r.user_id: r.flips for r in turnstile.flips(table(spark, rows)).collect()} == {"a": 3, "b": 1, "c": 0}

@@ -156,6 +156,13 @@ def dau_spine_zero_fill(spark, d):
     return activity.daily_filled(turnstile.active_pairs(rows).filter(F.weekday("day") < 5), rows)
 
 
+@query
+def dau_zero_fill(spark, d):
+    """All active pairs; ``dau_spine_zero_fill`` and its SQL leave out Saturdays and Sundays."""
+    rows = _rows(spark, d)
+    return activity.daily_filled(turnstile.active_pairs(rows), rows)
+
+
 @query
 def mau_single_end(spark, d):
     return activity.window_count(_pairs(spark, d), END_DAY, 30)
