@@ -1,6 +1,6 @@
 """From raw documents to a training mix: five stages, each over all rows that the one before it kept.
 
-1. ``quality_rules``: documents that the line-first rules reject go.
+1. ``quality_rules``: documents that the line-first rules reject go, and the failed lines of those that stay.
 2. ``ngram_jaccard``: one document of each group of near duplicates stays, the one with the smallest doc_id.
 3. ``decontaminate``: documents that hold a window of a benchmark item go.
 4. ``secrets``: secrets are replaced in place; no document goes.

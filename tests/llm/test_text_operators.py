@@ -70,6 +70,17 @@ def test_drop_rejected_keeps_columns(docs, prose):
     assert out.schema["text"].dataType == df.schema["text"].dataType
 
 
+def test_failed_lines_are_removed(docs, prose):
+    good, other = prose(1, 30).replace("\n", " "), prose(2, 25).replace("\n", " ")
+    dirty = f"Home | About | Contact\n{good}\nOne more line.\n\nOne more line.\nWe use cookies on this site.\n {other} é\n"
+    want = f"{good}\nOne more line.\n\n {other} é\n"
+    df = docs([dirty, want, "Home | About\n" * 30], extra=True)
+    got = rows(quality_rules.quality_rules(df))
+    assert got[0].cleaned == got[1].cleaned == want and got[2].cleaned is None
+    out = rows(quality_rules.drop_rejected(df))
+    assert {i: (r.text, r.n_chars) for i, r in out.items()} == {0: (want, len(want)), 1: (want, len(want))}
+
+
 # --- licences
 
 

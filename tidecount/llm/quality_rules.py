@@ -10,7 +10,7 @@ A line fails when one of these holds (a line without a word is neither kept nor
 * ``fragment``: fewer than three words and no end mark
 * ``repeated``: equal to an earlier line of the document
 
-A document is kept when the base rules pass and its failed lines hold at most half of its words.
+A document is kept when the base rules pass and its failed lines hold at most half of its words. Its failed lines are then removed.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ MAX_LOST = 0.5
 WINDOW = 8
 _POWERS = mix(np.arange(1, WINDOW + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, n_failed_words long"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, n_failed_words long, cleaned binary"
 
 
 def repeated_words(words: list[bytes], ends: np.ndarray) -> np.ndarray:
@@ -95,10 +95,10 @@ def failure(line: str, words: list[str]) -> str | None:
     return None
 
 
-def clean_lines(text: str) -> tuple[list[str], list[tuple[str, str]], int]:
-    """The lines that stay, the failed ones with their rule, and the number of words in the failed ones."""
-    kept, failed, lost, seen = [], [], 0, set()
-    for line in text.split("\n"):
+def _walk(text: str) -> tuple[list[str], list[tuple[str, str]], int, set[int]]:
+    """As ``clean_lines``, with the failed lines' places."""
+    kept, failed, lost, places, seen = [], [], 0, set(), set()
+    for i, line in enumerate(text.split("\n")):
         words = re.findall(r"[^\x20\t-\r]+", line)
         if not words:
             continue
@@ -106,10 +106,21 @@ def clean_lines(text: str) -> tuple[list[str], list[tuple[str, str]], int]:
         seen.add(line)
         if rule:
             failed.append((line, rule))
+            places.add(i)
             lost += len(words)
         else:
             kept.append(line)
-    return kept, failed, lost
+    return kept, failed, lost, places
+
+
+def clean_lines(text: str) -> tuple[list[str], list[tuple[str, str]], int]:
+    """The lines that stay, the failed ones with their rule, and the number of words in the failed ones."""
+    return _walk(text)[:3]
+
+
+def _cleaned(raw: bytes, places: set[int]) -> bytes:
+    """``raw`` without the lines at these places; the others, those without a word too, stay as they are."""
+    return b"\n".join(line for i, line in enumerate(raw.split(b"\n")) if i not in places) if places else raw
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,20 +133,21 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = (raw or b"").decode("utf-8", "replace")
             lines = [x for x in text.split("\n") if x.strip(SPACES)]
             bad = n < 20 or 100 * again > 30 * n
-            failed, lost = ([], 0) if bad else clean_lines(text)[1:]
-            rows.append((n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), again, bad, not bad and lost <= MAX_LOST * n, len(lines), len(failed), lost))
+            failed, lost, places = ([], 0, set()) if bad else _walk(text)[1:]
+            kept = not bad and lost <= MAX_LOST * n
+            rows.append((n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), again, bad, kept, len(lines), len(failed), lost, _cleaned(raw, places) if kept else None))
         columns = [list(c) for c in zip(*rows, strict=True)]
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 3 + [pa.binary()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, ...)``: counts, ``base_failed`` and ``kept``. No shuffle.
+    """One row for each row of ``docs(doc_id, text, ...)``: counts, ``base_failed``, ``kept`` and ``cleaned``, the text without failed lines. No shuffle.
 
     Null and empty texts have no words, so they fail the base rules. Failed lines are counted
-    only where the base rules pass. Other columns of ``docs`` are ignored; repeated rows give repeated results.
+    only where the base rules pass; ``cleaned`` is null where the document isn't kept. Other columns of ``docs`` are ignored; repeated rows give repeated results.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw")).mapInArrow(_judge, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw")).mapInArrow(_judge, SCHEMA).withColumn("cleaned", F.col("cleaned").cast("string"))
 
 
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +155,23 @@ def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raws = [raw or b"" for raw in batch.column("text").to_pylist()]
         words, ends = join_words(raws, space_words)
         repeats = repeated_words(words, ends)
-        keep = [
-            not (n < 20 or 100 * again > 30 * n) and clean_lines(raw.decode("utf-8", "replace"))[2] <= MAX_LOST * n
-            for raw, n, again in zip(raws, np.diff(ends).tolist(), repeats.tolist(), strict=True)
-        ]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        keep, new = [], []
+        for raw, n, again in zip(raws, np.diff(ends).tolist(), repeats.tolist(), strict=True):
+            bad = n < 20 or 100 * again > 30 * n
+            lost, places = (0, set()) if bad else _walk(raw.decode("utf-8", "replace"))[2:]
+            keep.append(not bad and lost <= MAX_LOST * n)
+            new.append(_cleaned(raw, places) if keep[-1] else None)
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, with all columns as they were."""
+    """The rows of ``docs`` whose text the rules keep, without the text's failed lines; ``n_chars`` is brought up to date where lines went."""
     raw = docs.withColumn("text", as_bytes())
-    return raw.mapInArrow(_accept, raw.schema).withColumn("text", F.col("text").cast("string"))
+    if "n_chars" not in docs.columns:
+        return raw.mapInArrow(_accept, raw.schema).withColumn("text", F.col("text").cast("string"))
+    marked = raw.withColumn("size_before_", F.octet_length("text"))
+    out = marked.mapInArrow(_accept, marked.schema)
+    gone = F.octet_length("text") < F.col("size_before_")
+    out = out.withColumn("n_chars", F.when(gone, F.char_length(F.col("text").cast("string")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("text").cast("string")).drop("size_before_")

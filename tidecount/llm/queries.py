@@ -25,7 +25,7 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents"))
+    return quality_rules(read_table(spark, sf_dir, "documents")).drop("cleaned")  # its SQL has the counts and the verdict
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
