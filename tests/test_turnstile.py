@@ -96,6 +96,13 @@ def test_zero_fill_counts_every_day(spark, tmp_path):
     assert {r.day.day: r.users for r in queries.queries()["dau_zero_fill"](spark, str(tmp_path)).collect()} == {3: 1, 4: 2, 5: 0, 6: 1, 7: 1}
 
 
+def test_registered_workloads_have_their_full_size(spark):
+    from tidecount.plans import queries
+
+    made = queries.queries()
+    assert made["simulated_workload"](spark, "").count() == 60 and made["adversarial_workload"](spark, "").count() == 500
+
+
 def test_flips(spark):
     rows = [("a", 0, "+", []), ("a", 0, "-", []), ("a", 0, "+", []), ("b", 0, "+", []), ("b", 0, "+", []), ("c", 0, "-", [])]
     assert {r.user_id: r.flips for r in turnstile.flips(table(spark, rows)).collect()} == {"a": 3, "b": 1, "c": 0}

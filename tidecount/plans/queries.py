@@ -519,17 +519,17 @@ def synthetic_workload(spark, d):
 
 @query
 def simulated_workload(spark, d):
-    return activity.daily(turnstile.active_pairs(workloads.simulate(spark, 500, 20)))
+    return activity.daily(turnstile.active_pairs(workloads.simulate(spark)))
 
 
 @query
 def adversarial_workload(spark, d):
-    return turnstile.flips(workloads.adversarial(spark, 200))
+    return turnstile.flips(workloads.adversarial(spark))
 
 
 @query
 def beta_workload(spark, d):
-    return activity.daily(turnstile.active_pairs(workloads.beta_population(spark, 1000)))
+    return activity.daily(turnstile.active_pairs(workloads.beta_population(spark)))
 
 
 @query
