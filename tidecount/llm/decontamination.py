@@ -218,7 +218,7 @@ def _pass(index: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, and n_near_items.
 
-    Null and empty texts have no words and no hits; items without words match nothing; repeated item_ids
+    Null and empty texts have no words and no hits; items without words, and items with a null item_id, match nothing, as in the SQL; repeated item_ids
     count once; repeated rows give repeated results. An empty benchmark leaves every document clean.
     """
     return search(build_index(docs), benchmark).select(
@@ -229,7 +229,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no window of an item occurs, with all columns as they were.
+    """The rows of ``docs`` in whose text no window of an item with an item_id occurs, with all columns as they were.
 
     Each task indexes the texts it reads and drops rows at once, so that whole texts need not be joined with a stored index's matches.
     """
