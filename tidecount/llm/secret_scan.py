@@ -37,20 +37,38 @@ DIGITS = 0.1  # share of digits in words written in hexadecimal
 STRAY = 0.03  # share of letters in numbers, and of digits in words written in base 32
 LIMIT = 3.29  # two-sided 0.1 %
 RATE = 0.01
-NONE = "array<struct<start:bigint,kind_order:int,stop:bigint,kind:string,token:string>>"
+CHUNK = 256  # elements that a running fold gathers at a time
 
 
-def _spans(pattern: str, kind: str, order: int, least: str = "true", group: int = 0) -> str:
-    """SQL for the spans of ``pattern`` in ``text``, by code point: pieces between matches and the matches' lengths add up."""
-    quoted = "r'" + pattern.replace("'", "\\x27") + "'"
-    return f"""
-      filter(aggregate(
-        arrays_zip(slice(split(text, {quoted}, -1), 1, size(regexp_extract_all(text, {quoted}, 0))), regexp_extract_all(text, {quoted}, 0), regexp_extract_all(text, {quoted}, {group})),
-        struct(0L AS at, cast(array() AS {NONE}) AS found),
-        (a, x) -> struct(
-          a.at + char_length(x.`0`) + char_length(x.`1`) AS at,
-          concat(a.found, array(struct(a.at + char_length(x.`0`) AS start, {order} AS kind_order, a.at + char_length(x.`0`) + char_length(x.`1`) AS stop, '{kind}' AS kind, x.`2` AS token))) AS found),
-        a -> a.found), x -> {least})"""
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
+def _running(rows: DataFrame, name: str, values: str, step, zero: str = "0L") -> DataFrame:
+    """Adds ``name``: for each element ``v`` of an array of longs the fold ``a`` of those before it, by an associative ``step``.
+
+    Arrays are folded a chunk at a time, as each appended element copies what a fold has gathered.
+    """
+    kept = lambda array, start: f"aggregate({array}, struct({start} AS a, cast(array() AS array<bigint>) AS out), (s, v) -> struct({step('s.a', 'v')} AS a, concat(s.out, array(s.a)) AS out), s -> s.out)"
+    rows = rows.withColumn("parts_", F.expr(f"transform(sequence(0, cast(size({values}) div {CHUNK} AS int)), i -> slice({values}, i * {CHUNK} + 1, {CHUNK}))"))
+    rows = rows.withColumn("heads_", F.expr(kept(f"transform(parts_, p -> aggregate(p, {zero}, (a, v) -> {step('a', 'v')}))", zero)))
+    return rows.withColumn(name, F.expr(f"flatten(zip_with(parts_, heads_, (p, h) -> {kept('p', 'h')}))")).drop("parts_", "heads_")
+
+
+SUM, MOST, LEAST = "{} + {}".format, "greatest({}, {})".format, "least({}, {})".format
+
+
+def _spans(rows: DataFrame, name: str, pattern: str, kind: str, order: int, length: str, least: str = "true", group: int = 0) -> DataFrame:
+    """Adds ``name``: the spans of ``pattern`` in ``text``, measured by the function ``length``: pieces between matches and the matches' lengths add up."""
+    quoted = _quoted(pattern)
+    rows = rows.withColumn("m_", _gated(f"regexp_extract_all(text, {quoted}, 0)", "array<string>"))
+    rows = rows.withColumn("g_", _gated(f"regexp_extract_all(text, {quoted}, {group})", "array<string>") if group else F.col("m_"))
+    rows = rows.withColumn("gap_", F.expr(f"CASE WHEN size(m_) > 0 THEN transform(slice(split(text, {quoted}, -1), 1, size(m_)), x -> cast({length}(x) AS bigint)) ELSE cast(array() AS array<bigint>) END"))
+    rows = rows.withColumn("both_", F.expr(f"zip_with(gap_, m_, (g, m) -> g + {length}(m))"))
+    rows = _running(rows, "at_", "both_", SUM)
+    # columns are arguments only, never inside a lambda: there the optimiser may put their definitions, to be worked out for each element
+    found = f"transform(arrays_zip(zip_with(at_, gap_, (a, g) -> a + g), zip_with(at_, both_, (a, b) -> a + b), g_), x -> struct(x.`0` AS start, {order} AS kind_order, x.`1` AS stop, '{kind}' AS kind, x.g_ AS token))"
+    return rows.withColumn(name, F.expr(f"filter({found}, x -> {least})")).drop("m_", "g_", "gap_", "both_", "at_")
 
 
 def _scores(k: int, digits: float) -> str:
@@ -72,14 +90,23 @@ def _normal(z: str) -> str:
     return f"(1 / (1 + exp(-least(greatest(1.5976 * ({z}) + 0.07056 * ({z}) * ({z}) * ({z}), -700D), 700D))))"
 
 
-def _random(rows: DataFrame) -> DataFrame:
-    """Adds ``random``: spans of candidates that pass the battery."""
+def _untouched(rows: DataFrame) -> DataFrame:
+    """Adds ``c1``: the candidates that no base span overlaps. Both are put in order once; running extremes then tell the last end before each and the first start after it."""
+    rows = rows.withColumn("line_", F.expr("array_sort(concat(transform(base, b -> struct(b.start AS start, 0 AS own, b.stop AS stop, '' AS token)), transform(runs, c -> struct(c.start AS start, 1 AS own, c.stop AS stop, c.token AS token))))"))
+    rows = rows.withColumn("ends_", F.expr("transform(line_, x -> if(x.own = 0, x.stop, 0L))"))
+    rows = rows.withColumn("starts_", F.expr("reverse(transform(line_, x -> if(x.own = 0, x.start, 9223372036854775807L)))"))
+    rows = _running(_running(rows, "before_", "ends_", MOST), "after_", "starts_", LEAST, "9223372036854775807L").withColumn("after_", F.expr("reverse(after_)"))
+    return rows.withColumn("c1", F.expr("transform(filter(arrays_zip(line_, before_, after_), x -> x.line_.own = 1 AND x.before_ <= x.line_.start AND x.after_ >= x.line_.stop), x -> x.line_)")).drop("line_", "ends_", "starts_", "before_", "after_")
+
+
+def _random(rows: DataFrame, length: str) -> DataFrame:
+    """Adds ``random``: spans of candidates that pass the battery. Time is in proportion to the text, but for sorting."""
     alphabet = "CASE c.k " + " ".join(f"WHEN {k} THEN '{letters}'" for k, letters in ALPHABETS.items()) + " END"
     total = lambda k, digits: f"aggregate(transform(c.x, v -> {_scores(k, digits)}[cast(v AS int)]), 0D, (a, v) -> a + v)"
+    # runs that no base span touches, without padding, with the size of their alphabet
+    rows = _untouched(_spans(rows, "runs", CANDIDATE, "random", 4, length))
     steps = {
-        # runs that no base span touches, without padding, with the size of their alphabet
-        "c1": f"filter({_spans(CANDIDATE, 'random', 4)}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))",
-        "c2": "transform(c1, c -> struct(c.start, c.stop, trim(TRAILING '=' FROM c.token) AS token, CASE WHEN c.token RLIKE '^[0-9]+$' THEN 10 WHEN c.token RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16 WHEN c.token RLIKE '^[A-Z2-7]+=*$' THEN 32 ELSE 64 END AS k))",
+        "c2": "transform(c1, c -> struct(c.start, c.stop, trim(TRAILING '=' FROM c.token) AS token, CASE WHEN c.token RLIKE '^[0-9]+=*$' THEN 10 WHEN c.token RLIKE '^([0-9a-f]+|[0-9A-F]+)=*$' THEN 16 WHEN c.token RLIKE '^[A-Z2-7]+=*$' THEN 32 ELSE 64 END AS k))",
         "c3": f"transform(filter(c2, c -> c.k > 10 AND char_length(c.token) >= 16), c -> struct(c.start, c.stop, c.k, char_length(c.token) AS n, CASE c.k WHEN 16 THEN lower(c.token) WHEN 32 THEN c.token ELSE translate(c.token, '-_', '+/') END AS token, {alphabet} AS alphabet, CASE WHEN c.k < 64 THEN c.k WHEN c.token RLIKE '^([^0-9A-Z]+|[^0-9a-z]+)$' THEN 0 ELSE 64 END AS class))",
         # one scan of the token for each letter counts it; codes come from one split, as picking letters by place would be quadratic
         "c4": "transform(transform(c3, c -> struct(c AS c, transform(regexp_extract_all(c.token, '.', 0), l -> cast(instr(c.alphabet, l) - 1 AS double)) AS x)), d -> struct(d.c.start, d.c.stop, d.c.k, d.c.n, d.c.class, d.x, aggregate(d.x, 0D, (a, v) -> a + v) / d.c.n AS mean, size(filter(d.x, v -> v < d.c.k / 2)) AS low,"
@@ -93,23 +120,29 @@ def _random(rows: DataFrame) -> DataFrame:
         # a constant half or constant code has no variance and fails
         "c6": "transform(c5, c -> struct(c.start, c.stop, c.n, c.class, c.z_uniform, c.z_serial, (c.runs - 1 - c.m) / nullif(sqrt(c.m * (c.m - 1) / (c.n - 1)), 0D) AS z_runs,"
         f" CASE WHEN c.k < 64 THEN exp(-greatest(0D, least(c.ratio, 700D))) ELSE {_normal(f'(c.chi - (c.k * (1 + (c.n - 1) * {COLLIDE}D) - c.n)) / sqrt(2D * (c.k - 1) + 4D * c.n * (c.k * {COLLIDE}D - 1))')} END AS p))",
-        # by class: the p-values with their weights, and the largest that is reported
-        "families": "transform(filter(transform(array(0, 16, 32, 64), g -> filter(c6, c -> c.class = g)), f -> size(f) > 0), f -> transform(f, c -> struct(c.start, c.stop, c.z_uniform, c.z_serial, c.z_runs, c.p * cast(aggregate(f, 0D, (a, v) -> a + v.n) AS double) / size(f) / c.n AS p)))",
-        "cut": f"transform(families, f -> array_max(transform(f, r -> CASE WHEN r.p <= {RATE} * size(filter(f, o -> o.p <= r.p)) / size(f) THEN r.p ELSE -1D END)))",
+        # by class: the mean length, then the p-values with their weights, then these in order and the largest that is reported
+        "classes": "transform(filter(transform(array(0, 16, 32, 64), g -> filter(c6, c -> c.class = g)), f -> size(f) > 0), f -> struct(f AS f, cast(aggregate(f, 0D, (a, v) -> a + v.n) AS double) / size(f) AS usual))",
+        "families": "transform(classes, g -> transform(g.f, c -> struct(c.start, c.stop, c.z_uniform, c.z_serial, c.z_runs, c.p * g.usual / c.n AS p)))",
+        "ranked": "transform(families, f -> array_sort(transform(f, c -> c.p)))",
+        "cut": f"transform(ranked, f -> array_max(transform(f, (p, i) -> CASE WHEN p <= {RATE}D * (i + 1) / size(f) THEN p ELSE -1D END)))",
         "c7": "flatten(zip_with(families, cut, (f, t) -> filter(f, c -> c.p <= t)))",
         "random": f"transform(filter(c7, c -> coalesce(abs(c.z_uniform) <= {LIMIT} AND abs(c.z_runs) <= {LIMIT} AND abs(c.z_serial) <= {LIMIT}, false)), c -> struct(c.start AS start, 4 AS kind_order, c.stop AS stop, 'random' AS kind, '' AS token))",
     }
-    kinds = {"c1": NONE, "c2": "array<struct<start:bigint,stop:bigint,token:string,k:int>>", "random": NONE}
     for name, step in steps.items():
-        rows = rows.withColumn(name, _gated(step, kinds[name]) if name == "c1" else F.expr(step))
-    return rows.drop(*(name for name in steps if name != "random"))
+        rows = rows.withColumn(name, F.expr(step))
+    return rows.drop("runs", "c1", *(name for name in steps if name != "random"))
+
 
+def secret_spans(docs: DataFrame, length: str = "char_length") -> DataFrame:
+    """``docs`` with ``base`` and ``random``: sorted arrays of (start, kind_order, stop, kind, token); ``text`` null becomes empty.
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``random``: sorted arrays of (start, kind_order, stop, kind, token); ``text`` null becomes empty."""
+    Places are code points, or bytes of the UTF-8 text with ``length`` as ``octet_length``.
+    """
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("gate", F.col("text").rlike(GATE))
-    base = "array_sort(concat(" + ", ".join((_spans(ASSIGN, "assign", 1, "char_length(x.token) >= 6", 2), _spans(ACCESS, "access", 2), _spans(HEX, "hex", 3))) + "))"
-    return _random(rows.withColumn("base", _gated(base, NONE))).drop("gate")
+    rows = _spans(rows, "b1", ASSIGN, "assign", 1, length, "char_length(x.token) >= 6", 2)
+    rows = _spans(_spans(rows, "b2", ACCESS, "access", 2, length), "b3", HEX, "hex", 3, length)
+    rows = rows.withColumn("base", F.expr("array_sort(concat(b1, b2, b3))")).drop("b1", "b2", "b3")
+    return _random(rows, length).drop("gate")
 
 
 def _listed(spans: str) -> str:
@@ -130,15 +163,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The rows of ``docs`` with each secret in ``text`` replaced by ``mark`` (overlapping ones by one), and ``n_chars`` brought up to date."""
+    """The rows of ``docs`` with each secret in ``text`` replaced by ``mark`` (overlapping ones by one), and ``n_chars`` brought up to date.
+
+    Null and empty texts stay as they are, repeated rows change alike, an empty table gives no rows.
+    """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = secret_spans(docs.select(whole.alias("row"), F.col("text")))
-    fold = f"""
-      aggregate(array_sort(concat(base, random)), struct(0L AS at, cast(array() AS array<string>) AS out),
-        (a, x) -> struct(greatest(a.at, x.stop) AS at,
-          CASE WHEN x.start >= a.at THEN concat(a.out, array(substring(text, cast(a.at + 1 AS int), cast(x.start - a.at AS int)), '{mark}')) ELSE a.out END AS out),
-        a -> concat(array_join(a.out, ''), substring(text, cast(a.at + 1 AS int))))"""
-    new = F.when(F.expr("size(base) + size(random) > 0"), F.expr(fold)).otherwise(F.col("row.text"))
+    rows = secret_spans(docs.select(whole.alias("row"), F.col("text")), "octet_length")
+    rows = rows.withColumn("every", F.expr("array_sort(concat(base, random))")).withColumn("ends", F.expr("transform(every, x -> x.stop)"))
+    rows = _running(rows, "before", "ends", MOST).withColumn("raw", F.col("text").cast("binary"))
+    # a span that begins inside an earlier one is part of its mark
+    pieces = f"transform(filter(zip_with(every, before, (x, b) -> struct(b AS a, x.start AS b)), p -> p.b >= p.a), p -> concat(cast(substring(raw, cast(p.a + 1 AS int), cast(p.b - p.a AS int)) AS string), '{mark}'))"
+    new = F.when(F.expr("size(every) > 0"), F.expr(f"concat(array_join({pieces}, ''), cast(substring(raw, cast(array_max(ends) + 1 AS int)) AS string))")).otherwise(F.col("row.text"))
     out = rows.select("row", new.alias("new"))
     columns = [F.col("new").alias("text") if c == "text" else F.when(F.col("new").eqNullSafe(F.col("row.text")), F.col("row.n_chars")).otherwise(F.char_length("new").cast(docs.schema["n_chars"].dataType)).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return out.select(*columns)
