@@ -91,22 +91,22 @@ def shingles(text):
 
 
 def brute_components(rows):
-    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    """Rows that share a doc_id are one document."""
+    sets, parent = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+    for k, (a, one) in enumerate(sets):
+        for b, two in sets[:k]:
+            if one and two and find(a) != find(b):
+                both = len(one & two)
+                if 100 * both >= 75 * (len(one) + len(two) - both):
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(s), find(i)) for i, s in sets}
 
 
 def near(r, base, rate):
@@ -136,12 +136,48 @@ def test_components_match_brute_force(docs, family):
     check(docs(family, extra=True), family)
 
 
-def test_tiles_and_oversize_bands(docs, family, monkeypatch):
+def test_small_tiles(docs, family, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 2000)
-    monkeypatch.setattr(ngram_join, "OVERSIZE", 3)
+    monkeypatch.setattr(ngram_join, "MEMBER", 20)
     check(docs(family), family)
 
 
+def test_leftover_tiles_alone_find_all_links(docs, family, monkeypatch):
+    """Without the leaders' rounds everything goes through size-banded tiles."""
+    empty = lambda pairs: pairs.selectExpr("id", "id AS grp", "0 AS side", "'' AS tile").limit(0)
+    monkeypatch.setattr(ngram_join, "_stars", empty)
+    monkeypatch.setattr(ngram_join, "ALONE", 1)
+    monkeypatch.setattr(ngram_join, "TILE", 3000)
+    base = [f"w{i}" for i in range(60)]
+    rows = [*family, *((7000 + i, " ".join([*base[i : i + 40], *(f"z{i}_{k}" for k in range(5))])) for i in range(0, 20, 2)), *((8000 + i, " ".join([*base, "end", str(i)])) for i in range(5))]
+    check(docs(rows), rows)
+
+
+def test_one_doc_id_with_several_texts(docs, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, prose(3, 30)), (4, ""), (5, None), (5, prose(3, 30) + " z")]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in ngram_join.similarity_components(docs(order)).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (5, 5)]
+        assert sorted(r.doc_id for r in ngram_join.keep_one(docs(order)).collect()) == [1, 4, 5]
+    assert {r.text for r in ngram_join.keep_one(docs(rows)).collect()} == {r.text for r in ngram_join.keep_one(docs(rows[::-1])).collect()}
+
+
+def test_bitmaps_bound_the_overlap_from_above():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 3000):
+        pool = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        sets = [np.unique(r.choice(pool, n, replace=False)) for _ in range(12)] + [np.unique(np.append(r.choice(pool, n, replace=False), pool[:1]))]
+        base = np.unique(pool[:n])
+        sets += [np.unique(np.append(base[k:], r.integers(0, 2**63, k, dtype=np.uint64))) for k in range(0, n // 2, max(1, n // 20))]
+        size = np.array([len(s) for s in sets])
+        got = ngram_join.partners([ngram_join._bitmap(s, ngram_join._bits(len(s))).tobytes() for s in sets], size, None, np.arange(len(sets)), 75)
+        for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert got[i] and got[j]
+
+
 def test_links_at_exactly_the_threshold():
     a = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sets = [np.sort(a[:6]), np.sort(np.append(a[1:6], a[6])), np.sort(a[:7]), np.zeros(0, np.uint64)]  # 5/7, 6/7

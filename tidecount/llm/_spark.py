@@ -9,6 +9,8 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,28 @@ def share(spark: SparkSession, value):
 
     get.drop = sent.unpersist
     return get
+
+
+BITS = 26
+
+
+def bit_filter(keys: DataFrame, column: str):
+    """Which values of a long column may be among ``keys``, as 2^26 bits (8 MB whatever the input): a broadcast for ``among``."""
+    at = F.pmod(F.col(column), F.lit(1 << BITS))
+    rows = keys.groupBy((at.cast("long") / 32768).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((at % 32768).cast("long")).alias("bits")).collect()  # at most 2048
+    held = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in rows:
+        held[r.bucket * 4096 : r.bucket * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
+    return share(keys.sparkSession, held)
+
+
+def among(rows: DataFrame, column: str, bits) -> DataFrame:
+    """The rows whose ``column`` may be among the keys of a ``bit_filter``; all of them that are, and few others while the keys are few against 2^26."""
+
+    def run(batches):
+        held = bits()
+        for batch in batches:
+            at = batch.column(column).to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

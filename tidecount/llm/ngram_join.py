@@ -1,18 +1,19 @@
 """Similarity join on word shingles: documents whose Jaccard similarity reaches a threshold, and their components.
 
-1. Each text becomes the sorted set of its distinct shingle hashes. Equal sets collapse to one class,
-   represented by its smallest doc_id, so copies are never paired with each other.
-2. Minhash bands propose which classes may link (40 bands of 3 minhashes: a pair at similarity 0.75
-   meets in none of them with probability below 4e-10; no cap on a band's size). Inside a band, classes whose
-   120 minhashes agree in under 45 % are set apart (a linked pair falls there with probability below 1e-12).
-   What remains connected is a candidate group: a superset of the linked components.
-3. A candidate group is joined in size-banded tiles of bounded total size. In a tile each set has a hashed
-   bitmap; the bits set in one bitmap and not in the other bound the overlap from above, pairs that can
-   still reach the threshold are settled by an exact intersection of the sorted arrays, and pairs already
-   connected in the tile are skipped. Tiles return spanning edges only, never all pairs.
-4. Connected components of those edges.
-
-Null and empty texts have the empty set and link with nothing. Rows that share a doc_id count as one document.
+1. Each text becomes the sorted set of its distinct shingle hashes. Equal sets collapse to one class, so copies are never
+   paired with each other. A class keeps a hashed bitmap of its set (two to four bits a shingle).
+2. Classes that share a band key (40 keys of 3 minhashes) share a tile. A pair at similarity 0.75 has no common key with
+   probability below 4e-10; that is the only chance in the method, and no tile is capped.
+3. A tile's members are first compared with its smallest member alone: with one such leader each, then, where that left
+   two members of a tile unconnected, with its other leaders. Work and copies of sets grow with the members, not with their pairs.
+4. Tiles whose members are still not all connected are cut by size band; where one is large, by hash too, into tiles that meet in
+   pairs. The bitmaps alone cross that exchange: bits set in one and not in the other bound the overlap from above.
+   Only members with a partner within the bound, and not connected with it, go on to exact intersections of the sorted arrays.
+   Tiles return spanning edges only, never all pairs.
+5. Connected components of those edges, and of the classes that rows of one doc_id hold.
+
+Null and empty texts have the empty set and link with nothing. Rows that share a doc_id are one document: what links with any of its texts links
+with it, whatever the order of the rows; its rows without words keep its own doc_id.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import as_bytes, materialise
+from ._spark import among, as_bytes, bit_filter, materialise
 from ._text import U, chunks, hash_words, join_words, mix, space_words
 from .components import components
 
 BANDS, ROWS = 40, 3
-AGREE = 54  # of BANDS * ROWS minhashes
-OVERSIZE = 512  # members of a band that are compared; a larger band is united as it is
-TILE = 400_000  # shingles in a tile
+TILE = 400_000  # shingles in a tile, a member counting as MEMBER of them at least
+MEMBER = 200
+ALONE = 2  # members of a tile whose leader settles it
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _SEED.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -59,6 +60,17 @@ def shingle_sets(raws: list[bytes | None], width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def _bits(n: int) -> int:
+    return 1 << max(8, min(17, math.ceil(math.log2(2 * n))))
+
+
+def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """A set's hashed bitmap; half as many bits are the two halves of it, joined by or."""
+    flags = np.zeros(bits, bool)
+    flags[(s >> U(40)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(flags, bitorder="little")
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "raw"):
@@ -79,79 +91,62 @@ def _signatures(width: int):
             for r in range(ROWS):
                 bands += least[:, r::ROWS] * _POWERS[32 + r]
             bands = mix(bands + np.arange(BANDS, dtype=U) * _POWERS[40])
-            sig = (least >> U(56)).astype(np.uint8)
-            offsets = pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                    pa.array([row.tobytes() for row in sig], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64))),
+                    batch.column("doc_id"), batch.column("t"), batch.column("u"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                    pa.array([_bitmap(s, _bits(len(s))).tobytes() if len(s) else b"" for s in sets], pa.binary()), pa.array([row.tobytes() for row in bands], pa.binary()),
                 ],
-                ["doc_id", "n", "d1", "d2", "sig", "bands"],
+                [c.split()[0] for c in SIGNED.split(", ")],
             )
 
     return run
 
 
+SIGNED = "doc_id long, t long, u long, n long, d1 long, d2 long, bitmap binary, bands binary"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, id) for each key of each class."""
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], ["band", "id"])
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "raw"):
+            sets = shingle_sets(batch.column("raw").to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "held"])
+
+    return run
+
+
 class _Forest:
     """Components of a few rows, each with the smallest row as its label."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, labels: np.ndarray):
+        self.label = np.unique(labels, return_index=True, return_inverse=True)
+        self.label = self.label[1][self.label[2]]
 
     def join(self, i: int, j: int) -> None:
         a, b = sorted((self.label[i], self.label[j]))
         self.label[self.label == b] = a
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each band's members: spanning edges between those whose signatures agree enough."""
-    for batch in batches:
-        left, right = [], []
-        for members in batch.column("members").to_pylist():
-            ids = [m["rep"] for m in members]
-            sigs = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(ids), -1)
-            forest = _Forest(len(ids))
-            for i in range(len(ids) - 1):
-                for j in np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(1) >= AGREE) + i + 1:
-                    if forest.label[i] != forest.label[j]:
-                        forest.join(i, j)
-                        left.append(ids[i])
-                        right.append(ids[j])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold every linked pair of classes."""
-    spread = reps.select("rep", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    rows = materialise(spread.join(shared, "band"))
-    large = rows.filter(F.col("c") > OVERSIZE)
-    star = large.join(large.groupBy("band").agg(F.min("rep").alias("a")), "band").select("a", F.col("rep").alias("b"))
-    groups = rows.filter(F.col("c") <= OVERSIZE).groupBy("band").agg(F.array_sort(F.collect_set("rep")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
-    # the same members met in many bands: one group of them is enough
-    members = groups.select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("rep")).join(reps.select("rep", "sig"), "rep")
-    tested = members.groupBy("g").agg(F.collect_list(F.struct("rep", "sig")).alias("members")).select("members").mapInArrow(_agreeing, "a long, b long")
-    return star.filter("a <> b").union(tested).distinct()
-
-
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    bits = 1 << max(8, min(17, math.ceil(math.log2(4 * max(len(s) for s in sets)))))
-    out = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, s in zip(out, sets, strict=True):
-        flags = np.zeros(bits, bool)
-        flags[(s >> U(40)).astype(np.int64) & (bits - 1)] = True
-        row[:] = np.packbits(flags)
-    return out.view(np.uint64)
-
-
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Spanning edges of the rows whose similarity is ``percent`` or more; with ``side`` only across its two values."""
+def _fits(low: int, high: np.ndarray, common: np.ndarray, ones_low: int, ones_high: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the overlap can reach the threshold: a bit that only one bitmap has stands for an element that only one set has."""
+    bound = np.minimum(low - ones_low + common, high - ones_high + common)
+    return (100 + percent) * bound >= percent * (low + high)
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Spanning edges of the rows whose similarity is ``percent`` or more; with ``side`` only across its two values. Rows of one label are connected already."""
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), int)
     size = np.array([len(sets[i]) for i in order])
-    bitmap = _bitmaps([sets[i] for i in order])
+    bits = 2 * _bits(int(size[-1]))
+    bitmap = np.stack([_bitmap(sets[i], bits) for i in order]).view(np.uint64)
     ones = np.bitwise_count(bitmap).sum(1).astype(np.int64)
-    forest = _Forest(len(order))
+    forest = _Forest(order if labels is None else labels[order])
     across = side[order] if side is not None else None
     for i in range(len(order) - 1):
         if not size[i]:
@@ -165,8 +160,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> Ite
             if not len(part):
                 continue
             common = np.bitwise_count(bitmap[part] & bitmap[i]).sum(1).astype(np.int64)
-            bound = np.minimum(size[i] - ones[i] + common, size[part] - ones[part] + common)
-            for j in part[(100 + percent) * bound >= percent * (size[i] + size[part])].tolist():
+            for j in part[_fits(size[i], size[part], common, ones[i], ones[part], percent)].tolist():
                 if forest.label[i] == forest.label[j]:
                     continue
                 both = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
@@ -175,15 +169,45 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> Ite
                     yield int(order[i]), int(order[j])
 
 
-def _tile(width: int, percent: int):
+def partners(bitmaps: list[bytes], size: np.ndarray, side: np.ndarray | None, labels: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each row has a row of another label (and side) that the bitmaps can't rule out. Rows are compared within their size band and with the next."""
+    out = np.zeros(len(size), bool)
+    band = np.floor(np.log(size) / -math.log(percent / 100) + 1e-9).astype(int)
+    for b in np.unique(band):
+        at = np.flatnonzero((band == b) | (band == b + 1))
+        at = at[np.argsort(size[at], kind="stable")]
+        wide = min(len(bitmaps[i]) for i in at)
+        held = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[i], np.uint8).reshape(-1, wide)) for i in at]).view(np.uint64)
+        ones = np.bitwise_count(held).sum(1).astype(np.int64)
+        n = size[at]
+        for i in range(int((band[at] == b).sum())):
+            js = np.arange(i + 1, np.searchsorted(n, n[i] * 100 // percent, side="right"))
+            js = js[labels[at[js]] != labels[at[i]]]
+            if side is not None:
+                js = js[side[at[js]] != side[at[i]]]
+            for part in np.array_split(js, max(1, len(js) * held.shape[1] // 4_000_000)):
+                if len(part):
+                    common = np.bitwise_count(held[part] & held[i]).sum(1).astype(np.int64)
+                    good = part[_fits(n[i], n[part], common, ones[i], ones[part], percent)]
+                    if len(good):
+                        out[at[good]] = out[at[i]] = True
+    return out
+
+
+def _grouped(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """The groups of a tile: name, rows and, where there are two, sides."""
+    groups, sides = table.column("grp").to_numpy(), table.column("side").to_numpy()
+    order = np.argsort(groups, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+        yield groups[at[0]], at, sides[at] if (sides[at] != sides[at[0]]).any() else None
+
+
+def _exact(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, groups, sides = table.column("rep").to_numpy(), table.column("grp").to_numpy(), table.column("side").to_numpy()
-        sets = shingle_sets(table.column("raw").to_pylist(), width)
+        ids, labels, held = table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("held").to_pylist()
         left, right = [], []
-        for g in np.unique(groups):
-            at = np.flatnonzero(groups == g)
-            side = sides[at] if (sides[at] != sides[at[0]]).any() else None
-            for i, j in linked([sets[k] for k in at], side, percent):
+        for _, at, side in _grouped(table):
+            for i, j in linked([np.frombuffer(held[k], U) for k in at], side, percent, labels[at]) if len(at) > 1 else ():
                 left.append(ids[at[i]])
                 right.append(ids[at[j]])
         return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -191,55 +215,144 @@ def _tile(width: int, percent: int):
     return run
 
 
+def _bounded(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels, bitmaps, size = table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("bitmap").to_pylist(), table.column("n").to_numpy()
+        group, left = [], []
+        for g, at, side in _grouped(table):
+            for k in at[partners([bitmaps[k] for k in at], size[at], side, labels[at], percent)]:
+                group.append(g)
+                left.append(ids[k])
+        return pa.table([pa.array(group, pa.int64()), pa.array(left, pa.int64())], names=["grp", "id"])
+
+    return run
+
+
+def _weight(n: str = "n"):
+    return F.greatest(F.col(n), F.lit(MEMBER))
+
+
+def _packs(rows: DataFrame) -> int:
+    """How many tiles the groups that fit into one share."""
+    return max(1, math.ceil((rows.agg(F.sum(_weight())).first()[0] or 0) / TILE * 3))
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(id, grp, tile, side) from ``pairs(lead, id, n)``: each leader meets its members, in parts of bounded size."""
+    total = materialise(pairs.groupBy("lead").agg(F.ceil(F.sum(_weight()) / TILE).alias("q")))
+    placed = materialise(pairs.join(total, "lead").withColumn("grp", F.xxhash64("lead", F.pmod(F.xxhash64("id"), F.col("q")))))
+    every = placed.select("id", "grp", F.lit(1).alias("side")).union(placed.select("lead", "grp", F.lit(0)).distinct())
+    return every.withColumn("tile", F.pmod(F.xxhash64("grp", F.lit(1)), F.lit(_packs(placed))).cast("string"))
+
+
 def _tiles(member: DataFrame, percent: int) -> DataFrame:
-    """(rep, grp, tile, side): small groups share a tile; a large one is cut by size band and hash into tiles that meet in pairs.
+    """(id, grp, tile, side) from ``member(id, grp, n)``: small groups share a tile; a large one is cut by size band and hash into tiles that meet in pairs.
 
     A band spans one threshold ratio of sizes, so linked rows lie in the same or the next band.
     """
-    total = member.groupBy("grp").agg(F.sum("n").alias("weight"))
-    packs = max(1, math.ceil((total.filter(F.col("weight") <= TILE).agg(F.sum("weight")).first()[0] or 0) / TILE * 3))
+    total = materialise(member.groupBy("grp").agg(F.sum(_weight()).alias("weight")))
     member = member.join(total, "grp")
-    small = member.filter(F.col("weight") <= TILE).select("rep", "grp", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(packs))).alias("tile"), F.lit(0).alias("side"))
-    band = F.floor(F.log(F.greatest("n", F.lit(1)) + F.lit(0.0)) / F.lit(-math.log(percent / 100))).cast("int")
+    little = member.filter(F.col("weight") <= TILE)
+    small = little.select("id", "grp", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(_packs(little)))).alias("tile"), F.lit(0).alias("side"))
+    band = F.floor(F.log(F.greatest("n", F.lit(1)) + F.lit(0.0)) / F.lit(-math.log(percent / 100)) + 1e-9).cast("int")
     large = member.filter(F.col("weight") > TILE).withColumn("band", band)
-    cut = large.groupBy("grp", "band").agg(F.ceil(F.sum("n") / F.lit(TILE / 2)).cast("int").alias("q"))
+    cut = materialise(large.groupBy("grp", "band").agg(F.ceil(F.sum(_weight()) / F.lit(TILE / 2)).cast("int").alias("q")))
     upper = cut.select("grp", (F.col("band") - 1).alias("band"), F.col("q").alias("up"))
     lower = cut.select("grp", (F.col("band") + 1).alias("band"), F.col("q").alias("down"))
-    part = F.pmod(F.xxhash64("rep"), F.col("q")).cast("int")
+    part = F.pmod(F.xxhash64("id"), F.col("q")).cast("int")
     placed = large.join(cut, ["grp", "band"]).join(upper, ["grp", "band"], "left").join(lower, ["grp", "band"], "left").withColumn("part", part)
     own = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.col("band").alias("b1"), F.least(x, "part").alias("p1"), F.col("band").alias("b2"), F.greatest(x, "part").alias("p2"), (F.col("part") > x).cast("int").alias("side")))
     above = F.when(F.col("up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda x: F.struct(F.col("band").alias("b1"), F.col("part").alias("p1"), (F.col("band") + 1).alias("b2"), x.alias("p2"), F.lit(0).alias("side"))))
     below = F.when(F.col("down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda x: F.struct((F.col("band") - 1).alias("b1"), x.alias("p1"), F.col("band").alias("b2"), F.col("part").alias("p2"), F.lit(1).alias("side"))))
-    meet = placed.select("rep", "grp", F.explode(F.concat(own, F.coalesce(above, F.array()), F.coalesce(below, F.array()))).alias("t"))
-    return small.union(meet.select("rep", "grp", F.concat_ws(":", F.lit("l"), "grp", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side"))
+    meet = placed.select("id", "grp", F.explode(F.concat(own, F.coalesce(above, F.array()), F.coalesce(below, F.array()))).alias("t"))
+    return small.union(meet.select("id", "grp", F.concat_ws(":", F.lit("l"), "grp", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _label(links: DataFrame) -> DataFrame:
+    """(id, label) of the classes in components of more than one."""
+    found = components(links)
+    return materialise(found.select(F.col("a").alias("id"), F.col("b").alias("label")))
+
+
+def _verified(tiles: DataFrame, sets: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """The edges (a, b) found in ``tiles(id, grp, tile, side)``."""
+    rows = _labelled(tiles, label) if label is not None else tiles.withColumn("label", F.col("id"))
+    return materialise(rows.join(sets, "id").groupBy("tile").applyInArrow(_exact(percent), "a long, b long"))
+
+
+def _links(reps: DataFrame, raw: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all linked classes of ``reps(id, n, t, u, bitmap, bands)``."""
+    spread = reps.select("id", "bands").mapInArrow(_opened, "band long, id long")
+    shared = materialise(spread.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).filter("c > 1"))
+    held = bit_filter(shared, "band")
+    rows = materialise(among(spread, "band", held).join(shared, "band"))
+    held.drop()
+    # the sets of the classes that share a key with another
+    needed = materialise(reps.join(rows.select("id").distinct(), "id", "left_semi").select("id", "t", "u"))
+    held = bit_filter(needed, "t")
+    texts = among(raw.select("t", "u", "raw"), "t", held).groupBy("t", "u").agg(F.first("raw").alias("raw"))
+    sets = materialise(texts.join(needed, ["t", "u"]).select("id", "raw").mapInArrow(_sets(width), "id long, held binary"))
+    held.drop()
+    sizes = reps.select("id", "n")
+
+    member = rows.filter("id <> lead")
+    first = member.groupBy("id").agg(F.min("lead").alias("lead"))
+    links = _verified(_stars(materialise(first.join(sizes, "id"))), sets, None, percent)
+    label = _label(links)
+    pairs = _labelled(member.select("id", "lead").distinct(), label).withColumnRenamed("label", "mine")
+    pairs = pairs.join(label.select(F.col("id").alias("lead"), "label"), "lead", "left").filter(F.col("mine") != F.coalesce("label", "lead")).select("id", "lead")
+    others = materialise(pairs.join(first, ["id", "lead"], "left_anti").join(sizes, "id"))
+    links = links.union(_verified(_stars(others), sets, label, percent))
+    label = _label(links)
+
+    rest = materialise(_labelled(rows.filter(F.col("c") > ALONE).select("band", "id"), label))
+    mixed = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).filter("lo < hi")
+    once = materialise(mixed.groupBy("lo", "hi", "m", "h").agg(F.min("band").alias("band")).select("band"))  # tiles of the same members are one
+    left = materialise(rest.join(once, "band").join(sizes, "id").select("id", F.col("band").alias("grp"), "n"))
+    tiles = _labelled(_tiles(left, percent), label).join(reps.select("id", "n", "bitmap"), "id")
+    near = tiles.groupBy("tile").applyInArrow(_bounded(percent), "grp long, id long").distinct()
+    again = _tiles(materialise(near.join(sizes, "id")), percent)
+    return links.union(_verified(again, sets, label, percent))
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text, ...)``.
 
     Two documents link when their distinct ``width``-word shingles have a Jaccard similarity of
-    ``percent`` % or more; component_id is the smallest doc_id that links reach. Empty tables give no rows.
+    ``percent`` % or more; component_id is the smallest doc_id that links reach. A null doc_id is
+    reached by nothing and has the smallest that its text reaches, or null. Empty tables give no rows.
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw"))
-    signed = materialise(raw.mapInArrow(_signatures(width), "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>"))
-    # written, so that joins on a set that a third of all rows may share can be split
-    classes = materialise(signed.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = materialise(
-        signed.filter("n > 0").join(classes, ["d1", "d2"]).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "sig", "bands")
-    )
-    group = components(_candidates(reps))
-    member = group.select(F.col("a").alias("rep"), F.col("b").alias("grp")).union(group.select(F.col("b").alias("rep"), F.col("b").alias("grp")).distinct())
-    tiles = _tiles(materialise(member.join(reps.select("rep", "n"), "rep")), percent)
-    texts = tiles.join(raw, F.col("rep") == F.col("doc_id")).select("tile", "rep", "grp", "side", "raw")
-    links = texts.groupBy("tile").applyInArrow(_tile(width, percent), "a long, b long")
-    found = components(links).select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    root = materialise(classes.join(found, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")))
-    rows = signed.select("doc_id", "n", "d1", "d2").join(root, ["d1", "d2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    raw = raw.withColumn("t", F.xxhash64("raw")).withColumn("u", F.xxhash64(F.lit("u"), "raw"))
+    signed = materialise(raw.select("doc_id", "t", "u", "raw").mapInArrow(_signatures(width), SIGNED))
+    full = signed.filter("n > 0")
+    same = full.groupBy("d1", "d2").agg(F.min(F.struct("t", "u")).alias("k"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("bands").alias("bands"))
+    # the classes' numbers are whatever this table says, once it is written
+    reps = materialise(same.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "k.t", "k.u", "least", "n", "bitmap", "bands"))
+    links = _links(reps, raw, width, percent)
+    # classes that one doc_id holds
+    torn = materialise(full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).filter("lo < hi OR lo2 < hi2").select("doc_id"))
+    held = materialise(full.join(torn, "doc_id").select("doc_id", "d1", "d2").join(reps.select("id", "d1", "d2"), ["d1", "d2"]).select("doc_id", "id").distinct())
+    bound = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    label = _label(links.union(bound))
+    root = materialise(_labelled(reps.select("id", "d1", "d2", "least"), label))
+    least = materialise(root.groupBy("label").agg(F.min("least").alias("component_id")))
+    named = materialise(root.join(least, "label").select("d1", "d2", "component_id"))
+    rows = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that represent their component: its smallest doc_id, once."""
-    kept = similarity_components(docs, width, percent).filter("doc_id = component_id or (doc_id is null and component_id is null)").select("doc_id").distinct()
-    nulls = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(nulls)
+    """The rows of ``docs`` that represent their component: its smallest doc_id, once.
+
+    Documents without words all stay, as do rows with a null doc_id, which nothing can tell apart. Of rows that share a doc_id the one whose columns have the
+    least hash stays, whatever their order.
+    """
+    kept = similarity_components(docs, width, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    whole, nulls = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), docs.filter("doc_id is null")
+    rows = docs.select("doc_id", whole.alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h")).join(kept, "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.min_by("row", "h").alias("row")).select("row.*").union(nulls)
