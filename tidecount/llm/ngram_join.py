@@ -31,7 +31,7 @@ from ._text import U, chunks, hash_words, join_words, mix, space_words
 from .components import components
 
 BANDS, ROWS = 40, 3
-TILE = 400_000  # shingles in a tile, a member counting as MEMBER of them at least
+TILE = 200_000  # shingles in a tile, a member counting as MEMBER of them at least
 MEMBER = 200
 ALONE = 2  # members of a tile whose leader settles it
 
@@ -233,13 +233,13 @@ def _weight(n: str = "n"):
 
 
 def _packs(rows: DataFrame) -> int:
-    """How many tiles the groups that fit into one share."""
-    return max(1, math.ceil((rows.agg(F.sum(_weight())).first()[0] or 0) / TILE * 3))
+    """How many tiles share the groups of at most a quarter of one."""
+    return max(1, math.ceil((rows.agg(F.sum(_weight())).first()[0] or 0) / TILE * 2))
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """(id, grp, tile, side) from ``pairs(lead, id, n)``: each leader meets its members, in parts of bounded size."""
-    total = materialise(pairs.groupBy("lead").agg(F.ceil(F.sum(_weight()) / TILE).alias("q")))
+    total = materialise(pairs.groupBy("lead").agg(F.ceil(F.sum(_weight()) / (TILE // 4)).alias("q")))
     placed = materialise(pairs.join(total, "lead").withColumn("grp", F.xxhash64("lead", F.pmod(F.xxhash64("id"), F.col("q")))))
     every = placed.select("id", "grp", F.lit(1).alias("side")).union(placed.select("lead", "grp", F.lit(0)).distinct())
     return every.withColumn("tile", F.pmod(F.xxhash64("grp", F.lit(1)), F.lit(_packs(placed))).cast("string"))
@@ -252,10 +252,10 @@ def _tiles(member: DataFrame, percent: int) -> DataFrame:
     """
     total = materialise(member.groupBy("grp").agg(F.sum(_weight()).alias("weight")))
     member = member.join(total, "grp")
-    little = member.filter(F.col("weight") <= TILE)
+    little = member.filter(F.col("weight") <= TILE // 4)
     small = little.select("id", "grp", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(_packs(little)))).alias("tile"), F.lit(0).alias("side"))
     band = F.floor(F.log(F.greatest("n", F.lit(1)) + F.lit(0.0)) / F.lit(-math.log(percent / 100)) + 1e-9).cast("int")
-    large = member.filter(F.col("weight") > TILE).withColumn("band", band)
+    large = member.filter(F.col("weight") > TILE // 4).withColumn("band", band)
     cut = materialise(large.groupBy("grp", "band").agg(F.ceil(F.sum(_weight()) / F.lit(TILE / 2)).cast("int").alias("q")))
     upper = cut.select("grp", (F.col("band") - 1).alias("band"), F.col("q").alias("up"))
     lower = cut.select("grp", (F.col("band") + 1).alias("band"), F.col("q").alias("down"))
@@ -284,8 +284,8 @@ def _verified(tiles: DataFrame, sets: DataFrame, label: DataFrame | None, percen
     return materialise(rows.join(sets, "id").groupBy("tile").applyInArrow(_exact(percent), "a long, b long"))
 
 
-def _links(reps: DataFrame, raw: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all linked classes of ``reps(id, n, t, u, bitmap, bands)``."""
+def _roots(reps: DataFrame, raw: DataFrame, bound: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, label) of the components of all linked classes of ``reps(id, n, t, u, bitmap, bands)`` and of the edges ``bound(a, b)``, those of one class left out."""
     spread = reps.select("id", "bands").mapInArrow(_opened, "band long, id long")
     shared = materialise(spread.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).filter("c > 1"))
     held = bit_filter(shared, "band")
@@ -302,7 +302,8 @@ def _links(reps: DataFrame, raw: DataFrame, width: int, percent: int) -> DataFra
     member = rows.filter("id <> lead")
     first = member.groupBy("id").agg(F.min("lead").alias("lead"))
     links = _verified(_stars(materialise(first.join(sizes, "id"))), sets, None, percent)
-    label = _label(links)
+    # each has one leader so far, whose own leader need not be followed: labels only save work
+    label = materialise(links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("label")))
     pairs = _labelled(member.select("id", "lead").distinct(), label).withColumnRenamed("label", "mine")
     pairs = pairs.join(label.select(F.col("id").alias("lead"), "label"), "lead", "left").filter(F.col("mine") != F.coalesce("label", "lead")).select("id", "lead")
     others = materialise(pairs.join(first, ["id", "lead"], "left_anti").join(sizes, "id"))
@@ -316,7 +317,12 @@ def _links(reps: DataFrame, raw: DataFrame, width: int, percent: int) -> DataFra
     tiles = _labelled(_tiles(left, percent), label).join(reps.select("id", "n", "bitmap"), "id")
     near = tiles.groupBy("tile").applyInArrow(_bounded(percent), "grp long, id long").distinct()
     again = _tiles(materialise(near.join(sizes, "id")), percent)
-    return links.union(_verified(again, sets, label, percent))
+    # the graph of what is connected so far has few edges left
+    edges = _verified(again, sets, label, percent).union(bound)
+    ends = _labelled(_labelled(edges.withColumnRenamed("a", "id"), label).select("label", F.col("b").alias("id")).withColumnRenamed("label", "a"), label).select("a", F.col("label").alias("b"))
+    late = _label(ends)
+    every = _labelled(reps.select("id"), label).select("id", F.col("label").alias("l"))
+    return every.join(late.select(F.col("id").alias("l"), F.col("label").alias("top")), "l", "left").select("id", F.coalesce("top", "l").alias("label")).filter("id <> label")
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -333,13 +339,11 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     same = full.groupBy("d1", "d2").agg(F.min(F.struct("t", "u")).alias("k"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("bands").alias("bands"))
     # the classes' numbers are whatever this table says, once it is written
     reps = materialise(same.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "k.t", "k.u", "least", "n", "bitmap", "bands"))
-    links = _links(reps, raw, width, percent)
     # classes that one doc_id holds
     torn = materialise(full.filter("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).filter("lo < hi OR lo2 < hi2").select("doc_id"))
     held = materialise(full.join(torn, "doc_id").select("doc_id", "d1", "d2").join(reps.select("id", "d1", "d2"), ["d1", "d2"]).select("doc_id", "id").distinct())
     bound = held.join(held.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
-    label = _label(links.union(bound))
-    root = materialise(_labelled(reps.select("id", "d1", "d2", "least"), label))
+    root = materialise(_labelled(reps.select("id", "d1", "d2", "least"), _roots(reps, raw, bound, width, percent)))
     least = materialise(root.groupBy("label").agg(F.min("least").alias("component_id")))
     named = materialise(root.join(least, "label").select("d1", "d2", "component_id"))
     rows = signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
