@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 from tidecount.llm import html_extract
@@ -45,6 +46,8 @@ def test_parse(page, want):
     ("<p x=Tom'hidden' =\"y>a</p><p a = 'b>c'>d</p>", ["a", "d"]),
     ("<div><button>Menu<p>a</p></div><p>b</p>", ["Menu", "a", "b"]),
     ("<div><button>Menu</div><p>a</p><button>no</button><p>b</p>", ["Menu", "a", "b"]),
+    ("<p>The law <noscript>reads</noscript> so</p><noscript><p>All of it.</p></noscript>", ["The law reads so", "All of it."]),
+    ("<p>one<br><br>two<br> <br/>three<br>four<br></p>", ["one", "two", "three four"]),
     ("<div><datalist><option>x</div><p>a</p><datalist>no</datalist>", ["x", "a"]),
     ("<button>x<p>a</p><button>no</button><p>b", ["x", "a", "b"]),
     ("<select><option>x</option><p>a</p><select><option>no</select><p>b", ["x", "a", "b"]),
@@ -63,6 +66,10 @@ def test_unclosed_elements_in_linear_time():
         parse(f"<{tag}>" * 20_000 + "<p>a")
     parse("<p a='" * 20_000)
     parse("<p " + "a = " * 50_000)
+    parse("<div>" * 20_000 + "</span></p></em>" * 20_000)
+    parse("<b>" * 20_000 + "</i>text" * 20_000)
+    parse("<ul><li>" + "<div>" * 20_000 + "<li>x</li>" * 20_000)
+    parse("<section>" * 20_000 + "<body>" * 20_000 + "<td>" * 20_000)
     assert time.monotonic() - start < 20
 
 
@@ -85,6 +92,88 @@ def test_held_out_layouts():
     assert precision > 0.97 and recall > 0.97
 
 
+# Hand-written pages: {0} is a title, {1} to {5} are paragraphs; all are main text, and what else stands there is not.
+TITLE = "The river rose"
+PARAGRAPHS = (
+    "It rained for nine days, and the river rose. Nobody had seen it so high since the bridge was built.",
+    "The mayor asked all people to stay at home. Most of them did, but some went down to look at the water.",
+    "By noon the cellars of the lower town were full. Firemen pumped until the evening, and the pumps ran dry of fuel.",
+    "An old woman said that her mother had told her of such a flood. She did not believe it then, she said, but now she did.",
+    "On Sunday the sun came out. The water fell by a hand an hour, and in the morning the street could be seen again.",
+)
+NAV = '<a href="/">Home</a> <a href="/w">World</a> <a href="/s">Sports</a> <a href="/c">Contact</a>'
+LIST = '<ul><li><a href="/">Home</a></li><li><a href="/w">World</a></li><li><a href="/s">Sports</a></li><li><a href="/c">Contact</a></li></ul>'
+P5 = "<p>{1}</p><p>{2}</p><p>{3}</p><p>{4}</p><p>{5}</p>"
+BR = "{1}<br><br>{2}<br><br>{3}<br><br>{4}<br><br>{5}"
+LAYOUTS = {
+    "bare body": f"<body><h1>{{0}}</h1>{P5}</body>",
+    "no body": f"<h1>{{0}}</h1>{P5}",
+    "no end tags": "<h1>{0}</h1><p>{1}<p>{2}<p>{3}<p>{4}<p>{5}",
+    "nested divs": f"<body><div><div><div><h1>{{0}}</h1>{P5}</div></div></div></body>",
+    "nested divs and menu": f"<body><div>{LIST}</div><div><div><h1>{{0}}</h1>{P5}</div></div></body>",
+    "div paragraphs": "<body><div><h1>{0}</h1><div>{1}</div><div>{2}</div><div>{3}</div><div>{4}</div><div>{5}</div></div></body>",
+    "names of surroundings": f'<body><div class="site-content with-sidebar"><article class="post tag-news"><h1>{{0}}</h1>{P5}</article></div></body>',
+    "noisy body": f'<body class="single-post has-sidebar ad-free"><main><article class="post category-widgets"><h1>{{0}}</h1>{P5}</article></main></body>',
+    "noisy body and sidebar": f'<body class="has-sidebar tag-ads no-js"><nav>{LIST}</nav><div id="main"><h1>{{0}}</h1>{P5}</div><div class="sidebar"><h3>Most read</h3>{LIST}</div></body>',
+    "table": f"<body><table><tr><td colspan=2>{NAV}</td></tr><tr><td>{LIST}</td><td><h1>{{0}}</h1>{P5}</td></tr></table></body>",
+    "table with br": f"<body><table width=100%><tr><td>{LIST}</td><td><h2>{{0}}</h2>{BR}</td></tr></table></body>",
+    "plain table": f"<body><table><tr><td><h1>{{0}}</h1>{P5}</td></tr></table></body>",
+    "nested tables": f"<table><tr><td><table><tr><td>{NAV}</td></tr></table></td></tr><tr><td><table><tr><td><h1>{{0}}</h1>{P5}</td></tr></table></td></tr></table>",
+    "br body": f"<body><h1>{{0}}</h1>{BR}</body>",
+    "br in a div": f'<body><div id="nav">{NAV}</div><div id="content"><h1>{{0}}</h1>{BR}</div></body>',
+    "br with slashes": "<body><h1>{0}</h1><div>{1}<br/>\n<br/>{2}<br /><br />{3}<br>\n  <br>{4}<br><br>{5}</div></body>",
+    "html5": f"<body><header><a href='/'>Daily News</a><nav>{LIST}</nav></header><main><article><h1>{{0}}</h1>{P5}</article></main><footer><p>&copy; 2024 Daily News. All rights reserved.</p></footer></body>",
+    "html5 with aside": f"<body><header><nav>{LIST}</nav></header><main><article><h1>{{0}}</h1>{P5}</article><aside><h3>Most read</h3>{LIST}</aside></main><footer>{NAV}</footer></body>",
+    "section": f'<body><section class="content"><h1>{{0}}</h1>{P5}</section><footer>&copy; Daily News</footer></body>',
+    "entry": f'<body class="post-template-default single"><div id="page" class="site"><header class="site-header"><p class="site-title"><a href="/">Daily News</a></p></header><div class="entry-content"><h1>{{0}}</h1>{P5}</div><div class="share-buttons"><a href="/f">Share</a><a href="/t">Post</a></div></div></body>',
+    "cookie notice": f'<body><div class="cookie-banner"><p>We use cookies to make this site work as it should. By going on you agree.</p><button>OK</button></div><article><h1>{{0}}</h1>{P5}</article></body>',
+    "comments": f'<body><article><h1>{{0}}</h1>{P5}</article><div id="comments"><h3>2 comments</h3><div class="comment"><p>I was there and it was worse than you say. My cellar is full still.</p></div><div class="comment"><p>Thank you for this report.</p></div></div></body>',
+    "comment list": f'<body><div class="story"><h1>{{0}}</h1>{P5}</div><ol class="comment-list"><li><p>It was worse than you say, I was there.</p></li><li><p>When was that, please?</p></li></ol></body>',
+    "inner advert": '<body><article><h1>{0}</h1><p>{1}</p><p>{2}</p><div class="advert">Buy boots now, half price until Sunday.</div><p>{3}</p><p>{4}</p><p>{5}</p></article></body>',
+    "inner related": '<body><div class="post"><h1>{0}</h1><p>{1}</p><p>{2}</p><div class="related"><h3>Read also</h3><ul><li><a href="/1">Cats of the harbour</a></li><li><a href="/2">A dry summer</a></li></ul></div><p>{3}</p><p>{4}</p><p>{5}</p></div></body>',
+    "inner newsletter": '<body><main><h1>{0}</h1><p>{1}</p><form class="newsletter"><label>Your address</label><p>Get our letter every day.</p><input name=a></form><p>{2}</p><p>{3}</p><p>{4}</p><p>{5}</p></main></body>',
+    "long menu": f"<body><div>{LIST * 6}</div><div><h1>{{0}}</h1>{P5}</div></body>",
+    "long sidebar": f'<body><div class="sidebar">{LIST * 4}<p>Write to us at any time.</p></div><div class="content"><h1>{{0}}</h1>{P5}</div></body>',
+    "breadcrumbs": f'<body><div class="breadcrumb"><a href="/">Home</a> &raquo; <a href="/n">News</a></div><div class="article"><h1>{{0}}</h1>{P5}</div></body>',
+    "list": "<body><article><h1>{0}</h1><ul><li>{1}</li><li>{2}</li><li>{3}</li></ul><p>{4}</p><p>{5}</p></article></body>",
+    "quotes": "<body><article><h1>{0}</h1><p>{1}</p><blockquote><p>{2}</p></blockquote><p>{3}</p><blockquote>{4}</blockquote><p>{5}</p></article></body>",
+    "links in text": '<body><div><h1>{0}</h1><p><a href="/1">See</a> {1}</p><p>{2}</p><p>{3}</p><p>{4}</p><p>{5}</p></div></body>'.replace('<a href="/1">See</a> ', ""),
+    "noscript": "<body><article><h1>{0}</h1><p>{1}</p><noscript><p>{2}</p></noscript><p>{3}</p><p>{4}</p><p>{5}</p></article></body>",
+    "hyphenated names": f'<body><div class="l-site"><div class="c-article-body"><h1 class="c-headline">{{0}}</h1>{P5}</div></div><div class="c-footer-legal"><p>&copy; 2023 Daily News</p></div></body>',
+    "scripts between": "<body><h1>{0}</h1><script>a('<p>no</p>')</script><p>{1}</p><p>{2}</p><style>p.red > a, b:hover</style><p>{3}</p><p>{4}</p><p>{5}</p></body>",
+    "forum": f'<body><table><tr><td>{NAV}</td></tr></table><div class="post-body"><h2>{{0}}</h2>{P5}</div><div class="footer"><a href="/t">Terms</a> | <a href="/p">Privacy</a></div></body>',
+    "upper-case tags": f"<BODY><DIV ID=NAV>{NAV}</DIV><DIV CLASS=CONTENT><H1>{{0}}</H1>{P5.replace('p>', 'P>')}</DIV></BODY>",
+    "footer paragraph": f'<body><div><h1>{{0}}</h1>{P5}</div><p class="copyright">Copyright 2020 by Daily News. All rights reserved.</p></body>',
+}
+
+
+def test_hand_written_layouts():
+    want = [TITLE, *PARAGRAPHS]
+    kept = [b for b in extract([html.format(TITLE, *PARAGRAPHS) for html in LAYOUTS.values()], trained())]
+    right = {name: sum(b in want for b in blocks) for name, blocks in zip(LAYOUTS, kept, strict=True)}
+    recall = sum(right.values()) / (len(want) * len(LAYOUTS))
+    precision = sum(right.values()) / sum(map(len, kept))
+    worst = {n: b for n, b in zip(LAYOUTS, kept, strict=True) if b != want}
+    assert len(LAYOUTS) >= 30 and recall >= 0.95 and precision >= 0.95, (recall, precision, worst)
+    for name in ("bare body", "nested divs", "names of surroundings", "noisy body", "table", "br body"):
+        assert name not in worst, worst[name]
+
+
+def test_stored_trees_are_of_these_features():
+    held = trained()
+    assert len(held.value) == html_extract.TREES
+    again = html_extract.Trees.read(held.stored())
+    x = html_extract.Page(PAGE).x
+    assert np.allclose(again.log_odds(x), held.log_odds(x))
+
+
+def test_fitting_is_repeatable(monkeypatch):
+    monkeypatch.setattr(html_extract, "TREES", 5)
+    few = list(training_pages(60))
+    monkeypatch.setattr(html_extract, "training_pages", lambda: iter(few))
+    assert html_extract.fitted().stored() == html_extract.fitted().stored()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body>
 <header><div class="logo">Daily News</div><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li></ul></nav></header>
 <div class="cookie-notice"><p>We use cookies to make this site work as it should.</p></div>
@@ -101,11 +190,28 @@ def test_a_whole_page():
     assert extract([PAGE], trained())[0] == ["The river rose", "It rained for nine days, and the river rose.", "Nobody had seen it so high since the bridge was built.", "Bring sand.", "Bring boots."]
 
 
-def test_no_kept_run_in_a_dropped_ancestor():
-    page = html_extract.Page(PAGE)
-    odds = html_extract.trained().log_odds(page.x)
-    odds[[i for i, n in enumerate(page.nodes) if n.tag == "article"]] = -6
-    assert not [b for b in html_extract.decode(page, odds) if "river" in b] or (odds[1:] > 0).any()
+def brute_decode(page, odds):
+    """The runs of the best choice that keeps no node of a dropped one: by trying all choices of containers."""
+    n, own = len(page.nodes), html_extract.votes(page, odds)
+    containers = [i for i in range(1, n) if page.nodes[i].tag != "#"]
+    best = (-1.0, [])
+    for mask in range(1 << len(containers)):
+        kept = [True] + [False] * (n - 1)
+        for i in range(1, n):
+            open_ = kept[page.parent[i]]
+            kept[i] = open_ and (own[i] > 0 if page.nodes[i].tag == "#" else bool(mask >> containers.index(i) & 1))
+        total = sum(own[i] for i in range(n) if kept[i])
+        if total > best[0] + 1e-9:
+            best = (total, [page.nodes[i].text for i in range(n) if kept[i] and page.nodes[i].tag == "#"])
+    return best[1]
+
+
+def test_decoding_is_the_best_choice_without_contradictions():
+    page = html_extract.Page("<nav><a href=1>a</a></nav><div><div><p>Some text, some more.</p></div><aside><p>Side text here.</p></aside></div><p>end</p>")
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        odds = r.normal(0, 3, len(page.nodes))
+        assert html_extract.decode(page, odds) == brute_decode(page, odds)
 
 
 def test_rows(spark):

@@ -6,17 +6,20 @@ text density of its subtree, and statistics of its siblings. Boosted regression
 hierarchical: going up the tree, a container is kept only if what its best kept descendants and its own log odds add up to is positive,
 and dropping it drops all below it, so no descendant is kept inside a dropped ancestor.
 
-The trees are trained on the driver when first needed, on pages that ``training_pages`` writes by a grammar of site layouts with a fixed
-seed and known main text (``TRAINING_PAGES`` of them, a bound that doesn't grow with the input).
+The trees lie in ``html_trees.json``, which ``python -m tidecount.llm.html_extract`` writes: they are trained on ``TRAINING_PAGES`` pages (a bound that doesn't
+grow with the input) that ``training_pages`` makes by a grammar of site layouts with a fixed seed and known main text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +29,44 @@ from pyspark.sql import functions as F
 from ._spark import as_bytes, share
 from ._text import chunks
 
-TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 700, 60, 4, 0.25, 32
+TRAINING_PAGES, TREES, DEPTH, RATE, BINS = 3200, 110, 5, 0.2, 32
+MODEL = Path(__file__).with_name("html_trees.json")
+DEEPEST = 512  # open elements; deeper ones leave no node, as in browsers, but their text stays
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg annotation annotation-xml select button object canvas audio video map datalist".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp svg annotation annotation-xml select button datalist".split())
+FALLBACK = frozenset("noscript object canvas audio video map".split())  # shown where something else is not
 OPAQUE = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img del math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 ENDS_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
-# Words that names of elements often hold, by what they tell.
-GOOD = re.compile(r"article|body|content|entry|main|post|story|text|prose|page(?!r|d|in)|blog")
-BAD = re.compile(r"comment|disqus|reply|footer|header|masthead|banner|menu|nav|crumb|sidebar|side|widget|related|recommend|share|social|promo|sponsor|(?:^|[-_ ])ads?(?:$|[-_ ])|advert|cookie|consent|notice|popup|modal|newsletter|subscribe|login|search|tags?(?:$|[-_ ])|pagin|toolbar|copyright|legal|meta|byline|author")
-COMMENTS = re.compile(r"comment|disqus|reply|respond|discussion")
+# Parts of element names by what they tell, and parts in front of which (or, "free", behind which) a name only tells of its surroundings.
+GOOD = frozenset("article articlebody body content contents entry main maincontent post story text prose blog copy richtext paragraph lead headline".split())
+BAD = frozenset("comment comments disqus reply replies respond footer foot header masthead banner menu nav navbar navigation navi crumb crumbs breadcrumb breadcrumbs sidebar side aside rail widget widgets related recommend recommended recommendations share sharing social promo promoted sponsor sponsored ad ads adv advert adverts advertisement cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login search tags tagcloud pagination pager toolbar copyright legal meta byline author teaser teasers trending popular".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond discussion responses".split())
+AROUND = frozenset("has with without no is not tag category cat type format status layout theme lang js hide show hentry single template".split())
 FRAME_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
+TOP_TAGS = frozenset(("#root", "html", "body"))
+# Words of texts that frame a page.
+MARKS = re.compile(r"©|\(c\) (?:19|20)\d\d|copyright|all rights reserved|cookies?\b|javascript|your browser|newsletter|subscribe|sponsored|advertisement|terms of (?:use|service)|privacy policy|alle rechte|tous droits|derechos reservados|impressum", re.I)
+PARTS = re.compile(r"[a-z]+")
+
+
+@lru_cache(100_000)
+def told(name: str) -> tuple[bool, bool, bool]:
+    """Whether an element's id, class and role speak for main text, against it, and of comments."""
+    good = bad = comments = False
+    for token in name.split():
+        parts = PARTS.findall(token)
+        if not parts or (len(parts) > 1 and (parts[0] in AROUND or parts[-1] == "free")):
+            continue
+        good |= not GOOD.isdisjoint(parts)
+        bad |= not BAD.isdisjoint(parts)
+        comments |= not COMMENTS.isdisjoint(parts)
+    return good, bad, comments
+
 
 # A quote delimits a value right after "=" only; elsewhere it is an ordinary character.
 TOKEN = re.compile(
@@ -96,7 +122,8 @@ def _left(page: str, at: int, end: int, stack: list[Node]) -> bool:
 def parse(page: str) -> Node:
     """The block tree of a page. Inline elements leave no node; white space inside a block becomes one space."""
     root = Node("#root", None)
-    stack, inline, run = [root], [], None
+    stack, run = [root], None
+    opened, inline, broke = Counter(), Counter(), False  # open elements by tag; whether only spaces came since a line break
     at, end = 0, len(page)
     pairs: dict[str, dict[int, tuple[int, int]]] = {}
 
@@ -110,16 +137,24 @@ def parse(page: str) -> Node:
             run = None
 
     def put(text: str) -> None:
-        nonlocal run
+        nonlocal run, broke
+        some = not text.isspace()
         if run is None:
-            if not text.strip():
+            if not some:
                 return
             run = Node("#", stack[-1])
-        text = entities.unescape(text)
+        broke &= not some
+        text = entities.unescape(text) if "&" in text else text
         run.pieces.append(text)
-        if "a" in inline:
+        if inline["a"]:
             run.link_chars += len(text.strip())
 
+    def close_from(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+        inline.clear()
+
     while at < end:
         found = TOKEN.search(page, at)
         if not found:
@@ -135,26 +170,28 @@ def parse(page: str) -> Node:
             continue
         if found.group(1):
             if tag in INLINE:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
-                continue
-            if any(x.tag == tag for x in stack):
+                if inline[tag]:
+                    inline[tag] -= 1
+            elif opened[tag]:
                 flush()
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
-                inline.clear()
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close_from(k)
             continue
         closed = found.group(3).rstrip().endswith("/") and tag not in OPAQUE
-        if tag == "br":
-            if run is not None:
+        if tag == "br":  # two in a row end a block
+            if run is not None and broke:
+                flush()
+            elif run is not None:
                 run.pieces.append(" ")
+            broke = run is not None
             continue
         if tag in INLINE:
             if tag not in VOID and not closed:
-                inline.append(tag)
+                inline[tag] += 1
+            continue
+        if tag in FALLBACK and run is not None:  # inside a block's text
             continue
         if tag in RAW:
             if tag in OPAQUE:
@@ -170,16 +207,15 @@ def parse(page: str) -> Node:
                     at = after
             continue
         flush()
+        broke = False
         if tag in ENDS_P and stack[-1].tag == "p":
-            stack.pop()
-            inline.clear()
+            close_from(len(stack) - 1)
         for other in CLOSES.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[other] else ():
                 if stack[k].tag in SCOPE.get(tag, ()):
                     break
                 if stack[k].tag == other:
-                    del stack[k:]
-                    inline.clear()
+                    close_from(k)
                     break
         if tag in VOID:
             continue
@@ -193,16 +229,18 @@ def parse(page: str) -> Node:
                     hidden = True
         node = Node(tag, stack[-1], " ".join(parts), hidden)
         stack[-1].children.append(node)
-        if not closed:
+        if not closed and len(stack) < DEEPEST:
             stack.append(node)
+            opened[tag] += 1
     flush()
     return root
 
 
 NAMES = (
-    "depth", "chars", "links", "words", "ends", "commas", "blocks", "is_p", "is_heading", "is_item", "is_cell", "is_frame", "is_article", "good", "bad",
-    "in_frame", "in_article", "above_good", "above_bad", "in_comments", "place", "share", "siblings", "like", "run", "before", "after",
+    "depth", "chars", "links", "words", "ends", "commas", "blocks", "marks", "prose", "is_p", "is_heading", "is_item", "is_cell", "is_frame", "is_article", "is_top", "is_fallback", "good", "bad",
+    "in_frame", "in_article", "above_good", "above_bad", "in_comments", "place", "siblings", "like", "is_run", "share", "of_parent", "most_prose", "before", "after", "parent_links", "parent_prose",
 )
+AT = {name: i for i, name in enumerate(NAMES)}
 
 
 class Page:
@@ -221,46 +259,55 @@ class Page:
             me = len(self.nodes)
             self.nodes.append(node)
             self.parent.append(parent)
-            good, bad = bool(GOOD.search(node.name)), bool(BAD.search(node.name))
+            top = node.tag in TOP_TAGS
+            good, bad, comments = (False, False, False) if top or not node.name else told(node.name)
             frame, article = node.tag in FRAME_TAGS, node.tag in ("article", "main")
             text, is_run = node.text, node.tag == "#"
             holder = node.parent.tag if is_run else node.tag
+            words = text.count(" ") + 1 if text else 0
+            ends = text[-1:] in tuple(".!?…\"”»。！？") if text else False
             rows.append([
-                depth, len(text), node.link_chars, text.count(" ") + 1 if text else 0, float(text[-1:] in tuple(".!?…\"”»。！？")), text.count(","), 1.0 if is_run else 0.0,
-                holder == "p", holder[0] == "h" and holder[1:].isdigit(), holder in ("li", "dd", "dt"), holder in ("td", "th"), frame, article, good, bad,
-                *above, place, 0.0, len(node.parent.children) if node.parent else 0, like, is_run, 0.0, 0.0,
+                depth, len(text), node.link_chars, words, ends, text.count(","), is_run, bool(text and MARKS.search(text)), len(text) if words > 9 and 2 * node.link_chars < len(text) else 0,
+                holder == "p", holder[0] == "h" and holder[1:].isdigit(), holder in ("li", "dd", "dt"), holder in ("td", "th"), frame, article, top, holder in FALLBACK, good, bad,
+                *above, place, len(node.parent.children) if node.parent else 0, like, is_run, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0,
             ])
-            inside = (above[0] + frame, above[1] + article, above[2] + good, above[3] + bad, above[4] + bool(COMMENTS.search(node.name)))
-            tags: dict[str, int] = {}
-            for child in node.children:
-                tags[child.tag] = tags.get(child.tag, 0) + 1
+            inside = (above[0] + frame, above[1] + article, above[2] + good, above[3] + bad, above[4] + comments)
+            tags = Counter(child.tag for child in node.children)
             n = len(node.children)
             for k in range(n - 1, -1, -1):
                 child = node.children[k]
                 todo.append((child, me, depth + 1, inside, k / max(1, n - 1), tags[child.tag]))
         self.x = np.array(rows, float).reshape(len(rows), len(NAMES))
-        self._subtrees()
+        if len(rows):
+            self._subtrees()
 
     def _subtrees(self) -> None:
-        x, parent = self.x, self.parent
+        x, parent = self.x, np.array(self.parent)
+        sums = slice(AT["chars"], AT["prose"] + 1)
         for i in range(len(parent) - 1, 0, -1):  # sums over subtrees; a run's own values are its sums
-            x[parent[i], 1:7] += x[i, 1:7]
-        if not len(x):
-            return
-        total = max(1.0, x[0, 1])
-        runs = np.flatnonzero(x[:, 24] > 0)
+            x[parent[i], sums] += x[i, sums]
+        chars, prose = x[:, AT["chars"]].copy(), x[:, AT["prose"]].copy()
+        runs = np.flatnonzero(x[:, AT["is_run"]] > 0)
         self.runs = runs
-        lengths = np.log1p(x[runs, 1])
-        x[runs, 25] = np.concatenate([[0], lengths[:-1]])
-        x[runs, 26] = np.concatenate([lengths[1:], [0]])
-        blocks = np.maximum(1.0, x[:, 6])
-        x[:, 21] = x[:, 1] / total
-        x[:, 2] /= np.maximum(1.0, x[:, 1])
-        x[:, 4] /= blocks
-        x[:, 5] /= np.maximum(1.0, x[:, 3])
-        x[:, 3] = np.log1p(x[:, 3] / blocks)
-        x[:, 1] = np.log1p(x[:, 1])
-        x[:, 6] = np.log1p(x[:, 6])
+        lengths = np.log1p(chars[runs])
+        x[runs, AT["before"]] = np.concatenate([[0], lengths[:-1]])
+        x[runs, AT["after"]] = np.concatenate([lengths[1:], [0]])
+        blocks, some = np.maximum(1.0, x[:, AT["blocks"]]), np.maximum(1.0, chars)
+        up = np.maximum(parent, 0)
+        x[:, AT["share"]] = chars / some[0]
+        x[:, AT["of_parent"]] = chars / some[up]
+        most = np.zeros(len(x))
+        np.maximum.at(most, up[1:], prose[1:])
+        x[:, AT["most_prose"]] = (prose > 0) & (prose >= most[up])
+        x[:, AT["links"]] /= some
+        x[:, AT["ends"]] /= blocks
+        x[:, AT["marks"]] /= blocks
+        x[:, AT["commas"]] /= np.maximum(1.0, x[:, AT["words"]])
+        x[:, AT["words"]] = np.log1p(x[:, AT["words"]] / blocks)
+        x[:, AT["prose"]] = prose / some
+        x[:, AT["chars"]] = np.log1p(chars)
+        x[:, AT["blocks"]] = np.log1p(x[:, AT["blocks"]])
+        x[:, AT["parent_links"]], x[:, AT["parent_prose"]] = x[up, AT["links"]], x[up, AT["prose"]]
 
 
 class Trees:
@@ -285,7 +332,7 @@ class Trees:
             at = np.ones(len(y), int)
             for node in range(1, 2**DEPTH):
                 rows = np.flatnonzero(at == node)
-                if len(rows) < 20:
+                if len(rows) < 60:
                     continue
                 best = (1e-3, -1, 0)
                 sum_g, sum_h = g[rows].sum(), h[rows].sum()
@@ -310,6 +357,29 @@ class Trees:
             self.value.append(value)
         return self
 
+    def stored(self) -> str:
+        """The trees as JSON: for each its inner nodes (node, feature, limit) and its leaves (node, value)."""
+        inner = [[[int(i), int(f[i]), float(t[i])] for i in np.flatnonzero(f >= 0)] for f, t in zip(self.feature, self.limit, strict=True)]
+        leaves = [[[int(i), round(float(v[i]), 6)] for i in np.flatnonzero(v)] for v in self.value]
+        return json.dumps({"features": list(NAMES), "pages": TRAINING_PAGES, "depth": DEPTH, "start": round(self.start, 6), "inner": inner, "leaves": leaves}, separators=(",", ":"))
+
+    @classmethod
+    def read(cls, text: str) -> Trees:
+        held, out = json.loads(text), cls()
+        if held["features"] != list(NAMES) or held["depth"] != DEPTH:
+            raise ValueError("the stored trees are of other features; write them anew")
+        out.start = held["start"]
+        for inner, leaves in zip(held["inner"], held["leaves"], strict=True):
+            feature, limit, value = np.full(2 ** (DEPTH + 1), -1), np.zeros(2 ** (DEPTH + 1)), np.zeros(2 ** (DEPTH + 1))
+            for i, f, t in inner:
+                feature[i], limit[i] = f, t
+            for i, v in leaves:
+                value[i] = v
+            out.feature.append(feature)
+            out.limit.append(limit)
+            out.value.append(value)
+        return out
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.start)
         every = np.arange(len(x))
@@ -322,10 +392,20 @@ class Trees:
         return score
 
 
+def votes(page: Page, odds: np.ndarray) -> np.ndarray:
+    """Each node's log odds, weighed by the text below it. The page and its body have no say; a run that is all of its element is judged together with it."""
+    own = np.clip(odds, -6, 6) * (1 + page.x[:, AT["chars"]]) * (page.x[:, AT["is_top"]] == 0)
+    out = own.copy()
+    for i in page.runs:
+        if len(page.nodes[page.parent[i]].children) == 1:
+            out[i] += own[page.parent[i]]
+    return out
+
+
 def decode(page: Page, odds: np.ndarray) -> list[str]:
-    """The texts of the runs that stay. A container adds its own log odds, weighed by the words below it."""
+    """The texts of the runs that stay: those of the best choice of nodes that keeps none below a dropped one."""
     n = len(page.nodes)
-    own = np.clip(odds, -6, 6) * (1 + page.x[:, 1])
+    own = votes(page, odds)
     best = np.zeros(n)
     for i in range(n - 1, -1, -1):
         best[i] += own[i]
@@ -346,6 +426,9 @@ def decode(page: Page, odds: np.ndarray) -> list[str]:
 # Words for the training pages.
 _WORDS = "der die und mit von für the of and to in that with from was which les des une pour dans est que por para con como sobre data model river stone glass light paper water garden window market letter winter engine signal".split()
 _SHORT = "Home About Contact News Sports Login Register Search Next Previous Tags Share Print Subscribe Menu Accueil Startseite Inicio Archiv Help Terms Privacy Jobs Shop Cart".split()
+_HOLDERS = "article article-body post post-content entry entry-content content main-content story story-body text prose blog-post richtext td-post-content".split()
+_SHELLS = "page site wrapper container main-wrapper row grid outer inner layout col-md-8 columns l-page u-flex app".split()
+_AROUND = "single-post has-sidebar with-sidebar no-sidebar ad-free logged-in category-news tag-river tag-ads category-widgets post-4711 status-publish type-post format-standard has-comments no-js theme-light page-template-default with-header is-wide has-banner".split()
 
 
 def training_pages(count: int = TRAINING_PAGES, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
@@ -355,122 +438,222 @@ def training_pages(count: int = TRAINING_PAGES, seed: int = 11) -> Iterator[tupl
 
 
 class _Writer:
+    """One page: a shell (plain, nested, semantic, table), an article of some length and mark-up, and framing parts with telling names, or none."""
+
     def __init__(self, r: random.Random):
         self.r, self.main = r, []
-        self.junk = r.random() < 0.15  # text that is not prose is main text all the same
+        self.noise = r.choice((" | ", "*** ", "!! ", " &amp; ", "### ", "%%% ")) if r.random() < 0.12 else ""  # text that is not prose is main text all the same
+        self.named = r.random() < 0.7  # whether elements have names
+        self.semantic = r.random() < 0.6  # or tags that tell of them
+
+    def some(self, p: float, f) -> str:
+        return f() if self.r.random() < p else ""
 
-    def name(self, *names: str) -> str:
+    def attr(self, *names: str, always: bool = False) -> str:
         r = self.r
-        if r.random() < 0.35:
+        if not (always or (self.named and r.random() < 0.8)):
             return ""
-        return f' {r.choice(("class", "id", "class"))}="{r.choice(names)}{r.choice(("", "", "-1", " x2", "_box", " col-" + str(r.randint(1, 9))))}"'
+        extra = [x for x in (r.choice(_SHELLS), r.choice(_AROUND)) if r.random() < 0.25]
+        key = r.choice(("class", "class", "class", "id"))
+        return f' {key}="{" ".join([r.choice(names), *(extra if key == "class" else ())])}"'
 
-    def words(self, low: int, high: int) -> str:
+    def tag(self, semantic: str, plain: str = "div") -> str:
+        return semantic if self.semantic and self.r.random() < 0.85 else plain
+
+    def words(self, low: int, high: int, noise: bool = False) -> str:
         r = self.r
         n = r.randint(low, high)
-        out = [("".join(r.choice(_WORDS)[:4] for _ in range(r.randint(1, 3))) if r.random() < 0.6 else r.choice(_WORDS)) for _ in range(n)]
-        if self.junk:
-            mark = r.choice((" | ", "*** ", "!! ", " &amp; ", "### "))
-            return mark.join(out)
-        for i in range(0, n, r.randint(5, 12)):
-            out[i] = out[i].capitalize()
-            if i:
-                out[i - 1] += r.choice((".", ".", ",", ";", "?"))
+        out = [("".join(r.choice(_WORDS)[:4] for _ in range(r.randint(1, 3))) if r.random() < 0.5 else r.choice(_WORDS)) for _ in range(n)]
+        if noise and self.noise:
+            return self.noise.join(out)
         return " ".join(out)
 
-    def prose(self) -> str:
-        low, high = self.r.choice(((1, 4), (4, 20), (10, 60), (30, 160), (100, 400)))
-        return self.words(low, high) + self.r.choice((".", ".", ".", ""))
+    def prose(self, low: int, high: int, noise: bool = False) -> str:
+        """Sentences of ``low`` to ``high`` words in all."""
+        if noise and self.noise:
+            return self.words(low, high, True)
+        r, left, out = self.r, self.r.randint(low, high), []
+        while left > 0:
+            n = min(left, r.randint(4, 22))
+            w = self.words(n, n).split(" ")
+            for i in range(3, n - 1):
+                if r.random() < 0.1:
+                    w[i] += ","
+            w[0] = w[0].capitalize()
+            out.append(" ".join(w) + r.choice("....!?"))
+            left -= n
+        return " ".join(out)
 
-    def main_block(self, text: str | None = None) -> str:
-        text = text or self.prose()
-        self.main.append(SPACE.sub(" ", entities.unescape(text)).strip())
-        if self.r.random() < 0.2:
-            a, _, b = text.partition(" ")
-            text = self.r.choice((f'<a href="/x">{a}</a> {b}', f"<b>{a}</b> {b}", f"<em>{a} {b}</em>"))
-        return text
+    # main text
 
-    def article(self) -> str:
+    def block(self, text: str) -> str:
+        """A block of the main text, some words of it marked up."""
+        r = self.r
+        self.main.append(SPACE.sub(" ", entities.unescape(text)).strip())
+        w = text.split(" ")
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2, 4))):
+            i = r.randrange(len(w))
+            if "<" not in w[i] and "&" not in w[i]:
+                w[i] = r.choice(('<a href="/ref">{}</a>', '<a class="link" href="https://x.example/a?b=1&amp;c=2">{}</a>', "<b>{}</b>", "<em>{}</em>", "<strong>{}</strong>", "<code>{}</code>", "<span>{}</span>")).format(w[i])
+        if r.random() < 0.03:
+            return f'<a href="/all">{text}</a>'
+        return r.choice((" ", " ", " ", "\n")).join(w)
+
+    def paragraph(self) -> str:
+        if self.r.random() < 0.06:  # an article may speak of what frames a page
+            return self.block(self.r.choice(("All rights reserved.", "Copyright 2019 by the author.", f"{self.prose(4, 20)} Cookies and javascript. {self.prose(2, 10)}", f"Subscribe, {self.prose(4, 20)}", "&copy; the author")))
+        return self.block(self.prose(*self.r.choice(((1, 5), (4, 20), (8, 30), (15, 60), (30, 120), (90, 300))), noise=True))
+
+    def body(self) -> str:
+        """The blocks below the title, in one of the ways in which sites write paragraphs."""
         r, out = self.r, []
-        if r.random() < 0.85:
-            title = self.main_block(self.words(1, 12))
-            out.append(f"<h1{self.name('title', 'headline', 'entry-title')}>{title}</h1>")
-        for _ in range(r.choice((0, 1, 2, 3, 5, 8, 14, 25))):
+        way = r.choice(("p", "p", "p", "p", "div", "br", "open"))
+        lines = []
+
+        def end() -> None:
+            if lines:
+                out.append(r.choice(("<br><br>", "<br/>\n<br/>", "<br /> <br />")).join(lines))
+                lines.clear()
+
+        for _ in range(r.choice((1, 1, 2, 3, 4, 5, 6, 8, 12, 25))):
             kind = r.random()
             if kind < 0.72:
-                out.append(f"<p>{self.main_block()}</p>")
-            elif kind < 0.77:
-                out.append(f"<p><b>{self.main_block()}<br>")
-            elif kind < 0.83:
-                out.append(f"<h{r.randint(2, 4)}>{self.main_block(self.words(1, 8))}</h3>".replace("</h3>", "</h2>") if r.random() < 0.0 else f"<h2>{self.main_block(self.words(1, 8))}</h2>")
-            elif kind < 0.88:
-                out.append("<ul>" + "".join(f"<li>{self.main_block(self.words(2, 25))}</li>" for _ in range(r.randint(1, 6))) + "</ul>")
-            elif kind < 0.91:
-                out.append(f"<blockquote><p>{self.main_block()}</p></blockquote>")
-            elif kind < 0.93:
-                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.main_block(self.words(1, 5))}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
+                if way == "br":
+                    lines.append(self.paragraph())
+                else:
+                    out.append({"p": f"<p{self.some(0.1, lambda: self.attr('paragraph', 'p1', 'has-text-align-left'))}>{{}}</p>", "div": "<div>{}</div>", "open": "<p>{}"}[way].format(self.paragraph()))
+                continue
+            end()
+            if kind < 0.79:
+                h = r.choice(("h2", "h2", "h3", "h4"))
+                out.append(f"<{h}>{self.block(self.words(1, 8, True))}</{h}>")
+            elif kind < 0.84:
+                items = "".join(f"<li>{self.block(self.prose(2, 25, True))}</li>" for _ in range(r.randint(1, 6)))
+                out.append(r.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format(items))
+            elif kind < 0.87:
+                out.append(r.choice(("<blockquote><p>{}</p></blockquote>", "<blockquote>{}</blockquote>", "<pre>{}</pre>")).format(self.paragraph()))
+            elif kind < 0.9:
+                out.append("<table>" + "".join("<tr>" + "".join(f"<{c}>{self.block(self.words(1, 5, True))}</{c}>" for c in ("th", "td", "td")) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
+            elif kind < 0.92:
+                out.append(f"<figure><img src=\"/p.jpg\" alt=\"\"><figcaption>{self.block(self.prose(3, 20))}</figcaption></figure>")
+            elif kind < 0.935:
+                out.append("<dl>" + "".join(f"<dt>{self.block(self.words(1, 4))}</dt><dd>{self.block(self.prose(3, 25))}</dd>" for _ in range(r.randint(1, 4))) + "</dl>")
             elif kind < 0.95:
-                out.append(f"<div{self.name('text', 'paragraph', 'block')}>{self.main_block()}</div>")
+                out.append(f"<noscript><p>{self.block(self.prose(20, 60))}</p></noscript>")
             else:
-                out.append(r.choice((self.advert, self.share_box, self.form, self.notice))())
-        if not self.main:
-            out.append(f"<p>{self.main_block()}</p>")
-        return "".join(out)
+                out.append(r.choice((self.advert, self.sharing, self.form, self.related, self.player))())
+        end()
+        return r.choice(("", "\n")).join(out)
+
+    def article(self) -> str:
+        r = self.r
+        title = ""
+        if r.random() < 0.88:
+            h = r.choice(("h1", "h1", "h1", "h2"))
+            title = f"<{h}{self.some(0.3, lambda: self.attr('title', 'headline', 'entry-title', 'post-title'))}>{self.block(self.words(1, 12, True))}</{h}>"
+            if self.semantic and r.random() < 0.15:
+                title = f"<header{self.attr('entry-header', 'article-header')}>{title}</header>"
+        return title + self.some(0.25, self.byline) + self.body() + self.some(0.2, self.sharing)
+
+    # framing parts
+
+    def byline(self) -> str:
+        return f"<div class=\"{self.r.choice(('byline', 'meta', 'entry-meta', 'post-meta', 'author-info'))}\"><span>{self.words(1, 3)}</span> <a href=\"/author\">{self.words(1, 2)}</a></div>"
 
     def links(self, low: int = 2, high: int = 12) -> str:
         r = self.r
         texts = [r.choice(_SHORT) if r.random() < 0.5 else self.words(1, r.choice((1, 1, 3, 8))) for _ in range(r.randint(low, high))]
-        return "<ul>" + "".join(f'<li><a href="/{i}">{t}</a></li>' for i, t in enumerate(texts)) + "</ul>" if r.random() < 0.7 else r.choice((" | ", " ", " &raquo; ")).join(f'<a href="/{i}">{t}</a>' for i, t in enumerate(texts))
+        each = [f'<a href="/{i}">{t}</a>' for i, t in enumerate(texts)]
+        return r.choice((lambda: "<ul>" + "".join(f"<li>{a}</li>" for a in each) + "</ul>", lambda: r.choice((" | ", " ", " &raquo; ", " &middot; ")).join(each), lambda: "".join(f"<div>{a}</div>" for a in each)))()
 
     def advert(self) -> str:
-        tag = self.r.choice(("div", "div", "aside", "section"))
-        return f"<{tag} class=\"{self.r.choice(('ad', 'ads', 'advert', 'banner', 'sponsored', 'promo box', 'ad-slot'))}\">{self.words(3, 30)}.</{tag}>"
+        tag = self.r.choice(("div", "div", "aside", "section", "ins"))
+        text = self.r.choice((lambda: self.prose(3, 30), lambda: f'<p>{self.prose(3, 25)}</p><a href="/buy">{self.words(1, 4)}</a>', lambda: f'<span>Advertisement</span><a href="/buy">{self.words(2, 8)}</a>'))()
+        return f"<{tag} class=\"{self.r.choice(('ad', 'ads', 'ad-slot', 'advert', 'advertisement', 'banner', 'sponsored', 'promo', 'ad-container', 'sponsor-box'))}\">{text}</{tag}>"
 
-    def share_box(self) -> str:
-        return f"<div class=\"{self.r.choice(('share', 'social', 'share-buttons', 'tags', 'related', 'recommended'))}\">{self.links(1, 6)}</div>"
+    def sharing(self) -> str:
+        return f"<div class=\"{self.r.choice(('share', 'social', 'share-buttons', 'social-links', 'post-tags tags', 'sharing'))}\">{self.links(1, 6)}</div>"
+
+    def related(self) -> str:
+        r = self.r
+        cards = "".join(f'<div class="card"><h3><a href="/{i}">{self.words(3, 9)}</a></h3>{self.some(0.6, lambda: f"<p>{self.prose(6, 25)}</p>")}</div>' for i in range(r.randint(1, 5)))
+        tag = r.choice(("div", "section", "aside"))
+        return f"<{tag} class=\"{r.choice(('related', 'related-posts', 'recommended', 'read-more teasers', 'trending', 'popular-posts'))}\"><h3>{self.words(1, 3)}</h3>{r.choice((cards, self.links(2, 6)))}</{tag}>"
+
+    def player(self) -> str:
+        return self.r.choice(("<video controls><source src=\"a.mp4\">Your browser does not support video.</video>", "<audio controls>Your browser does not play sound, <a href=\"a.mp3\">download it</a>.</audio>", "<noscript>Please enable JavaScript to view this.</noscript>", "<noscript><img src=\"/pixel.gif\" alt=\"\"></noscript>", "<canvas>Your browser shows no canvas.</canvas>"))
 
     def form(self) -> str:
-        return f"<form{self.name('newsletter', 'search', 'login')}><label>{self.words(1, 10)}</label><input name=q><p>{self.words(2, 15)}.</p><button>Go</button></form>"
+        tag = self.r.choice(("form", "form", "div"))
+        return f"<{tag}{self.attr('newsletter', 'search', 'login', 'newsletter-signup', 'subscribe-box', always=tag == 'div')}><label>{self.words(1, 10)}</label><input name=q><p>{self.prose(2, 15)}</p><button>Go</button></{tag}>"
 
     def notice(self) -> str:
-        return f"<div class=\"{self.r.choice(('cookie', 'cookie-notice', 'consent', 'notice', 'popup', 'modal', 'alert'))}\"><p>{self.words(6, 40)}.</p></div>"
+        text = self.r.choice((lambda: self.prose(6, 40), lambda: f"We use cookies. {self.prose(4, 25)}"))()
+        return f"<div {self.r.choice(('class', 'id'))}=\"{self.r.choice(('cookie-banner', 'cookie-notice', 'consent', 'gdpr-notice', 'notice', 'popup', 'modal', 'overlay'))}\"><p>{text}</p>{self.some(0.5, lambda: '<button>OK</button>')}</div>"
+
+    def nav(self) -> str:
+        tag = self.tag("nav")
+        return f"<{tag}{self.attr('nav', 'menu', 'main-menu', 'navbar', 'site-navigation', 'breadcrumbs', 'topnav')}>{self.links(3, 14)}</{tag}>"
 
     def header(self) -> str:
-        return f"<header{self.name('header', 'masthead', 'top')}><div{self.name('logo', 'brand')}>{self.words(1, 4)}</div>{self.nav() if self.r.random() < 0.6 else ''}<p>{self.words(2, 12)}</p></header>"
+        tag = self.tag("header")
+        inner = self.r.choice((f"<div>{self.words(1, 4)}</div>", f'<a href="/">{self.words(1, 3)}</a>', f"<h1>{self.words(1, 3)}</h1>" if tag == "header" else f"<span>{self.words(1, 3)}</span>"))
+        return f"<{tag}{self.attr('header', 'masthead', 'site-header', 'page-header', 'top-banner', always=tag == 'div')}>{inner}{self.some(0.5, lambda: f'<p>{self.words(2, 10)}</p>')}{self.some(0.5, self.nav)}</{tag}>"
 
-    def nav(self) -> str:
-        return f"<nav{self.name('nav', 'menu', 'main-menu')}>{self.links()}</nav>" if self.r.random() < 0.8 else f"<div class=\"{self.r.choice(('nav', 'menu', 'breadcrumb', 'topnav'))}\">{self.links()}</div>"
+    def widget(self) -> str:
+        return f"<h3>{self.words(1, 4)}</h3>" + self.r.choice((self.links, lambda: f"<p>{self.prose(5, 50)}</p>", lambda: "".join(f'<p><a href="/{i}">{self.words(3, 8)}</a> {self.prose(4, 14)}</p>' for i in range(self.r.randint(1, 4)))))()
 
     def sidebar(self) -> str:
-        inner = "".join(f"<h3>{self.words(1, 4)}</h3>" + self.r.choice((lambda: self.links(), lambda: f"<p>{self.words(5, 60)}.</p>"))() for _ in range(self.r.randint(1, 4)))
-        return f"<aside{self.name('sidebar', 'side', 'widgets')}>{inner}</aside>" if self.r.random() < 0.6 else f"<div class=\"{self.r.choice(('sidebar', 'right-side', 'widget-area', 'side-column'))}\">{inner}</div>"
+        tag = self.tag("aside")
+        inner = "".join(self.widget() if self.r.random() < 0.6 else f"<div class=\"widget\">{self.widget()}</div>" for _ in range(self.r.randint(1, 4)))
+        return f"<{tag}{self.attr('sidebar', 'side', 'widget-area', 'right-rail', 'side-column', always=tag == 'div')}>{inner}</{tag}>"
 
     def comments(self) -> str:
         r = self.r
-        tag, each = r.choice((("section", "div"), ("div", "div"), ("ol", "li"), ("div", "article")))
-        body = "".join(f"<{each} class=\"{r.choice(('comment', 'reply', 'comment-body'))}\"><p class=\"author\">{self.words(1, 3)}</p><p>{self.words(3, 80)}.</p></{each}>" for _ in range(r.randint(1, 6)))
-        return f"<{tag} {r.choice(('id', 'class'))}=\"{r.choice(('comments', 'comment-list', 'disqus_thread', 'discussion', 'responses-comments'))}\"><h3>{self.words(1, 3)}</h3>{body}</{tag}>"
+        tag, each = r.choice((("section", "div"), ("div", "div"), ("ol", "li"), ("div", "article"), ("ul", "li")))
+        one = lambda: f"<{each} class=\"{r.choice(('comment', 'reply', 'comment-body', 'comment even depth-1'))}\"><p class=\"{r.choice(('author', 'who', 'comment-meta'))}\">{self.words(1, 3)}</p><p>{self.prose(3, 80)}</p></{each}>"
+        return f"<{tag} {r.choice(('id', 'class'))}=\"{r.choice(('comments', 'comment-list', 'disqus_thread', 'discussion comments', 'responses'))}\"><h3>{self.words(1, 3)}</h3>{''.join(one() for _ in range(r.randint(1, 6)))}{self.some(0.3, self.form)}</{tag}>"
 
     def footer(self) -> str:
-        text = f"&copy; {self.words(1, 3)} &middot; {self.words(2, 40)}."
-        return f"<footer{self.name('footer', 'bottom')}>{text}{self.links() if self.r.random() < 0.4 else ''}</footer>" if self.r.random() < 0.8 else f"<div class=\"{self.r.choice(('footer', 'copyright', 'legal', 'site-footer'))}\"><p>{text}</p></div>"
+        r = self.r
+        tag = self.tag("footer", r.choice(("div", "div", "p")))
+        text = r.choice((f"&copy; {r.randint(1999, 2025)} {self.words(1, 4)}.", f"&copy; {self.words(1, 3)} &middot; {self.prose(2, 40)}", f"Copyright {self.words(1, 4)}. All rights reserved.", f"{self.words(1, 3)} | {self.words(1, 4)}" if tag == "footer" else "&copy;"))
+        return f"<{tag}{self.attr('footer', 'site-footer', 'copyright', 'legal', 'bottom', always=tag == 'div')}>{text}{self.some(0.4, self.links) if tag != 'p' else ''}</{tag}>"
+
+    # shells
 
     def page(self) -> tuple[str, list[str]]:
         r = self.r
-        some = lambda f, p: f() if r.random() < p else ""
-        tag, closing = r.choice((("article", "article"), ("article", "article"), ("main", "main"), ("div", "div"), ("section", "section")))
-        name = self.name("article", "content", "post", "entry-content", "story", "main-text") if tag in ("article", "main") else f' class="{r.choice(("article", "content", "post", "entry-content", "story", "main-text"))}"'
-        body = f"<{tag}{name}>{self.article()}{some(self.share_box, 0.2)}{some(self.comments, 0.12)}</{closing}>"
-        for _ in range(r.choice((0, 0, 1, 2))):
-            body = f"<div{self.name('wrapper', 'container', 'main', 'row', 'page')}>{body}{some(self.sidebar, 0.2)}</div>"
-        top = some(self.notice, 0.2) + some(self.header, 0.4) + some(self.nav, 0.7) + "<!-- ad 1 -->" + some(self.advert, 0.5)
-        rest = some(self.comments, 0.25) + some(self.sidebar, 0.25) + some(self.advert, 0.2) + some(self.form, 0.2) + some(self.footer, 0.8) + some(self.notice, 0.15)
-        page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(1, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{top}{body}{rest}</body></html>'
-        return page, self.main
+        shell = r.choice(("bare", "bare", "bare", "nested", "nested", "nested", "named", "named", "named", "semantic", "semantic", "table", "table"))
+        body = self.article()
+        if shell == "semantic":
+            tag = r.choice(("article", "article", "main", "section"))
+            body = f"<{tag}{self.attr(*_HOLDERS, always=tag == 'section')}>{body}{self.some(0.12, self.comments)}</{tag}>"
+        elif shell == "named":
+            body = f"<div{self.attr(*_HOLDERS, always=True)}>{body}</div>"
+        elif shell == "nested":
+            for _ in range(r.randint(1, 3)):
+                body = f"<div>{body}</div>"
+        after = self.some(0.3, self.comments) + self.some(0.25, self.related) + self.some(0.15, self.advert) + self.some(0.15, self.form)
+        side = self.some(0.4, self.sidebar)
+        if shell == "table":
+            left = self.some(0.7, self.links)
+            inner = f"<tr>{f'<td width=150>{left}</td>' if left else ''}<td>{body}</td>{f'<td>{side}</td>' if side else ''}</tr>"
+            body = f"<table width=\"100%\">{self.some(0.4, lambda: f'<tr><td colspan=3>{self.links(3, 8)}</td></tr>')}{inner}</table>{after}"
+        else:
+            body = r.choice((f"{body}{after}{side}", f"{side}{body}{after}"))
+            for _ in range(r.choice((0, 0, 0, 1) if shell == "bare" else (0, 0, 1, 1, 2))):
+                body = f"<div{self.attr(*_SHELLS)}>{body}</div>"
+        top = self.some(0.2, self.notice) + self.some(0.45, self.header) + self.some(0.6, self.nav) + self.some(0.25, self.advert)
+        rest = self.some(0.7, self.footer) + self.some(0.15, self.notice) + self.some(0.1, self.player)
+        around = f' class="{" ".join(r.sample(_AROUND, r.randint(1, 5)))}"' if r.random() < 0.3 else ""
+        script = r.choice(("", "<script>if (a < b && c > d) { document.write('<div class=\"x\">' + t + '</div>'); }</script>", '<script type="application/json">{"body": "<p>no</p>"}</script>'))
+        head = f"<head><title>{self.words(1, 8)}</title>{r.choice(('', '<style>h1 { color: red } p > a { color: blue }</style>'))}{script}</head>"
+        return f"{r.choice(('', '<!DOCTYPE html>'))}<html>{head}<body{around}>{top}{r.choice(('', '<!-- begin -->'))}{body}{rest}{script if r.random() < 0.2 else ''}</body></html>", self.main
 
 
 def _labels(page: Page, main: list[str]) -> np.ndarray:
-    """1 for runs of the main text (each of its blocks once, in order) and for containers of which most text is main."""
+    """1 for runs of the main text (each of its blocks once, in order) and for containers of which a quarter of the text is main."""
     good = np.zeros(len(page.nodes))
     size = np.zeros(len(page.nodes))
     at = 0
@@ -481,11 +664,11 @@ def _labels(page: Page, main: list[str]) -> np.ndarray:
     for i in range(len(page.nodes) - 1, 0, -1):
         good[page.parent[i]] += good[i]
         size[page.parent[i]] += size[i]
-    return (good * 2 > size).astype(float)
+    return (good * 4 > size).astype(float)
 
 
-@lru_cache(1)
-def trained() -> Trees:
+def fitted() -> Trees:
+    """Trees trained anew."""
     xs, ys, ws = [], [], []
     for source, main in training_pages():
         page = Page(source)
@@ -495,6 +678,11 @@ def trained() -> Trees:
     return Trees().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
 
 
+@lru_cache(1)
+def trained() -> Trees:
+    return Trees.read(MODEL.read_text())
+
+
 def extract(sources: list[str], trees: Trees) -> list[list[str]]:
     """The kept blocks of each page."""
     pages = [Page(s) for s in sources]
@@ -526,3 +714,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), as_bytes("html").alias("raw"))
     texts = raw.mapInArrow(_extracted(share(pages.sparkSession, trained())), "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+if __name__ == "__main__":
+    MODEL.write_text(fitted().stored())
