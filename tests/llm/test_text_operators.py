@@ -59,6 +59,7 @@ def test_quality_line_rules():
     assert judge("SOME LONG SHOUTING LINE WITH MORE THAN TEN WORDS IN IT HERE.") == "shouting"
     assert judge("and and and and and and and and and more words.") == "monotone"
     assert judge("ta ta ta ta ta ro ro ro ro ro mi mi mi mi.") == "monotone"
+    assert judge(" ".join(f"w{i}" for i in range(25))) == "punctuation" and judge(" ".join(f"w{i}" for i in range(24)) + ", x") is None
     assert judge("Lorem") == "fragment" and judge("A sentence of prose, with commas.") is None
     assert judge("La maison est belle et le jardin aussi") is None
     kept, failed, lost = quality_rules.clean_lines("One good line.\n\nOne good line.\nHome | A | B")
@@ -79,6 +80,7 @@ def test_failed_lines_are_removed(docs, prose):
     df = docs([dirty, want, "Home | About\n" * 30], extra=True)
     got = rows(quality_rules.quality_rules(df))
     assert got[0].cleaned == got[1].cleaned == want and got[2].cleaned is None
+    assert got[2].base_failed and (got[2].n_failed_lines, got[2].n_failed_words) == (30, 90)
     out = rows(quality_rules.drop_rejected(df))
     assert {i: (r.text, r.n_chars) for i, r in out.items()} == {0: (want, len(want)), 1: (want, len(want))}
 

@@ -31,6 +31,7 @@ ln AS (
     OR len(regexp_extract_all(line, '[#*$%&|<>{{}}~^]')) * 100 > 30 * n OR len(regexp_extract_all(line, '!!|\?\?')) * 100 > 30 * n
     OR n <= 6 AND NOT ended AND regexp_matches(line, '(?i)\b(?:home|menu|login|log in|sign (?:in|up)|register|subscribe|search|next|previous|share|contact|sitemap|read more|click here|back to top|accueil|connexion|startseite|anmelden|inicio|buscar)\b')
     OR n <= 40 AND regexp_matches(line, '(?i)\b(?:cookies?|privacy policy|all rights reserved|terms of (?:use|service)|lorem ipsum|javascript|newsletter|advertisement|powered by)\b')
+    OR n >= 25 AND NOT regexp_matches(line, '[.,;:!?…。，、；：！？؟।]')
     OR n >= 10 AND (up * 10 > 7 * (up + low) OR list_max(map_values(list_histogram(w))) * 2 > n OR len([i FOR i IN range(1, n) IF w[i] = w[i + 1]]) * 100 > 30 * n)
     OR n < 3 AND NOT ended AS failed
   FROM mk
@@ -43,7 +44,7 @@ ln AS (
   FROM d LEFT JOIN rep USING (r) LEFT JOIN sums USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost * 2 <= n_words AS kept, n_lines,
-       CASE WHEN base_failed THEN 0 ELSE bad END AS n_failed_lines, CASE WHEN base_failed THEN 0 ELSE lost END AS n_failed_words
+       bad AS n_failed_lines, lost AS n_failed_words
 FROM base
 """
 

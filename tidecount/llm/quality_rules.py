@@ -5,12 +5,14 @@ A line fails when one of these holds (a line without a word is neither kept nor
 * ``symbols``: over 30 characters of ``#*$%&|<>{}~^`` for each 100 words, or doubled ``!!``/``??`` after over 30 % of its words
 * ``navigation``: a fifth of its words are separators (``|``, ``»``, ``›``, ``•``, ``·``), or at most six words without an end mark that name a menu entry
 * ``boilerplate``: at most 40 words with a notice that sites repeat (cookies, rights, scripts, terms)
+* ``punctuation``: 25 or more words without any mark of punctuation
 * ``shouting``: ten or more words, over 70 % of the cased letters upper case
 * ``monotone``: ten or more words of which one makes up over half, or over 30 % equal the next
 * ``fragment``: fewer than three words and no end mark
 * ``repeated``: equal to an earlier line of the document
 
-A document is kept when the base rules pass and its failed lines hold at most half of its words. Its failed lines are then removed.
+A document is kept when the base rules pass and its failed lines hold at most half of its words. Its failed lines are then removed. Lines are
+judged in every document, whatever the base rules say.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ NOISE = re.compile(r"[#*$%&|<>{}~^]")
 DOUBLED = re.compile(r"(?:!!|\?\?)")
 SEPARATORS = frozenset("|»›•·")
 END_MARKS = tuple(".!?:;…。！？؟।\"”»')]")
+MARK = re.compile("[.,;:!?…。，、；：！？؟।]")
 MENU = re.compile(r"(?ia)\b(?:home|menu|login|log in|sign (?:in|up)|register|subscribe|search|next|previous|share|contact|sitemap|read more|click here|back to top|accueil|connexion|startseite|anmelden|inicio|buscar)\b")
 NOTICE = re.compile(r"(?ia)\b(?:cookies?|privacy policy|all rights reserved|terms of (?:use|service)|lorem ipsum|javascript|newsletter|advertisement|powered by)\b")
 
@@ -83,6 +86,8 @@ def failure(line: str, words: list[str]) -> str | None:
         return "navigation"
     if n <= 40 and NOTICE.search(line):
         return "boilerplate"
+    if n >= 25 and not MARK.search(line):
+        return "punctuation"
     if n >= 10:
         if line != line.lower():
             cased = sum(map(str.islower, line)), sum(map(str.isupper, line))
@@ -133,7 +138,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = (raw or b"").decode("utf-8", "replace")
             lines = [x for x in text.split("\n") if x.strip(SPACES)]
             bad = n < 20 or 100 * again > 30 * n
-            failed, lost, places = ([], 0, set()) if bad else _walk(text)[1:]
+            _, failed, lost, places = _walk(text)
             kept = not bad and lost <= MAX_LOST * n
             rows.append((n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), again, bad, kept, len(lines), len(failed), lost, _cleaned(raw, places) if kept else None))
         columns = [list(c) for c in zip(*rows, strict=True)]
@@ -144,8 +149,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: counts, ``base_failed``, ``kept`` and ``cleaned``, the text without failed lines. No shuffle.
 
-    Null and empty texts have no words, so they fail the base rules. Failed lines are counted
-    only where the base rules pass; ``cleaned`` is null where the document isn't kept. Other columns of ``docs`` are ignored; repeated rows give repeated results.
+    Null and empty texts have no words, so they fail the base rules. ``cleaned`` is null where the document isn't kept. Other columns of ``docs`` are ignored; repeated rows give repeated results.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw")).mapInArrow(_judge, SCHEMA).withColumn("cleaned", F.col("cleaned").cast("string"))
 
@@ -166,7 +170,10 @@ def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text the rules keep, without the text's failed lines; ``n_chars`` is brought up to date where lines went."""
+    """The rows of ``docs`` whose text the rules keep, without the text's failed lines; ``n_chars`` is brought up to date where lines went.
+
+    Null and empty texts fail the base rules and go; repeated rows are judged alike; an empty table gives no rows.
+    """
     raw = docs.withColumn("text", as_bytes())
     if "n_chars" not in docs.columns:
         return raw.mapInArrow(_accept, raw.schema).withColumn("text", F.col("text").cast("string"))
