@@ -1,138 +1,46 @@
 """License scans with built-in functions only: ordered signature rules behind keyword filters.
 
 A text that may speak of licences (a few substring searches decide) becomes its lower-case words, joined by single spaces.
-Rules are regular expressions over such words, each with a keyword that must occur before its expression is tried, a
+Rules (``license_rules``) are regular expressions over such words, each with a keyword that must occur before its expression is tried, a
 priority and a confidence. Detections are intervals of words. One that lies within another of higher priority, or of the same
-priority and longer, is suppressed; base detections always stay.
+priority and longer, is suppressed (on the same words: of higher confidence, then of the earlier label); base detections always stay.
+Priorities rise with exactness, so that a licence's version is not lost to a longer sentence without it.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import MOST, running
+from .license_rules import parsed
+
 # The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-# A text without any of these, and without "cc" before "by", "0", "zero" or "attribution", is not looked at further. Every base phrase holds one.
-GATE = ("licen", "lizen", "copyright", "copyleft", "spdx", "domain", "dominio", "gemeinfrei", "reserved", "commons", "cc0", "gpl", "gnu", "bsd", "rail", "hereby", "redistribution", "permission", "warranty", "proprietary", "copying")
+# A text without any of these, and without "cc" before "by", "0", "zero" or "attribution", is not looked at further. Every match of every rule holds one.
+GATE = (
+    "licen", "lizenz", "copyright", "copyleft", "copying", "spdx", "domain", "dominio", "gemeinfrei", "reserv", "vorbehalten", "droits", "commons", "cc0", "gpl", "gnu", "bsd", "apache", "hereby", "redistribut", "permission",
+    "warranty", "merchantab", "endorse", "advertising", "unencumber", "proprietary", "evil", "reproduced", "gfdl", "wtfpl", "openrail", "eupl", "cddl", "sspl", "busl", "gemma",
+)
 SHORT = rf"cc[{OTHER}]+(?:by|0|zero|attribution)"
 
-# Licence families, as label, pattern of the name in words, keyword of the name, versions, identifier in words.
-FAMILIES = (
-    ("gpl", "gnu (?:gpl|general public licen[sc]e)", "gnu", ("2 0", "2", "3 0", "3"), "gpl"),
-    ("lgpl", "gnu (?:lgpl|(?:lesser|library) general public licen[sc]e)", "gnu", ("2 0", "2 1", "3 0", "3"), "lgpl"),
-    ("agpl", "gnu (?:agpl|affero general public licen[sc]e)", "gnu", ("1 0", "3 0", "3"), "agpl"),
-    ("gfdl", "gnu (?:fdl|free documentation licen[sc]e)", "gnu", ("1 1", "1 2", "1 3"), "gfdl"),
-    ("apache", "apache (?:software )?licen[sc]e", "apache", ("1 0", "1 1", "2 0"), "apache"),
-    ("mit", "mit licen[sc]e", "mit", (), "mit"),
-    ("bsd-2-clause", "(?:2|two) clause bsd(?: licen[sc]e)?", "clause", (), "bsd 2 clause"),
-    ("bsd-3-clause", "(?:3|three) clause bsd(?: licen[sc]e)?", "clause", (), "bsd 3 clause"),
-    ("bsd", "bsd(?: style)? licen[sc]e", "bsd", (), "bsd"),
-    ("isc", "isc licen[sc]e", "isc", (), "isc"),
-    ("mpl", "mozilla public licen[sc]e", "mozilla", ("1 0", "1 1", "2 0"), "mpl"),
-    ("epl", "eclipse public licen[sc]e", "eclipse", ("1 0", "2 0"), "epl"),
-    ("eupl", "european union public licen[sc]e", "european", ("1 0", "1 1", "1 2"), "eupl"),
-    ("cddl", "common development and distribution licen[sc]e", "distribution", ("1 0", "1 1"), "cddl"),
-    ("cpl", "common public licen[sc]e", "common", ("1 0",), "cpl"),
-    ("artistic", "artistic licen[sc]e", "artistic", ("1 0", "2 0"), "artistic"),
-    ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib", (), "zlib"),
-    ("boost", "boost software licen[sc]e", "boost", ("1 0",), "bsl"),
-    ("unlicense", "the unlicense", "unlicense", (), "unlicense"),
-    ("wtfpl", "do what the fuck you want to public licen[sc]e", "public", ("2",), "wtfpl"),
-    ("python", "python software foundation licen[sc]e", "python", ("2 0",), "psf"),
-    ("ruby", "ruby licen[sc]e", "ruby", (), "ruby"),
-    ("php", "php licen[sc]e", "php", ("3 0", "3 01"), "php"),
-    ("openssl", "openssl licen[sc]e", "openssl", (), "openssl"),
-    ("ofl", "sil open font licen[sc]e", "font", ("1 0", "1 1"), "ofl"),
-    ("odbl", "open (?:data commons open )?database licen[sc]e", "database", ("1 0",), "odbl"),
-    ("odc-by", "open data commons attribution licen[sc]e", "attribution", ("1 0",), "odc by"),
-    ("pddl", "public domain dedication and licen[sc]e", "dedication", ("1 0",), "pddl"),
-    ("ms-pl", "microsoft public licen[sc]e", "microsoft", (), "ms pl"),
-    ("ms-rl", "microsoft reciprocal licen[sc]e", "microsoft", (), "ms rl"),
-    ("osl", "open software licen[sc]e", "software", ("1 0", "2 1", "3 0"), "osl"),
-    ("afl", "academic free licen[sc]e", "academic", ("2 1", "3 0"), "afl"),
-    ("upl", "universal permissive licen[sc]e", "universal", ("1 0",), "upl"),
-    ("llama", "llama (?:[0-9 ]+)?community licen[sc]e", "llama", (), "llama"),
-    ("openrail", "open ?rail(?: m)?(?: licen[sc]e)?", "rail", (), "openrail"),
-    ("cc0", "cc(?:0| 0| zero)", "cc", ("1 0",), "cc0"),
-    ("cc0", "creative commons zero", "zero", ("1 0",), "cc0"),
-    ("cc-by", "cc (?:by|attribution)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by"),
-    ("cc-by", "creative commons attribution", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by"),
-    ("cc-by-sa", "cc (?:by|attribution) (?:sa|share ?alike)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by sa"),
-    ("cc-by-sa", "creative commons attribution (?:sa|share ?alike)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by sa"),
-    ("cc-by-nc", "cc (?:by|attribution) (?:nc|non ?commercial)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc"),
-    ("cc-by-nc", "creative commons attribution (?:nc|non ?commercial)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc"),
-    ("cc-by-nd", "cc (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nd"),
-    ("cc-by-nd", "creative commons attribution (?:nd|no ?deriv(?:ative)?s?)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nd"),
-    ("cc-by-nc-sa", "cc (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc sa"),
-    ("cc-by-nc-sa", "creative commons attribution (?:nc|non ?commercial) (?:sa|share ?alike)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc sa"),
-    ("cc-by-nc-nd", "cc (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "cc", ("2 0", "2 5", "3 0", "4 0"), "cc by nc nd"),
-    ("cc-by-nc-nd", "creative commons attribution (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", "commons", ("2 0", "2 5", "3 0", "4 0"), "cc by nc nd"),
-)
-# Notices that name no family, as label, pattern, keyword, confidence.
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 1.0),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 1.0),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission", 1.0),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event", "warranty", 0.9),
-    ("public-domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", "domain", 0.8),
-    ("public-domain", "domaine public", "domaine", 0.6),
-    ("public-domain", "dominio público", "dominio", 0.6),
-    ("public-domain", "gemeinfrei", "gemeinfrei", 0.6),
-    ("proprietary", "all rights reserved", "reserved", 0.5),
-    ("proprietary", "proprietary and confidential", "proprietary", 0.7),
-    ("proprietary", "unauthorized copying", "copying", 0.7),
-    ("unknown", "(?:is|are) licen[sc]ed under", "licen", 0.4),
-    ("unknown", "sous licence", "licence", 0.4),
-    ("unknown", "bajo (?:la )?licencia", "licencia", 0.4),
-    ("unknown", "unter (?:der )?lizenz", "lizenz", 0.4),
-    ("copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright", 0.3),
-)
-# How a family may be spoken of: form, keyword besides that of the name (or empty), priority, confidence.
-FORMS = (
-    ("spdx license identifier {id}(?: {version})?(?: (?:only|or later))?", "spdx", 50, 1.0),
-    ("(?:licen[sc]ed|released|distributed|available|published|provided) (?:to you )?under (?:the )?(?:terms of )?(?:the )?{name}(?: (?:version |v ?)?{version})?", "under", 40, 0.95),
-    ("(?:under|sous|bajo|unter) (?:the |la |le |der )?(?:terms of (?:the )?)?{name}", "", 30, 0.9),
-    ("{name} (?:version |v ?)?{version}", "", 20, 0.9),
-    ("{name}", "", 10, 0.7),
-    ("licen[sc]e (?:is )?{id}(?: {version})?", "licen", 10, 0.6),
-)
-
-
-def rules() -> list[tuple[str, int, float, str, str, str]]:
-    """All rules in order: label, priority, confidence, keyword, second keyword, pattern over `` word word``."""
-    out = [(label, 100, 0.7, phrase.split()[0], phrase.split()[-1], f" {phrase}(?= )") for phrase, label in BASE]
-    for (label, name, key, versions, ident), (form, word, priority, confidence) in product(FAMILIES, FORMS):
-        if "{id}" in form and name.startswith("creative commons"):
-            continue  # the family's other entry has this rule
-        if "{version}" in form and not versions:
-            if form.startswith("{name}"):
-                continue
-            form = form.replace("(?: {version})?", "").replace("(?: (?:version |v ?)?{version})?", "")
-        for version in versions if form.startswith("{name} ") else [None]:
-            text = form.replace("{version}", version or "(?:" + "|".join(versions) + ")") if "{version}" in form else form
-            named = text.replace("{name}", name).replace("{id}", ident)
-            by_id = "{id}" in form
-            out.append((label if version is None else f"{label}-{version.replace(' ', '.')}", priority, confidence, ident.split()[0] if by_id else key, word, f" {named}(?= )"))
-    out += [(label, 5, confidence, key, "", f" {text}(?= )") for label, text, key, confidence in NOTICES]
-    return out
-
-
-def _literal() -> str:
-    quote = lambda s: "r'" + s + "'"  # noqa: E731  no pattern holds a quote
-    return "array(" + ", ".join(f"struct({quote(a)} AS label, {b} AS priority, {c}D AS confidence, {quote(d)} AS key, {quote(e)} AS key2, {quote(f)} AS pattern)" for a, b, c, d, e, f in rules()) + ")"
-
-
-SPANS = "array<struct<first:bigint,last:bigint,label:string,priority:int,confidence:double>>"
+
+def rules() -> list[tuple[str, int, float, str, str]]:
+    """All rules in order: label, priority, confidence, keyword, pattern over `` word word ``; the base phrases come first, with priority 100."""
+    base = [(label, 100, 0.7, phrase.split()[0], phrase) for phrase, label in BASE]
+    return [(label, priority, confidence, key, f" (?:{pattern})(?= )") for label, priority, confidence, key, pattern in base + parsed()]
+
+
+def _quoted(text: str) -> str:
+    return "r'" + text + "'"  # no pattern holds a quote
+
 
 
 def _words(text: str) -> str:
     """SQL for the number of words in a piece of `` word word``: each has one space before it."""
-    return f"(char_length({text}) - char_length(replace({text}, ' ', '')))"
+    return f"cast(char_length({text}) - char_length(replace({text}, ' ', '')) AS bigint)"
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -147,22 +55,27 @@ def detect(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("gate", F.expr(" OR ".join(f"contains(low, '{k}')" for k in GATE) + f" OR (contains(low, 'cc') AND low RLIKE r'{SHORT}')"))
     words = f"concat(' ', trim(regexp_replace(translate(text, '{upper}', '{lower}'), r'[{OTHER}]+', ' ')), ' ')"
     rows = rows.withColumn("words", F.expr(f"CASE WHEN gate THEN {words} END"))
-    # per rule: the pieces between matches and the matches; then the intervals of words, from the words in both
-    cut = f"transform(filter({_literal()}, r -> contains(words, r.key) AND contains(words, r.key2) AND words RLIKE r.pattern), r -> struct(r AS r, regexp_extract_all(words, r.pattern, 0) AS m, split(words, r.pattern, -1) AS p))"
-    rows = rows.withColumn("cut", F.expr(f"CASE WHEN gate THEN {cut} END"))
-    spans = f"""
-      flatten(transform(cut, c -> aggregate(
-        arrays_zip(slice(c.p, 1, size(c.m)), c.m),
-        struct(0L AS at, cast(array() AS {SPANS}) AS found),
-        (a, x) -> struct(
-          cast(a.at + {_words("x.`0`")} + {_words("x.m")} AS bigint) AS at,
-          concat(a.found, array(struct(cast(a.at + {_words("x.`0`")} AS bigint) AS first, cast(a.at + {_words("x.`0`")} + {_words("x.m")} - 1 AS bigint) AS last,
-            c.r.label AS label, c.r.priority AS priority, c.r.confidence AS confidence))) AS found),
-        a -> a.found)))"""
-    rows = rows.withColumn("all", F.expr(f"CASE WHEN gate THEN {spans} ELSE cast(array() AS {SPANS}) END"))
-    beaten = """exists(all, o -> o.priority < 100 AND o.first <= d.first AND d.last <= o.last
-        AND (o.priority > d.priority OR o.priority = d.priority AND (o.last - o.first > d.last - d.first OR o.last - o.first = d.last - d.first AND (o.confidence > d.confidence OR o.confidence = d.confidence AND o.label < d.label))))"""
-    return rows.withColumn("found", F.expr(f"filter(all, d -> d.priority = 100 OR NOT {beaten})")).drop("low", "gate", "words", "cut", "all")
+    # each rule's keyword and pattern are literals, so patterns are compiled once; only those of the few that match are needed again
+    every = rules()
+    hits = "array(" + ", ".join(f"CASE WHEN contains(words, '{key}') AND words RLIKE {_quoted(pattern)} THEN {i} END" for i, (_, _, _, key, pattern) in enumerate(every)) + ")"
+    rows = rows.withColumn("hits", F.expr(f"CASE WHEN gate THEN {hits} END"))
+    table = "array(" + ", ".join(f"struct('{label}' AS label, {priority} AS priority, {confidence}D AS confidence, {_quoted(pattern)} AS pattern)" for label, priority, confidence, _, pattern in every) + ")"
+    # of each rule the matches and the pieces between them, and from the words in both the intervals of words
+    rows = rows.withColumn("cut", F.expr(f"transform(transform(filter(hits, h -> h IS NOT NULL), h -> {table}[h]), r -> struct(r.label AS label, r.priority AS priority, r.confidence AS confidence, regexp_extract_all(words, r.pattern, 0) AS m, split(words, r.pattern, -1) AS p))"))
+    rows = rows.withColumn("counted", F.expr(f"transform(cut, c -> struct(c AS c, transform(c.m, x -> {_words('x')}) AS m, transform(slice(c.p, 1, size(c.m)), x -> {_words('x')}) AS p))"))
+    rows = rows.withColumn("placed", F.expr(f"transform(counted, d -> struct(d.c AS c, arrays_zip({running('zip_with(d.p, d.m, (a, b) -> a + b)')}, d.p, d.m) AS x))"))
+    spans = "flatten(transform(placed, d -> transform(d.x, x -> struct(x.`0` + x.p AS first, x.`0` + x.p + x.m - 1 AS last, d.c.label AS label, d.c.priority AS priority, d.c.confidence AS confidence))))"
+    rows = rows.withColumn("all", F.expr(f"CASE WHEN gate THEN {spans} ELSE cast(array() AS array<struct<first:bigint,last:bigint,label:string,priority:int,confidence:double>>) END"))
+    rows = rows.withColumn("base_", F.expr("filter(all, d -> d.priority = 100)"))
+    # what contains a detection, or ranks before it on the same words, comes before it in this order
+    rows = rows.withColumn("line", F.expr("array_sort(transform(filter(all, d -> d.priority < 100), d -> struct(d.first AS first, -d.last AS to, -d.priority AS p, -d.confidence AS c, d.label AS label)))"))
+    levels = sorted({priority for _, priority, _, _, _ in every if priority < 100})
+    for level in levels:  # the furthest end so far of a detection of at least this priority
+        rows = rows.withColumn(f"far_{level}", F.expr(running(f"transform(line, d -> if(-d.p >= {level}, -d.to, -1L))", MOST, "-1L")))
+    far = "CASE -x.line.p " + " ".join(f"WHEN {level} THEN x.far_{level}" for level in levels) + " END"
+    stay = f"transform(filter(arrays_zip(line, {', '.join(f'far_{level}' for level in levels)}), x -> {far} < -x.line.to), x -> struct(x.line.first AS first, -x.line.to AS last, x.line.label AS label, -x.line.p AS priority, -x.line.c AS confidence))"
+    rows = rows.withColumn("found", F.expr(f"concat(base_, {stay})"))
+    return rows.drop("low", "gate", "words", "hits", "cut", "counted", "placed", "all", "base_", "line", *(f"far_{level}" for level in levels))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import LEAST, MOST, running
+
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -37,27 +39,12 @@ DIGITS = 0.1  # share of digits in words written in hexadecimal
 STRAY = 0.03  # share of letters in numbers, and of digits in words written in base 32
 LIMIT = 3.29  # two-sided 0.1 %
 RATE = 0.01
-CHUNK = 256  # elements that a running fold gathers at a time
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _running(rows: DataFrame, name: str, values: str, step, zero: str = "0L") -> DataFrame:
-    """Adds ``name``: for each element ``v`` of an array of longs the fold ``a`` of those before it, by an associative ``step``.
-
-    Arrays are folded a chunk at a time, as each appended element copies what a fold has gathered.
-    """
-    kept = lambda array, start: f"aggregate({array}, struct({start} AS a, cast(array() AS array<bigint>) AS out), (s, v) -> struct({step('s.a', 'v')} AS a, concat(s.out, array(s.a)) AS out), s -> s.out)"
-    rows = rows.withColumn("parts_", F.expr(f"transform(sequence(0, cast(size({values}) div {CHUNK} AS int)), i -> slice({values}, i * {CHUNK} + 1, {CHUNK}))"))
-    rows = rows.withColumn("heads_", F.expr(kept(f"transform(parts_, p -> aggregate(p, {zero}, (a, v) -> {step('a', 'v')}))", zero)))
-    return rows.withColumn(name, F.expr(f"flatten(zip_with(parts_, heads_, (p, h) -> {kept('p', 'h')}))")).drop("parts_", "heads_")
-
-
-SUM, MOST, LEAST = "{} + {}".format, "greatest({}, {})".format, "least({}, {})".format
-
-
 def _spans(rows: DataFrame, name: str, pattern: str, kind: str, order: int, length: str, least: str = "true", group: int = 0) -> DataFrame:
     """Adds ``name``: the spans of ``pattern`` in ``text``, measured by the function ``length``: pieces between matches and the matches' lengths add up."""
     quoted = _quoted(pattern)
@@ -65,7 +52,7 @@ def _spans(rows: DataFrame, name: str, pattern: str, kind: str, order: int, leng
     rows = rows.withColumn("g_", _gated(f"regexp_extract_all(text, {quoted}, {group})", "array<string>") if group else F.col("m_"))
     rows = rows.withColumn("gap_", F.expr(f"CASE WHEN size(m_) > 0 THEN transform(slice(split(text, {quoted}, -1), 1, size(m_)), x -> cast({length}(x) AS bigint)) ELSE cast(array() AS array<bigint>) END"))
     rows = rows.withColumn("both_", F.expr(f"zip_with(gap_, m_, (g, m) -> g + {length}(m))"))
-    rows = _running(rows, "at_", "both_", SUM)
+    rows = rows.withColumn("at_", F.expr(running("both_")))
     # columns are arguments only, never inside a lambda: there the optimiser may put their definitions, to be worked out for each element
     found = f"transform(arrays_zip(zip_with(at_, gap_, (a, g) -> a + g), zip_with(at_, both_, (a, b) -> a + b), g_), x -> struct(x.`0` AS start, {order} AS kind_order, x.`1` AS stop, '{kind}' AS kind, x.g_ AS token))"
     return rows.withColumn(name, F.expr(f"filter({found}, x -> {least})")).drop("m_", "g_", "gap_", "both_", "at_")
@@ -95,7 +82,7 @@ def _untouched(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("line_", F.expr("array_sort(concat(transform(base, b -> struct(b.start AS start, 0 AS own, b.stop AS stop, '' AS token)), transform(runs, c -> struct(c.start AS start, 1 AS own, c.stop AS stop, c.token AS token))))"))
     rows = rows.withColumn("ends_", F.expr("transform(line_, x -> if(x.own = 0, x.stop, 0L))"))
     rows = rows.withColumn("starts_", F.expr("reverse(transform(line_, x -> if(x.own = 0, x.start, 9223372036854775807L)))"))
-    rows = _running(_running(rows, "before_", "ends_", MOST), "after_", "starts_", LEAST, "9223372036854775807L").withColumn("after_", F.expr("reverse(after_)"))
+    rows = rows.withColumn("before_", F.expr(running("ends_", MOST))).withColumn("after_", F.expr(f"reverse({running('starts_', LEAST, '9223372036854775807L')})"))
     return rows.withColumn("c1", F.expr("transform(filter(arrays_zip(line_, before_, after_), x -> x.line_.own = 1 AND x.before_ <= x.line_.start AND x.after_ >= x.line_.stop), x -> x.line_)")).drop("line_", "ends_", "starts_", "before_", "after_")
 
 
@@ -170,7 +157,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = secret_spans(docs.select(whole.alias("row"), F.col("text")), "octet_length")
     rows = rows.withColumn("every", F.expr("array_sort(concat(base, random))")).withColumn("ends", F.expr("transform(every, x -> x.stop)"))
-    rows = _running(rows, "before", "ends", MOST).withColumn("raw", F.col("text").cast("binary"))
+    rows = rows.withColumn("before", F.expr(running("ends", MOST))).withColumn("raw", F.col("text").cast("binary"))
     # a span that begins inside an earlier one is part of its mark
     pieces = f"transform(filter(zip_with(every, before, (x, b) -> struct(b AS a, x.start AS b)), p -> p.b >= p.a), p -> concat(cast(substring(raw, cast(p.a + 1 AS int), cast(p.b - p.a AS int)) AS string), '{mark}'))"
     new = F.when(F.expr("size(every) > 0"), F.expr(f"concat(array_join({pieces}, ''), cast(substring(raw, cast(array_max(ends) + 1 AS int)) AS string))")).otherwise(F.col("row.text"))
