@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +13,7 @@ from ..functions.config import Config
 from ..operators import accountant, activity, evaluation, mechanisms, requests, sketches, turnstile, workloads
 from ..sources import events as sources
 from ..sources import sinks
+from ..sources.storage import shared_dir
 from ..streaming import turnstile_stream
 from . import release as plans
 from .fixed import BUCKET_K, CAPS, END_DAY, SEED, SECRET
@@ -48,14 +47,7 @@ def _listed(df: DataFrame) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        import atexit
-
-        shared = tempfile.mkdtemp(prefix="tidecount-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/tidecount-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tidecount-{uuid.uuid4().hex}"
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------
