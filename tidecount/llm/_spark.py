@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import shutil
 import sys
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +13,36 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
+
 # Functions of this package travel to the executors by value, so these need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidecount-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """The tables that ``materialise`` writes inside are deleted at the end, but for those made with ``outer``, which belong to the scope around this one."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy", outer: bool = False) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again, which cuts its lineage.
 
-    The files live outside any executor, so a lost executor costs no recomputation.
+    The files live outside any executor, so a lost executor costs no recomputation. Outside of a ``scratch`` they stay, as a result may still read them.
     """
     path = f"{shared_dir(df.sparkSession)}/tidecount/{uuid.uuid4().hex}"
+    scopes = _OPEN[:-1] if outer else _OPEN
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

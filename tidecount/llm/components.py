@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise
+from ._spark import materialise, scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             return now
-        now = materialise(_small(materialise(_large(now))))
+        with scratch(edges.sparkSession):
+            now = materialise(_small(materialise(_large(now))), outer=True)
         after = now.agg(mark).first()[0]
         if after == before:
             return now

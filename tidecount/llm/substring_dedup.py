@@ -14,7 +14,9 @@ their ends: which symbols of a window are sure (formed alike wherever the window
    such block, its smallest, sends the block's window hashes (128 bits); windows that a smaller document sends are lost too.
 4. Each document gets the names of its lost blocks and windows and removes the words they cover.
 
-Only hashes are exchanged in 1 to 3, counts are pre-aggregated, and hot blocks are never gathered.
+Only hashes are exchanged in 1 to 3, counts are pre-aggregated, and hot blocks are never gathered. Blocks and windows are compared across documents
+by 128 bits, and inside a document by 64 with the few names that it has lost; both come from 64-bit hashes of words. Two unequal windows pass for
+equal with a probability of about 2^-64 a pair that differs in one word only, and 2^-120 otherwise.
 """
 
 from __future__ import annotations
@@ -228,9 +230,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("raw"))
     known = raw.filter("doc_id is not null")
-    blocks = known.mapInArrow(_emit_blocks, "anchor long, name long, doc_id long")
+    blocks = materialise(known.mapInArrow(_emit_blocks, "anchor long, name long, doc_id long"))  # recompressed once
     least = blocks.groupBy("anchor", "name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    anchors = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("names"), F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").select("anchor", "names")
+    # written, as windows below, so that the join reads both sides from exchanges and an anchor with many blocks can be split
+    anchors = materialise(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("names"), F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most").select("anchor", "names"))
     shared = materialise(least.join(anchors, "anchor"))
     copied = shared.filter("lo < hi").select("anchor", "name", "lo")
     lost_blocks = blocks.join(copied, ["anchor", "name"]).filter("doc_id > lo").select("doc_id", "name")
