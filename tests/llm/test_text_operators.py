@@ -371,6 +371,25 @@ def test_token_cache_encodes_misses_only(spark, docs, model, tmp_path):
     assert token_counts.token_counts(docs([]), model, cache=cache).count() == 0
 
 
+def test_second_run_encodes_and_appends_nothing(spark, docs, prose, model, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    df = docs([prose(i % 20, 40) for i in range(60)])
+    first = sorted(token_counts.token_counts(df, model, cache=cache).collect())
+    assert spark.read.parquet(cache).count() == 20
+
+    def never(model):
+        def run(batches):
+            for batch in batches:
+                assert batch.num_rows == 0, "a known text was encoded"
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(token_counts, "_encode", never)
+    assert sorted(token_counts.token_counts(df, model, cache=cache).collect()) == first
+    assert spark.read.parquet(cache).count() == 20
+
+
 # --- mixing
 
 

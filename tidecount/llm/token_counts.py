@@ -2,7 +2,8 @@
 
 Counts are kept in a table (tokenizer, digest, n_tokens), keyed by a digest of the normalised content and one of the tokenizer
 (model file and library version). A run digests every text, drops what the table knows, encodes one text for each
-distinct digest left, appends those counts to the table and joins all rows with it.
+distinct digest left, appends those counts to the table and joins all rows with it. A bit filter of fixed size over the digests left
+decides in the reading task which texts are sent on at all.
 
 The model's normaliser changes no character, so the normalised content is the text itself, null as empty.
 """
@@ -11,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +19,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import materialise, shared_dir
+from ..sources.storage import shared_dir
+from ._spark import among, bit_filter, materialise
 from ._text import chunks
 
 MEMO = 400_000  # units whose counts a task remembers; more make it start anew
@@ -85,28 +86,36 @@ def tokenizer_version(model: bytes) -> str:
     return hashlib.sha256(model + sentencepiece.__version__.encode()).hexdigest()
 
 
+def default_cache(spark) -> str:
+    """The cache that all runs with one shared folder use."""
+    return f"{shared_dir(spark)}/tidecount/token-counts"
+
+
 def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, cache: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of ``docs(doc_id, text, ...)``; ``model`` is the tokenizer's file.
 
-    ``cache`` is the folder of the cache table, made where missing; by default one of this run's own in
-    the shared folder. Null and empty texts have no bytes and no tokens. Repeated rows and texts are encoded once.
+    ``cache`` is the folder of the cache table, made where missing; by default one that lasts in the shared folder. Null and
+    empty texts have no bytes and no tokens. Each distinct text that the cache doesn't know is encoded once, however many rows hold it;
+    of the others only digests are exchanged, and their texts don't leave the task that reads them.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark)}/tidecount/token-counts-{uuid.uuid4().hex}"
+    cache = cache or default_cache(spark)
     version = tokenizer_version(model)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     narrow = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    wanted = narrow.select("digest").distinct()
     try:
         known = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version).select("digest")
-    except AnalysisException:  # no such table yet
-        known = None
-    wanted = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    if known is not None:
         wanted = wanted.join(known, "digest", "left_anti")
-    misses = rows.alias("r").join(wanted.alias("w"), (F.col("r.digest") == F.col("w.digest")) & F.col("r.doc_id").eqNullSafe(F.col("w.first"))).select("text", "r.digest")
-    counted = misses.mapInArrow(_encode(spark.sparkContext.broadcast(model)), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    except AnalysisException:  # no such table yet
+        pass
+    wanted = materialise(wanted.withColumn("k", F.xxhash64("digest")))
+    bits = bit_filter(wanted, "k")
+    misses = among(rows.select("text", "digest", F.xxhash64("digest").alias("k")), "k", bits).groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi")
+    counted = misses.mapInArrow(_encode(spark.sparkContext.broadcast(model)), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    bits.drop()
     stored = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == version)
     # one count a digest, even if another run appended some meanwhile; written, so that a text that many rows share can be split
     counts = materialise(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
