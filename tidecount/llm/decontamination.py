@@ -6,8 +6,8 @@ a stored index answers any number of benchmarks.
 
 ``search`` answers each benchmark window of ten words from its rarest terms: the rarest one's postings, less its offset in the
 window, are the candidate starts; the postings of the next rarest, adjusted alike, are intersected with them, until all terms
-agree (phrase match) or no start is left. A proximity match asks for a window's three longest terms, which stand for its rarest
-whatever the segment, the second and third each within 20 words of the first.
+agree (phrase match) or no start is left. A proximity match asks for a window's three terms that are rarest in the whole index (its stored counts are
+added up first), the second and third each within 20 words of the first.
 
 Items are sent to the segments in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast has a fixed bound however many there are.
 """
@@ -30,26 +30,54 @@ from ._text import alnum_words, chunks, join_words
 WIDTH = 10
 SPAN = 20
 CHUNK = 6 << 20  # of text in one segment
-BLOCK_BYTES = 16 << 20  # of item text in one broadcast block
+BLOCK_BYTES = 2 << 20  # of item text in one broadcast block: some 400,000 windows of 40 bytes on a worker
 SEGMENT = "segment string, doc_ids array<long>, ends array<int>, terms binary, counts binary, gaps binary"
 MATCHES = "segment string, place int, doc_id long, n_words long, hits array<long>, items array<string>, near_items array<string>"
 
 
 class Queries:
-    """The distinct windows of a block of benchmark items, with the items that hold each."""
+    """The distinct windows of a block of benchmark items, as one matrix of term numbers (-1 behind a shorter item's), with the items that hold each."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
-        terms: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        parts, owner = [np.zeros((0, width), np.int32)], []
+        self.names = sorted({item for item, _ in items})
+        place = {item: i for i, item in enumerate(self.names)}
         for item, raw in items:
-            ids = [terms.setdefault(w, len(terms)) for w in alnum_words(raw)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.terms = list(terms)
-        self.windows = [np.array(w, np.int64) for w in found]
-        self.items = [sorted(s) for s in found.values()]
-        # by length, then bytes: an order that no segment or block of items changes
-        self.keys = [np.array(sorted(set(w), key=lambda t: (-len(self.terms[t]), self.terms[t]))[:3], np.int64) for w in found]
+            ids = np.array([number[w] for w in alnum_words(raw)], np.int32)
+            if len(ids):
+                ids = np.concatenate([ids, np.full(max(0, width - len(ids)), -1, np.int32)])
+                parts.append(np.lib.stride_tricks.sliding_window_view(ids, width))
+                owner.append(np.full(len(parts[-1]), place[item]))
+        self.terms = list(number)
+        every, at = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        self.windows = np.ascontiguousarray(every)
+        held = np.unique(np.stack([at.reshape(-1), np.concatenate(owner)]), axis=1) if owner else np.zeros((2, 0), np.int64)
+        self.first, self.held = np.searchsorted(held[0], np.arange(len(every) + 1)), held[1].astype(np.int32)
+        self.keys = np.zeros((0, 3), np.int32)
+        self.near = np.zeros(0, np.int64)
+
+    def rank(self, counts: dict[int, int]) -> Queries:
+        """Sets for each window its three rarest distinct terms, by their counts in the corpus, then by bytes; windows with the same ones are asked once."""
+        order = sorted(range(len(self.terms)), key=lambda t: (counts.get(t, 0), self.terms[t]))
+        rank = np.empty(len(order) + 1, np.int32)
+        rank[order] = np.arange(len(order))
+        rank[-1] = len(order)  # for -1
+        ranks = np.sort(rank[self.windows], axis=1)
+        ranks[:, 1:][ranks[:, 1:] == ranks[:, :-1]] = len(order)
+        back = np.array([*order, -1], np.int32)
+        self.keys, at = np.unique(back[np.sort(ranks, axis=1)[:, :3]], axis=0, return_inverse=True)
+        self.near = at.reshape(-1)
+        return self
+
+    def items(self, windows: np.ndarray) -> set[int]:
+        return {int(i) for w in windows for i in self.held[self.first[w] : self.first[w + 1]]}
+
+    def bound(self, number: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``table`` of which a segment holds all terms, and these by the segment's numbers."""
+        here = np.where(table < 0, -2, number[table]) if len(number) else np.full(table.shape, -1)
+        rows = np.flatnonzero((here != -1).all(1))
+        return rows, here[rows]
 
 
 class Postings:
@@ -104,7 +132,7 @@ class Postings:
         """Positions of the first key around which each other one occurs in the same text, under ``SPAN`` words away."""
         at = self.of(keys[0])
         for term in keys[1:]:
-            if not len(at):
+            if term < 0 or not len(at):
                 return at
             text = self.owner(at)
             low, high = np.maximum(at - SPAN + 1, self.ends[text]), np.minimum(at + SPAN - 1, self.ends[text + 1] - 1)
@@ -139,35 +167,39 @@ def build_index(docs: DataFrame) -> DataFrame:
 def _search(block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries: Queries = block()
+        names = queries.names
         for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
             index = Postings.stored(row["ends"], row["terms"], row["counts"], row["gaps"])
             n = len(row["doc_ids"])
             bound = index.bound(queries)
             hit = np.zeros(index.ends[-1] + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            close: dict[int, set[str]] = {}
-            for window, held, keys in zip(queries.windows, queries.items, queries.keys, strict=True):
-                keys = bound[keys]
-                if keys.min() < 0:
-                    continue
-                for d in np.unique(index.owner(index.near(keys))).tolist():
-                    close.setdefault(d, set()).update(held)
-                window = bound[window]
-                if window.min() < 0:
-                    continue
+            items: dict[int, set[int]] = {}
+            close: dict[int, set[int]] = {}
+            rows, here = queries.bound(bound, queries.windows)
+            for at, window in zip(rows.tolist(), here, strict=True):
+                window = window[window >= 0]
                 start = index.phrases(window)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + len(window), -1)
-                for d in np.unique(index.owner(start)).tolist():
-                    items.setdefault(d, set()).update(held)
+                if len(start):
+                    np.add.at(hit, start, 1)
+                    np.add.at(hit, start + len(window), -1)
+                    held = queries.items([at])
+                    for d in np.unique(index.owner(start)).tolist():
+                        items.setdefault(d, set()).update(held)
+            rows, here = queries.bound(bound, queries.keys)
+            met: dict[int, list[int]] = {}
+            for at, keys in zip(rows.tolist(), here, strict=True):
+                for d in np.unique(index.owner(index.near(keys))).tolist():
+                    met.setdefault(d, []).append(at)
+            for d, some in met.items():
+                close[d] = queries.items(np.flatnonzero(np.isin(queries.near, some)))
             covered = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
             where = np.split(covered, np.searchsorted(covered, index.ends[1:-1]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["segment"]] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(index.ends)),
                     pa.array([(w - a).tolist() for w, a in zip(where, index.ends.tolist(), strict=False)], pa.list_(pa.int64())),
-                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                    pa.array([sorted(close.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    pa.array([[names[i] for i in sorted(items.get(d, ()))] for d in range(n)], pa.list_(pa.string())),
+                    pa.array([[names[i] for i in sorted(close.get(d, ()))] for d in range(n)], pa.list_(pa.string())),
                 ],
                 [c.split()[0] for c in MATCHES.split(", ")],
             )
@@ -175,6 +207,28 @@ def _search(block):
     return run
 
 
+def _counted(terms):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sums = {t: i for i, t in enumerate(terms())}, defaultdict(int)
+        for batch in batches:
+            for words, raw in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                for word, n in zip(words.split(), np.frombuffer(raw, np.int32).tolist(), strict=True):
+                    if word in place:
+                        sums[place[word]] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
+
+    return run
+
+
+def _ranked(index: DataFrame, items: list[tuple[str, bytes]]) -> Queries:
+    """A block's windows, with the counts of its terms over the whole index: as many rows at most as the block has terms."""
+    queries = Queries(items)
+    terms = share(index.sparkSession, queries.terms)
+    rows = index.select("terms", "counts").mapInArrow(_counted(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    terms.drop()
+    return queries.rank({r.term: r.n for r in rows})
+
+
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of bounded size, one at a time on the driver; at least one block, which may be empty."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), as_bytes().alias("raw")).filter("item_id is not null and raw is not null")
@@ -199,7 +253,7 @@ def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
             parts.append(_pass(index, held))
         held = items
     if not parts:
-        return index.mapInArrow(_search(share(spark, Queries(held))), MATCHES)
+        return index.mapInArrow(_search(share(spark, _ranked(index, held))), MATCHES)
     every = _pass(index, held)
     for part in parts:
         every = every.union(part)
@@ -209,7 +263,7 @@ def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _pass(index: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
-    block = share(index.sparkSession, Queries(items))
+    block = share(index.sparkSession, _ranked(index, items))
     done = materialise(index.mapInArrow(_search(block), MATCHES))
     block.drop()
     return done
@@ -231,12 +285,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no window of an item with an item_id occurs, with all columns as they were.
 
+    Null and empty texts stay; repeated rows stay or go together; empty tables give all rows, or none.
+
     Each task indexes the texts it reads and drops rows at once, so that whole texts need not be joined with a stored index's matches.
     """
-    raw = docs.withColumn("text", as_bytes())
+    raw, held = docs.withColumn("text", as_bytes()), None
     for items in blocks(benchmark):
-        raw = raw.mapInArrow(_without(share(docs.sparkSession, Queries(items))), raw.schema)
-    return raw.withColumn("text", F.col("text").cast("string"))
+        if held is not None:  # several blocks: each is done, and its broadcast dropped, before the next
+            block = share(docs.sparkSession, Queries(held))
+            raw = materialise(raw.mapInArrow(_without(block), raw.schema))
+            block.drop()
+        held = items
+    return raw.mapInArrow(_without(share(docs.sparkSession, Queries(held))), raw.schema).withColumn("text", F.col("text").cast("string"))
 
 
 def _without(block):
@@ -246,10 +306,8 @@ def _without(block):
             index = Postings.of_texts(batch.column("text").to_pylist())
             bound = index.bound(queries)
             bad = np.zeros(batch.num_rows, bool)
-            for window in queries.windows:
-                window = bound[window]
-                if window.min() >= 0:
-                    bad[index.owner(index.phrases(window))] = True
+            for window in queries.bound(bound, queries.windows)[1]:
+                bad[index.owner(index.phrases(window[window >= 0]))] = True
             yield batch.filter(pa.array(~bad))
 
     return run

@@ -71,7 +71,10 @@ hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k))
 its AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM occ GROUP BY r),
 pos AS (SELECT r, x, list(p) AS ps FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) GROUP BY r, x),
 three AS (SELECT DISTINCT item, list_sort(list_distinct(w)) AS v FROM win),
-terms AS (SELECT item, v, row_number() OVER () AS q FROM (SELECT DISTINCT item, [x.x FOR x IN list_sort([{{'n': -strlen(y), 'x': y}} FOR y IN v])][1:3] AS v FROM three)),
+cnt AS (SELECT x, count(*) AS c FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+tv AS (SELECT row_number() OVER () AS t, item, v FROM three),
+tx AS (SELECT t, item, x, row_number() OVER (PARTITION BY t ORDER BY coalesce(c, 0), x) AS k FROM (SELECT t, item, unnest(v) AS x FROM tv) LEFT JOIN cnt USING (x)),
+terms AS (SELECT DISTINCT item, v FROM (SELECT t, item, list(x ORDER BY k) AS v FROM tx WHERE k <= 3 GROUP BY t, item)),
 near AS (
   SELECT DISTINCT t.item, a.r FROM terms t JOIN pos a ON a.x = t.v[1] LEFT JOIN pos b ON b.r = a.r AND b.x = t.v[2] LEFT JOIN pos c ON c.r = a.r AND c.x = t.v[3]
   WHERE len([p FOR p IN a.ps IF (len(t.v) < 2 OR len([q FOR q IN b.ps IF abs(q - p) < 20]) > 0) AND (len(t.v) < 3 OR len([q FOR q IN c.ps IF abs(q - p) < 20]) > 0)]) > 0
