@@ -454,12 +454,54 @@ def test_classifier_without_labels(spark, docs):
     assert quality_classifier.classify(docs([]), none).count() == 0
 
 
-def test_discriminant_matches_the_density():
+def normal_log_density(x, mean, cov):
+    """Straight from the definition, by determinant and inverse."""
+    d = x - mean
+    return -0.5 * (len(mean) * math.log(2 * math.pi) + math.log(np.linalg.det(cov)) + np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+
+
+@pytest.mark.parametrize("how", [(0.0, 0.01), (0.3, 0.05), (0.9, 0.2)])
+def test_scores_equal_the_posterior_of_normal_densities(how):
     r = np.random.default_rng(0)
-    x = [r.normal(k, 1 + k, (400, 3)) for k in (0, 1)]
-    sums = {k: np.hstack([np.ones((400, 1)), x[k]]).T @ np.hstack([np.ones((400, 1)), x[k]]) for k in (0, 1)}
-    model = quality_classifier.Discriminant.fit(sums)
-    assert (model.score(x[1]) > 0.5).mean() > 0.7 and (model.score(x[0]) < 0.5).mean() > 0.7
+    mixer = r.normal(size=(4, 4))
+    x = [r.normal(k, 1 + k, (300 + 200 * k, 4)) @ (mixer if k else np.eye(4)) for k in (0, 1)]
+    sums = {k: (one := np.hstack([np.ones((len(v), 1)), v])).T @ one for k, v in enumerate(x)}
+    model = quality_classifier.Discriminant.fit(sums, *how)
+    every, n = np.concatenate(x), [len(v) for v in x]
+    spread = every.std(0)
+    cov = [np.cov(v.T, bias=True) / np.outer(spread, spread) for v in x]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    log = []
+    for k in (0, 1):
+        c = (1 - how[0]) * cov[k] + how[0] * pooled
+        c = (1 - how[1]) * c + how[1] * np.trace(c) / 4 * np.eye(4)
+        log.append(normal_log_density(every / spread, x[k].mean(0) / spread, c) + math.log(n[k] / sum(n)))
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+    assert np.allclose(model.score(every), want, atol=1e-8)
+    assert ((want > 0.5) == (np.arange(sum(n)) >= n[0])).mean() > 0.75
+
+
+def brute_features(text):
+    """The statistics of one text, written out."""
+    raw = (text or "").encode()
+    w, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    n, size = len(w), len(raw)
+    share = lambda a, b: math.log(0.002 + (a / b if b else 0))
+    many = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    upper, lower_ = many(string.ascii_uppercase), many(string.ascii_lowercase)
+    count = Counter(w)
+    return (
+        math.log1p(n), math.log1p((size - n) / n) if n else 0, share(many("#*$%&|<>{}~^@\\_=+"), size), share(many("!?"), n), share(upper, upper + lower_), share(many(string.digits), size), share(many("|"), n),
+        math.log(len(count)) / math.log(n) if n > 1 else 1, math.log(0.02 + max(count.values()) / n) if n else 0, share(sum(a == b for a, b in zip(w, w[1:], strict=False)) if len(count) < 0.9 * n else 0, n),
+        share(len(lines) - len(set(lines)), len(lines)), math.log1p(n / len(lines)) if lines else 0, share(many("."), n), share(many(","), n), share(sum(b >= 128 for b in raw), size),
+        -sum(c / size * math.log(c / size) for c in Counter(raw).values()), share(brute_base(text)[4], n), share(upper, n),
+    )
+
+
+def test_statistics_match_plain_python(prose):
+    texts = [t for t in ODD if t is None or len(t) < 30_000] + [prose(i, 80) + "\n" + prose(i % 3, 60) + "!! | A a" for i in range(30)]
+    got = quality_classifier.statistics([None if t is None else t.encode() for t in texts])
+    assert np.allclose(got, [brute_features(t) for t in texts])
 
 
 # --- decontamination

@@ -1,8 +1,8 @@
 """Document quality by a regularised quadratic discriminant over transformed text statistics.
 
 One pass turns each whole text into a vector of transformed statistics, kept as a narrow table. Class sums and products are added up
-in Spark over all labelled rows that are not held out. The driver shrinks each class covariance
-towards the pooled one and that towards a multiple of the identity, and factors both once (Cholesky). A score is the logistic of the
+in Spark over all labelled rows that are not held out, by fold. The driver shrinks each class covariance
+towards the pooled one and that towards a multiple of the identity, by amounts that cross-validation inside the training folds chooses, and factors both once (Cholesky). A score is the logistic of the
 difference of the two log densities, each from the Mahalanobis norm by its cached factor, plus the log prior ratio.
 """
 
@@ -22,8 +22,8 @@ from ._spark import as_bytes, materialise, share
 from ._text import chunks, join_words, space_words
 from .quality_rules import repeated_words
 
-TO_POOLED, TO_SPHERE = 0.6, 0.05
-SHARPNESS = 0.5  # of the log-density difference, whose features are not independent
+FOLDS = 5  # by crc32 of the doc_id; fold 0 is held out of everything, shrinkage is chosen by cross-validation over the others
+SHRINKAGE = tuple((pooled, sphere) for pooled in (0.0, 0.3, 0.6, 0.9) for sphere in (0.01, 0.05, 0.2))  # towards the pooled covariance, and towards a multiple of the identity
 SYMBOL_BYTES = list(b"#*$%&|<>{}~^@\\_=+")
 NAMES = (
     "words", "word_length", "symbols", "marks", "upper", "digits", "pipes", "distinct", "top_word", "adjacent", "repeat_lines",
@@ -66,16 +66,38 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], ["doc_id", "x"])
 
 
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The products of (1, x) with itself, added up by fold and label."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        label = batch.column("label").to_numpy(zero_copy_only=False)
-        x = batch.column("x").flatten().to_numpy().reshape(len(label), -1)
-        one = np.hstack([np.ones((len(x), 1)), x])
-        for k in np.unique(label):
-            sums = one[label == k].T @ one[label == k]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * sums.size, pa.int32()), pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.reshape(-1))], ["label", "at", "v"])
+        kind = batch.column("fold").to_numpy() * 2 + batch.column("label").to_numpy()
+        one = np.hstack([np.ones((len(kind), 1)), _rows(batch)])
+        for k in np.unique(kind):
+            sums = one[kind == k].T @ one[kind == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * sums.size, pa.int32()), pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.reshape(-1))], ["kind", "at", "v"])
+
+
+def _losses(models):
+    """For each shrinkage the log loss of the rows by the model that is fitted without their fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = models()
+        total = np.zeros(len(SHRINKAGE))
+        for batch in batches:
+            fold, label, x = batch.column("fold").to_numpy(), batch.column("label").to_numpy(), _rows(batch)
+            for f in np.unique(fold):
+                at = fold == f
+                for i, model in enumerate(by[int(f)]):
+                    score = np.clip(model.score(x[at]), 1e-12, 1 - 1e-12)
+                    total[i] -= np.log(np.where(label[at] == 1, score, 1 - score)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "loss"])
+
+    return run
 
 
 @dataclass
@@ -87,7 +109,7 @@ class Discriminant:
     constant: list[float]
 
     @classmethod
-    def fit(cls, sums: dict[int, np.ndarray]) -> Discriminant:
+    def fit(cls, sums: dict[int, np.ndarray], to_pooled: float, to_sphere: float) -> Discriminant:
         """``sums``: for each class the products of (1, x) with itself, added up."""
         if len(sums) < 2 or any(s[0, 0] < 2 for s in sums.values()):
             return cls([], [], [])
@@ -102,8 +124,8 @@ class Discriminant:
         pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
         inverse, constant = [], []
         for k in (0, 1):
-            c = (1 - TO_POOLED) * cov[k] + TO_POOLED * pooled
-            c = (1 - TO_SPHERE) * c + TO_SPHERE * np.trace(c) / len(c) * np.eye(len(c))
+            c = (1 - to_pooled) * cov[k] + to_pooled * pooled
+            c = (1 - to_sphere) * c + to_sphere * np.trace(c) / len(c) * np.eye(len(c))
             factor = np.linalg.cholesky(c)
             inverse.append(np.linalg.inv(factor) / spread)  # of the statistics as they are
             constant.append(-float(np.log(np.diag(factor)).sum()) + math.log(n[k] / (n[0] + n[1])))
@@ -113,32 +135,43 @@ class Discriminant:
         if not self.mean:
             return np.full(len(x), 0.5)
         log = [self.constant[k] - 0.5 * (((x - self.mean[k]) @ self.inverse[k].T) ** 2).sum(1) for k in (0, 1)]
-        return 1 / (1 + np.exp(np.clip(SHARPNESS * (log[0] - log[1]), -500, 500)))
+        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
 
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Discriminant = model()
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.score(_rows(batch)))], ["doc_id", "score"])
 
     return run
 
 
-def held_out(doc_id: str = "doc_id", folds: int = 5):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+def fold(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
+
+
+def _added(parts: list[dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    return {k: sum(p[k] for p in parts if k in p) for k in (0, 1) if any(k in p for p in parts)}
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """A discriminant from all labelled rows that are not held out; a few hundred sums reach the driver."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out())
-    rows = features.join(known, "doc_id").select("label", "x").mapInArrow(_summed, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
-    sums: dict[int, np.ndarray] = {}
-    side = len(NAMES) + 1
-    for r in rows:
-        sums.setdefault(r.label, np.zeros(side * side))[r.at] = r.v
-    return Discriminant.fit({k: v.reshape(side, side) for k, v in sums.items()})
+    """A discriminant from all labelled rows that are not held out, with the shrinkage of the least cross-validated log loss (of equals the first).
+
+    A few thousand sums and one loss for each shrinkage reach the driver.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"), fold().cast("int").alias("fold")).filter("label in (0, 1) AND fold > 0")
+    rows = materialise(features.join(known, "doc_id").select("fold", "label", "x"))
+    side, sums = len(NAMES) + 1, {f: {} for f in range(1, FOLDS)}
+    for r in rows.mapInArrow(_summed, "kind int, at int, v double").groupBy("kind", "at").agg(F.sum("v").alias("v")).collect():
+        sums[r.kind // 2].setdefault(r.kind % 2, np.zeros(side * side))[r.at] = r.v
+    sums = {f: {k: v.reshape(side, side) for k, v in s.items()} for f, s in sums.items()}
+    without = {f: _added([s for g, s in sums.items() if g != f]) for f in sums}
+    models = share(features.sparkSession, {f: [Discriminant.fit(s, *how) for how in SHRINKAGE] for f, s in without.items()})
+    losses = rows.mapInArrow(_losses(models), "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).collect()
+    models.drop()
+    best = min(losses, key=lambda r: (round(r.loss, 6), r.i)).i if losses else 0
+    return Discriminant.fit(_added(list(sums.values())), *SHRINKAGE[best])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -151,4 +184,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     features = materialise(raw.mapInArrow(_featured, "doc_id long, x array<double>"))
     model = share(docs.sparkSession, fit(features, labels))
     scored = features.mapInArrow(_scored(model), "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
