@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecount.llm import decontamination, mixing, ngram_join, quality_rules, secret_scan
-from tidecount.llm._spark import materialise, read_table
+from tidecount.llm._spark import materialise, read_table, scratch
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):  # what a stage writes on its way goes when its rows are written
+            docs = materialise(stage(spark, docs, sf_dir), outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
