@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secret_scan import scan
 from .substring_dedup import remove_repeats
-from .token_counts import token_counts
+from .token_counts import default_cache, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "piece_bpe_32k.model"
@@ -50,7 +51,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path(TOKENIZER), "rb") as f:
         model = f.read()
-    return token_counts(read_table(spark, sf_dir, "documents"), model)
+    # a cache for each corpus, so that a run over another one is a first run
+    cache = f"{default_cache(spark)}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return token_counts(read_table(spark, sf_dir, "documents"), model, cache=cache)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
