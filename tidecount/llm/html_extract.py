@@ -75,7 +75,6 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>\"'][^\s>]*+))?+)?+")
-SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
@@ -130,7 +129,7 @@ def parse(page: str) -> Node:
     def flush() -> None:
         nonlocal run
         if run is not None:
-            run.text = SPACE.sub(" ", "".join(run.pieces)).strip()
+            run.text = " ".join("".join(run.pieces).split())
             run.pieces = []
             if run.text:
                 run.parent.children.append(run)
@@ -241,6 +240,11 @@ NAMES = (
     "in_frame", "in_article", "above_good", "above_bad", "in_comments", "place", "siblings", "like", "is_run", "share", "of_parent", "most_prose", "before", "after", "parent_links", "parent_prose",
 )
 AT = {name: i for i, name in enumerate(NAMES)}
+NOTE = 300  # characters that a text which frames a page has at most
+ENDS = frozenset(".!?…\"”»。！？")
+# is_p, is_heading, is_item, is_cell
+HELD = {"p": (1, 0, 0, 0), **{f"h{i}": (0, 1, 0, 0) for i in range(1, 7)}, "li": (0, 0, 1, 0), "dd": (0, 0, 1, 0), "dt": (0, 0, 1, 0), "td": (0, 0, 0, 1), "th": (0, 0, 0, 1)}
+NOT_HELD = (0, 0, 0, 0)
 
 
 class Page:
@@ -259,24 +263,31 @@ class Page:
             me = len(self.nodes)
             self.nodes.append(node)
             self.parent.append(parent)
-            top = node.tag in TOP_TAGS
+            if node.tag == "#":
+                text, holder = node.text, node.parent.tag
+                size, words = len(text), text.count(" ") + 1
+                rows.append((
+                    depth, size, node.link_chars, words, text[-1] in ENDS, text.count(","), 1, size <= NOTE and MARKS.search(text) is not None, size if words > 9 and 2 * node.link_chars < size else 0,
+                    *HELD.get(holder, NOT_HELD), 0, 0, 0, holder in FALLBACK, 0, 0, *above, place, len(node.parent.children), like, 1, 0, 0, 0, 0, 0, 0, 0,
+                ))
+                continue
+            tag = node.tag
+            top, frame, article = tag in TOP_TAGS, tag in FRAME_TAGS, tag in ("article", "main")
             good, bad, comments = (False, False, False) if top or not node.name else told(node.name)
-            frame, article = node.tag in FRAME_TAGS, node.tag in ("article", "main")
-            text, is_run = node.text, node.tag == "#"
-            holder = node.parent.tag if is_run else node.tag
-            words = text.count(" ") + 1 if text else 0
-            ends = text[-1:] in tuple(".!?…\"”»。！？") if text else False
-            rows.append([
-                depth, len(text), node.link_chars, words, ends, text.count(","), is_run, bool(text and MARKS.search(text)), len(text) if words > 9 and 2 * node.link_chars < len(text) else 0,
-                holder == "p", holder[0] == "h" and holder[1:].isdigit(), holder in ("li", "dd", "dt"), holder in ("td", "th"), frame, article, top, holder in FALLBACK, good, bad,
-                *above, place, len(node.parent.children) if node.parent else 0, like, is_run, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0,
-            ])
+            rows.append((
+                depth, 0, 0, 0, 0, 0, 0, 0, 0, *HELD.get(tag, NOT_HELD), frame, article, top, tag in FALLBACK, good, bad,
+                *above, place, len(node.parent.children) if node.parent else 0, like, 0, 0, 0, 0, 0, 0, 0, 0,
+            ))
             inside = (above[0] + frame, above[1] + article, above[2] + good, above[3] + bad, above[4] + comments)
-            tags = Counter(child.tag for child in node.children)
-            n = len(node.children)
+            children, n = node.children, len(node.children)
+            if n == 1:
+                todo.append((children[0], me, depth + 1, inside, 0.0, 1))
+                continue
+            tags: dict[str, int] = {}
+            for child in children:
+                tags[child.tag] = tags.get(child.tag, 0) + 1
             for k in range(n - 1, -1, -1):
-                child = node.children[k]
-                todo.append((child, me, depth + 1, inside, k / max(1, n - 1), tags[child.tag]))
+                todo.append((children[k], me, depth + 1, inside, k / (n - 1), tags[children[k].tag]))
         self.x = np.array(rows, float).reshape(len(rows), len(NAMES))
         if len(rows):
             self._subtrees()
@@ -489,7 +500,7 @@ class _Writer:
     def block(self, text: str) -> str:
         """A block of the main text, some words of it marked up."""
         r = self.r
-        self.main.append(SPACE.sub(" ", entities.unescape(text)).strip())
+        self.main.append(" ".join(entities.unescape(text).split()))
         w = text.split(" ")
         for _ in range(r.choice((0, 0, 0, 1, 1, 2, 4))):
             i = r.randrange(len(w))
