@@ -197,6 +197,48 @@ def test_ledger_deletion_of_days_stored_before(spark, tmp_path):
     assert ledger.replay() == [day(1), day(8), day(9)]
 
 
+def test_rotated_secret_still_erases(spark, tmp_path):
+    day = lambda d: dt.date(2025, 10, d)
+    table = lambda rows: spark.createDataFrame(rows, "seq long, user_id string, day date, op string, days array<date>")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.record(table([(1, "a", day(1), "+", []), (2, "b", day(1), "+", [])]), C)
+    later = C.rotated("t")
+    assert later.hash_salt_secret == "t" and later.root_secret == "s" and later.rotated("u").root_secret == "s"
+    ledger.record(table([(3, "a", day(2), "-", [])]), later)
+    assert [sorted(r.days) for r in ledger.erasures().collect()] == [[day(1), day(2)]]
+
+
+def test_reported_budget_by_points(spark):
+    """One window release of 0.5 under a cap of 3.5: what remains goes by the best order; a month without releases isn't free of spending."""
+    rel = spark.createDataFrame([("mau", dt.date(2025, 10, 1), "2025-10", 0.5, 1e-6)], "metric string, day date, period string, epsilon double, delta double")
+    row = release.budget_summary(rel, C).first()
+    sigma = mechanisms.gaussian_sigma(0.5, 1e-6)
+    want = min(a / (2 * sigma**2) + math.log(1e6) / (a - 1) for a in (2, 4, 8, 16, 32))
+    assert row.composition == "rdp" and row.spent == 0.5 and row.epsilon_spent == pytest.approx(want) and row.remaining == pytest.approx(3.5 - want)
+    assert row.rdp_curve[2.0] == pytest.approx(1 / sigma**2) and row.rdp_orders == [2.0, 4.0, 8.0, 16.0, 32.0]
+    months = spark.createDataFrame([("mau", "2025-12"), ("dau", "2025-12")], "metric string, period string")
+    got = {r.metric: r for r in release.budget_summary(rel, C, months).collect()}
+    assert got["mau"].releases == 0 and got["mau"].epsilon_spent == pytest.approx(math.log(1e6) / 31) and got["dau"].remaining == 3.0 and got["dau"].rdp_epsilon is None
+
+
+def test_snapshots_are_read_and_kept_up_to_date(spark, tmp_path):
+    day = lambda d: dt.date(2025, 10, d)
+    table = lambda rows: spark.createDataFrame(rows, "seq long, user_id string, day date, op string, days array<date>")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.record(table([(i, f"u{i}", day(1), "+", []) for i in range(9)]), C)
+    assert ledger.day_count(day(1), C) == 9 and ledger.snapshots().count() == 1
+    ledger.record(table([(20, "u1", day(3), "-", []), (21, "x", day(1), "+", [])]), C)
+    assert {r.day: r.exact_count for r in ledger.snapshots().collect()} == {day(1): 9}
+    assert ledger.day_count(day(2), C) == 0
+
+
+def test_epochs_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pseudonym, "MOST_EPOCHS", 3)
+    rows = spark.range(200).select(F.lit("a").alias("user_id"), F.expr("date_add(DATE'2025-01-01', cast(id as int))").alias("day"))
+    with pytest.raises(ValueError):
+        pseudonym.with_user_key(rows, "s", 30)
+
+
 def test_dynamic_overwrite(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.append(spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string"), path, "p")
@@ -263,6 +305,20 @@ def test_stored_releases(spark, tmp_path):
         ledger.record_rdp(spark.createDataFrame([(1, "dau", day(1), "2025-10", 1.0, 0.1)], "id long, metric string, day date, period string, alpha double, rdp double"))
 
 
+def test_csv_metadata_of_any_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", dt.date(2025, 10, 1), "+", [], {"b": 'x,"y"', "a": ""}), (2, "a", dt.date(2025, 10, 2), "-", [dt.date(2025, 10, 1)], None)], "seq long, user_id string, day date, op string, days array<date>, metadata map<string,string>")
+    path = str(tmp_path / "m.csv")
+    sinks.write_csv(rows, path)
+    got = {r.seq: r for r in events.read_csv(spark, path, keep=True).collect()}
+    assert got[1].metadata == {"b": 'x,"y"'} and got[2].metadata == {} and got[2].days == [dt.date(2025, 10, 1)] and got[1].days == []
+
+
+def test_client_keys(spark):
+    rows = [("0123456789", "1.2.3.4", "h"), ("", " 1.2.3.4 , 5", "h"), (None, None, "h"), (None, "", None)]
+    df = spark.createDataFrame(rows, "k string, f string, h string")
+    assert [r.c for r in df.select(requests.client_key(F.col("k"), F.col("f"), F.col("h")).alias("c")).collect()] == ["key:01234567", "ip:1.2.3.4", "ip:h", "unknown"]
+
+
 def test_metadata_columns(spark, tmp_path):
     rows = spark.createDataFrame([(1, {"b": "x"}), (2, {"a": "y"}), (3, None)], "seq long, metadata map<string,string>")
     flat = sinks.flatten_metadata(rows)

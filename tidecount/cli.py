@@ -32,6 +32,9 @@ def _parser() -> argparse.ArgumentParser:
     for name, default, kind in (("users", 100, int), ("days", 7, int), ("p-active", 0.2, float), ("delete-rate", 0.1, float), ("seed", 1, int)):
         generate.add_argument(f"--{name}", type=kind, default=default)
     what.add_parser("secret", help="a new salt secret; data under the old one can't be erased with it")
+    rotate = what.add_parser("rotate-salt", help="settings with a new salt secret, under which stored data can still be erased")
+    rotate.add_argument("--secret", help="the present one, else HASH_SALT_SECRET")
+    parser.add_argument("--version", action="version", version="tidecount 0.2")
     for name, rest in (("ingest", ("path",)), ("release", ("metric", "day")), ("flush-deletes", ()), ("reset-budget", ("metric", "period")), ("budget-report", ())):
         sub = what.add_parser(name, help=f"{name} on a ledger")
         sub.add_argument("ledger")
@@ -71,6 +74,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.what == "secret":
         print(pseudonym.mint_secret())
         return 0
+    if args.what == "rotate-salt":
+        now = _config(args).rotated(pseudonym.mint_secret())
+        print(json.dumps({"HASH_SALT_SECRET": now.hash_salt_secret, "HASH_INDEX_SECRET": now.hash_index_secret}))
+        return 0
     spark = spark or SparkSession.builder.appName("tidecount").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.what == "generate":
         rows = workloads.synthetic(spark, args.users, args.days, args.p_active, args.delete_rate, args.seed)

@@ -30,6 +30,7 @@ class Config:
     bloom_fp_rate: float = 0.01
     hash_salt_secret: str = ""
     hash_salt_rotation_days: int = 30
+    hash_index_secret: str = ""
     autoscale: bool = False
 
     def __post_init__(self):
@@ -52,6 +53,18 @@ class Config:
         """How far one user's change can move a daily count: a user counts once a day, whatever the bound."""
         return min(self.w_bound, 1)
 
+    @property
+    def root_secret(self) -> str:
+        """The secret of the keys under which erasures find rows; it outlives rotations of the salt secret."""
+        return self.hash_index_secret or self.hash_salt_secret
+
+    def rotated(self, secret: str) -> Config:
+        """The same settings under a new salt secret: daily keys change from now on, erasures still reach what is stored."""
+        return replace(self, hash_salt_secret=secret, hash_index_secret=self.root_secret)
+
+    def delta_of(self, metric: str) -> float:
+        return self.delta if metric == "mau" else 0.0
+
     def epsilon(self, metric: str) -> float:
         return {"dau": self.epsilon_dau, "mau": self.epsilon_mau}[metric]
 

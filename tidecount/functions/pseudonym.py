@@ -14,6 +14,7 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_EPOCHS = 10_000  # some 800 years of 30 days each
 FIRST_ORDINAL = 719163  # proleptic Gregorian ordinal of 1970-01-01
 
 
@@ -53,11 +54,12 @@ def user_root(user_id: Column, secret: str) -> Column:
 
 
 def with_user_key(df: DataFrame, secret: str, rotation_days: int, day: str = "day", user: str = "user_id") -> DataFrame:
-    """Adds ``epoch`` and ``user_key``. Epochs number one for ``rotation_days`` days of data, so the salt table is tiny."""
+    """Adds ``epoch`` and ``user_key``. The salt table has one row for each epoch in the data; over ``MOST_EPOCHS`` of them are an error."""
     spark, key = df.sparkSession, secret_bytes(secret)
     rows = df.withColumn("epoch", rotation_epoch(F.col(day), rotation_days))
-    ends = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(rotation_epoch(F.col("a"), rotation_days).alias("a"), rotation_epoch(F.col("b"), rotation_days).alias("b")).first()
-    epochs = range(ends.a, ends.b + 1) if ends.a is not None else ()
+    epochs = [r[0] for r in rows.select("epoch").filter("epoch IS NOT NULL").distinct().limit(MOST_EPOCHS + 1).collect()]
+    if len(epochs) > MOST_EPOCHS:
+        raise ValueError(f"over {MOST_EPOCHS} salt epochs")
     salts = spark.createDataFrame([(e, *pads(epoch_salt(key, e))) for e in epochs], "epoch long, inner string, outer string")
     joined = rows.join(F.broadcast(salts), "epoch", "left")
     return joined.withColumn("user_key", hmac_sha256(F.col(user), F.col("inner"), F.col("outer"))).drop("inner", "outer")

@@ -101,10 +101,26 @@ def reported(releases: DataFrame, points: DataFrame, delta: float, keys: tuple[s
     return both.select(*by, F.when(F.col("delta") > 0, F.coalesce("rdp_epsilon", "naive")).otherwise(F.col("naive")).alias("epsilon"))
 
 
-def snapshot(releases: DataFrame, points: DataFrame, cap: dict[str, float], orders: tuple[float, ...], delta: float, slack_delta: float) -> DataFrame:
-    """One row for each metric and month: naive, advanced and Rényi spending, what remains, and which composition the metric reports."""
-    naive = spent(releases, cap)
-    rows = naive.join(rdp_epsilon(rdp_totals(points, orders), delta), MONTH, "left").join(advanced(releases, slack_delta), MONTH, "left")
-    private = releases.groupBy(*MONTH).agg(F.max("delta").alias("delta"))
-    rows = rows.join(private, MONTH)
-    return rows.withColumn("cap", caps(rows, cap)).withColumn("composition", F.when((F.col("delta") > 0) & F.col("rdp_epsilon").isNotNull(), "rdp").otherwise("naive"))
+def snapshot(releases: DataFrame, points: DataFrame, cap: dict[str, float], orders: tuple[float, ...], delta: dict[str, float], slack_delta: float, months: DataFrame | None = None) -> DataFrame:
+    """One row for each metric and month of ``releases``, or of ``months(metric, period)``, which may lie unused.
+
+    ``spent`` is the naive sum; ``epsilon_spent`` and ``remaining`` go by the composition that the metric reports: the best Rényi
+    conversion where its ``delta`` is above 0, else the sum. A month without releases has a curve of zeros, so its best conversion is not 0.
+    """
+    by = ["metric", "period"]
+    every = (releases if months is None else months).select(*by).distinct()
+    curve = every.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in orders)))).join(points.groupBy(*by, "alpha").agg(F.sum("rdp").alias("rdp")), [*by, "alpha"], "left").fillna(0.0, ["rdp"])
+    of = F.element_at(F.create_map(*(F.lit(x) for pair in delta.items() for x in pair)), F.lower("metric"))
+    curve = curve.withColumn("delta", of).withColumn("e", F.when(F.col("delta") > 0, F.col("rdp") + F.log(1 / F.col("delta")) / (F.col("alpha") - 1)))
+    best = curve.groupBy(*by).agg(
+        F.max("delta").alias("delta"), F.min("e").alias("rdp_epsilon"), F.min_by(F.when(F.col("e").isNotNull(), F.col("alpha")), F.struct(F.col("e").isNull(), "e", "alpha")).alias("best_alpha"),
+        F.array_sort(F.collect_list(F.struct("alpha", "rdp"))).alias("curve"),
+    )
+    rows = best.join(releases.groupBy(*by).agg(F.sum("epsilon").alias("spent"), F.count(F.lit(1)).alias("releases")), by, "left").fillna(0, ["spent", "releases"]).join(advanced(releases, slack_delta), by, "left")
+    private = F.col("rdp_epsilon").isNotNull()
+    rows = rows.withColumn("cap", caps(rows, cap)).withColumn("epsilon_spent", F.when(private, F.col("rdp_epsilon")).otherwise(F.col("spent")))
+    return rows.select(
+        *by, "cap", "spent", "epsilon_spent", F.greatest(F.lit(0.0), F.col("cap") - F.col("epsilon_spent")).alias("remaining"), "delta", "releases", "rdp_epsilon", "best_alpha",
+        F.map_from_entries("curve").alias("rdp_curve"), F.transform("curve", lambda c: c["alpha"]).alias("rdp_orders"), "advanced_epsilon", "advanced_delta", F.when(private, "rdp").otherwise("naive").alias("composition"),
+        F.when(private, "Rényi points of the month, converted at the best order").otherwise("delta is 0, so epsilons are added").alias("notes"),
+    )

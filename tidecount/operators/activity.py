@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def daily(pairs: DataFrame, user: str = "user_id") -> DataFrame:
-    """(day, users) for days with an active user."""
-    return pairs.groupBy("day").agg(F.count_distinct(user).alias("users"))
+def daily(pairs: DataFrame, user: str = "user_id", unique: bool = False) -> DataFrame:
+    """(day, users) for days with an active user; ``unique`` says that no (user, day) is repeated, so that counting is enough."""
+    return pairs.groupBy("day").agg((F.count(user) if unique else F.count_distinct(user)).alias("users"))
 
 
 def spine(rows: DataFrame, column: str = "day") -> DataFrame:
@@ -19,7 +19,7 @@ def spine(rows: DataFrame, column: str = "day") -> DataFrame:
 
 def daily_filled(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(day, users) for every day between the log's first and last, without gaps."""
-    return spine(rows).join(daily(pairs), "day", "left").select("day", F.coalesce("users", F.lit(0)).cast("long").alias("users"))
+    return spine(rows).join(daily(pairs, unique=True), "day", "left").select("day", F.coalesce("users", F.lit(0)).cast("long").alias("users"))
 
 
 def window_count(pairs: DataFrame, end: str, window_days: int, user: str = "user_id") -> DataFrame:
@@ -45,5 +45,11 @@ def rolling(pairs: DataFrame, days: DataFrame, window_days: int, user: str = "us
     return counted.join(days, "day", "left_semi").select("day", "users")
 
 
+def rolling_exploded(pairs: DataFrame, days: DataFrame, window_days: int, user: str = "user_id") -> DataFrame:
+    """As ``rolling`` by spreading each pair over the windows that hold it: ``window_days`` times the rows, for comparison."""
+    ends = pairs.select(user, F.explode(F.sequence("day", F.date_add("day", window_days - 1))).alias("day")).distinct()
+    return days.join(ends.groupBy("day").agg(F.count(user).alias("users")), "day", "left").select("day", F.coalesce("users", F.lit(0)).cast("long").alias("users"))
+
+
 def weekly(pairs: DataFrame, days: DataFrame) -> DataFrame:
     return rolling(pairs, days, 7)

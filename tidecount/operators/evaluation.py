@@ -24,10 +24,10 @@ def error_stats(rows: DataFrame, *group: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *stats)
 
 
-def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...], window_days: int, delta: float, seed: int) -> DataFrame:
+def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...], window_days: int, delta: float, seed: int, epsilon_mau: float = 0.0) -> DataFrame:
     """(sketch, epsilon, metric, day, exact, estimate): the last day's releases for every sketch and epsilon.
 
-    Daily counts are released from exact counts, window counts from the sketch, as a release would.
+    Daily counts are released from exact counts, window counts from the sketch, as a release would; those cost ``epsilon_mau`` at least.
     """
     pairs = turnstile.active_pairs(rows)
     day = rows.agg(F.max("day")).first()[0]
@@ -42,7 +42,13 @@ def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...],
         estimate = sketches.merged(sketches.daily_sketches(window, name), ["day"]).select("day", "estimate")
         for epsilon in epsilons:
             daily = mechanisms.release(today.withColumn("exact", F.col("users")), "dau", epsilon, 0.0, seed)
-            month = mechanisms.release(exact.withColumnRenamed("users", "exact").join(estimate.withColumnRenamed("estimate", "users"), "day"), "mau", epsilon, delta, seed).withColumn("metric", F.lit("mau"))
+            month = mechanisms.release(exact.withColumnRenamed("users", "exact").join(estimate.withColumnRenamed("estimate", "users"), "day"), "mau", max(epsilon_mau, epsilon), delta, seed).withColumn("metric", F.lit("mau"))
             for part in (daily, month):
                 out.append(part.select(F.lit(name).alias("sketch"), F.lit(float(epsilon)).alias("epsilon"), "metric", "day", F.col("exact").cast("double").alias("exact"), F.col("estimate").cast("double").alias("estimate")))
     return reduce(DataFrame.union, out)
+
+
+def write_results(swept: DataFrame, path: str) -> None:
+    """A sweep as JSON lines, one for each sketch and epsilon, with the releases of both metrics by name."""
+    answer = F.struct("metric", F.struct("day", "exact", "estimate"))
+    swept.groupBy("sketch", "epsilon").agg(F.map_from_entries(F.array_sort(F.collect_list(answer))).alias("releases")).select("sketch", "epsilon", "releases.dau", "releases.mau").write.json(path)

@@ -21,7 +21,7 @@ def activity(rows: DataFrame, config: Config, known: DataFrame | None = None) ->
     log = turnstile.expanded_log(rows, known)
     source = turnstile.tombstones(rows, known).select("seq", "user_id", "day", "source_day")
     log = log.join(source, ["seq", "user_id", "day"], "left")
-    keyed = with_user_key(log, config.hash_salt_secret, config.hash_salt_rotation_days).withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
+    keyed = with_user_key(log, config.hash_salt_secret, config.hash_salt_rotation_days).withColumn("user_root", user_root(F.col("user_id"), config.root_secret))
     note = F.when(F.col("step") == 1, F.to_json(F.struct(F.lit(True).alias("tombstone"), F.date_format("source_day", "yyyy-MM-dd").alias("source_day"))))
     return keyed.select("seq", "step", "day", "user_key", "user_root", "op", note.alias("metadata"))
 
@@ -44,13 +44,17 @@ class Ledger:
 
         ``seq`` goes on from one call to the next. A deletion of all known days takes in those that are stored already.
         """
-        users = rows.filter("op = '-' AND size(days) = 0").select("user_id").distinct().withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
+        users = rows.filter("op = '-' AND size(days) = 0").select("user_id").distinct().withColumn("user_root", user_root(F.col("user_id"), config.root_secret))
         # read before anything is appended
         known = self.activity().join(users, "user_root").groupBy("user_id", "day").agg(F.min("seq").alias("first_seq"))
         log, asked = activity(rows, config, known), turnstile.erasures(rows, known)
         append(log, f"{self.path}/activity", "day")
-        asked = asked.withColumn("user_root", user_root(F.col("user_id"), config.hash_salt_secret))
+        asked = asked.withColumn("user_root", user_root(F.col("user_id"), config.root_secret))
+        stored = [r.day for r in self.snapshots().select("day").distinct().collect()]  # at most the calendar's
+        dirty = [r.day for r in log.select("day").distinct().filter(F.col("day").isin(*stored)).collect()] if stored else []
         append(asked.select("erasure_id", "user_root", "days", F.lit(True).alias("pending"), F.lit(0).cast("long").alias("version")), f"{self.path}/erasures")
+        if dirty:
+            self.refresh(dirty, config.sketch_impl, config.sketch_k)
 
     def activity(self, *days: str) -> DataFrame:
         """The activity of some days; other days' folders are not read."""
@@ -69,15 +73,26 @@ class Ledger:
         append(done, f"{self.path}/erasures")
         return days
 
-    def refresh(self, days: list, sketch: str = "kmv") -> None:
+    def refresh(self, days: list, sketch: str = "kmv", k: int = 4096) -> None:
         """Count ``days`` again and replace their snapshots; other days' stay as they are."""
         spine = self.spark.createDataFrame([(d,) for d in days], "day date")
         active = self.active().filter(F.col("day").isin(*days)) if days else self.active().limit(0)
-        build = sketches.backend(sketch)
-        made = active.groupBy("day").agg(F.count_distinct("user_key").alias("exact_count"), F.to_json(F.struct(build.build("user_key").alias("s"))).alias("sketch"))
+        if sketch == "kmv":  # no more than k hashes of a day are gathered
+            made = sketches.daily_kmv(active.select("day", sketches.key_hash(F.col("user_key")).alias("h")), ["day"], k).withColumnRenamed("sketch", "s")
+        else:
+            made = active.groupBy("day").agg(sketches.backend(sketch).build("user_key").alias("s"))
+        made = active.groupBy("day").agg(F.count("user_key").alias("exact_count")).join(made.select("day", F.to_json(F.struct("s")).alias("sketch")), "day")
         full = spine.join(made, "day", "left").select(F.coalesce("exact_count", F.lit(0)).cast("long").alias("exact_count"), "sketch", F.lit(sketch).alias("sketch_impl"), "day")
         overwrite_partitions(full, f"{self.path}/snapshots", "day")
 
+    def day_count(self, day, config: Config) -> int:
+        """The day's active users from its snapshot, which is made where missing. Days that later rows touch were refreshed when these were recorded or replayed."""
+        held = self.snapshots().filter(F.col("day") == F.lit(day)).select("exact_count").first()
+        if held is None:
+            self.refresh([day], config.sketch_impl, config.sketch_k)
+            held = self.snapshots().filter(F.col("day") == F.lit(day)).select("exact_count").first()
+        return held.exact_count
+
     def snapshots(self) -> DataFrame:
         return self._read("snapshots", SNAPSHOT)
 
@@ -102,7 +117,7 @@ class Ledger:
         ordered = sinks_numbered(released, start, "metric", "day").withColumn("seed", F.lit(config.default_seed).cast("long"))
         append(ordered.select("id", "metric", "day", "period", "epsilon", "delta", "mechanism", "seed"), f"{self.path}/releases")
         written = self._all_releases().filter(F.col("id") >= start)
-        self.record_rdp(mechanisms.rdp_points(written, config.rdp_orders, config.sensitivity).join(written.select("metric", "day", "id"), ["metric", "day"]))
+        self.record_rdp(mechanisms.rdp_points(written, config.rdp_orders, config.sensitivity))
 
     def record_rdp(self, points: DataFrame) -> None:
         """Append Rényi points (id, metric, day, period, alpha, rdp); an order of at most 1 or a negative value is an error."""
@@ -119,14 +134,14 @@ class Ledger:
         mark = self._next(self._all_releases()) - 1
         append(self.spark.createDataFrame([(metric.lower(), period, mark)], RESET), f"{self.path}/resets")
 
-    def budget(self, config: Config) -> DataFrame:
-        """The accountant's snapshot of all months."""
-        caps = {m: config.cap(m) for m in ("dau", "mau")}
-        return accountant.snapshot(self.releases(), self.rdp(), caps, config.rdp_orders, config.delta, config.advanced_delta)
+    def budget(self, config: Config, months: DataFrame | None = None) -> DataFrame:
+        """The accountant's snapshot of all months with releases, or of ``months(metric, period)``."""
+        metrics = ("dau", "mau")
+        return accountant.snapshot(self.releases(), self.rdp(), {m: config.cap(m) for m in metrics}, config.rdp_orders, {m: config.delta_of(m) for m in metrics}, config.advanced_delta, months)
 
     def backup(self, path: str) -> None:
         """A copy of every table."""
-        for name, schema in (("activity", ACTIVITY), ("erasures", ERASURE), ("releases", RELEASE), ("rdp_releases", RDP_RELEASE), ("resets", RESET)):
+        for name, schema in (("activity", ACTIVITY), ("erasures", ERASURE), ("releases", RELEASE), ("rdp_releases", RDP_RELEASE), ("resets", RESET), ("snapshots", SNAPSHOT)):
             self._read(name, schema).write.mode("overwrite").parquet(f"{path}/{name}")
 
     def active(self) -> DataFrame:

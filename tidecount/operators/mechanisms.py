@@ -67,4 +67,4 @@ def rdp_points(releases: DataFrame, orders: tuple[float, ...], sensitivity: floa
     sigma = F.sqrt(2 * F.log(1.25 / F.col("delta"))) * sensitivity / F.col("epsilon")
     curve = F.when(F.col("delta") > 0, gaussian_rdp(F.col("alpha"), sigma, sensitivity)).otherwise(laplace_rdp(F.col("alpha"), F.col("epsilon")))
     spread = releases.withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in orders if a > 1))))
-    return spread.select("metric", "day", "period", "alpha", curve.alias("rdp"))
+    return spread.select(*(c for c in ("id",) if c in releases.columns), "metric", "day", "period", "alpha", curve.alias("rdp"))

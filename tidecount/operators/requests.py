@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -32,6 +32,11 @@ def latency_sums(log: DataFrame) -> DataFrame:
     return log.groupBy("handler", "method").agg(F.sum("duration_s").alias("seconds"), F.count(F.lit(1)).alias("requests"))
 
 
+def client_key(api_key: Column, forwarded: Column, host: Column) -> Column:
+    """Whom a request counts for: the first eight characters of its API key, else the first forwarded address, else the host."""
+    return F.when(api_key != "", F.concat(F.lit("key:"), F.substring(api_key, 1, 8))).when(forwarded != "", F.concat(F.lit("ip:"), F.trim(F.split(forwarded, ",")[0]))).otherwise(F.coalesce(F.concat(F.lit("ip:"), host), F.lit("unknown")))
+
+
 def request_rate(log: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     """``log`` with ``recent``: the client's requests in the last ``span_s`` seconds, this one included."""
     order = Window.partitionBy("client").orderBy(F.unix_timestamp("ts")).rangeBetween(-(span_s - 1), 0)

@@ -54,6 +54,41 @@ def kmv_count(rows: DataFrame, group: list[str], k: int, h: str = "h") -> DataFr
     return kept.select(*group, "n", kmv_estimate(F.col("n"), F.col("kth"), k).alias("estimate"))
 
 
+def daily_kmv(rows: DataFrame, group: list[str], k: int, h: str = "h") -> DataFrame:
+    """(group..., sketch): the sorted bottom-k hashes of each group as an array; at most k of them are ever gathered."""
+    return bottom_k(rows, group, k, h).groupBy(*group).agg(F.array_sort(F.collect_list(h)).alias("sketch"))
+
+
+def rolling_kmv(pairs: DataFrame, days: DataFrame, window_days: int, k: int, user: str = "user_id") -> DataFrame:
+    """(day, users): the bottom-k estimate of distinct users in the ``window_days`` days up to each of ``days``.
+
+    Days' sketches are merged, so at most k rows a day are spread over windows, however many users there are.
+    """
+    own = bottom_k(pairs.select("day", key_hash(F.col(user)).alias("h")), ["day"], k).select("h", F.explode(F.sequence("day", F.date_add("day", window_days - 1))).alias("day"))
+    counted = kmv_count(own.join(days, "day", "left_semi"), ["day"], k).select("day", F.col("estimate").alias("users"))
+    return days.join(counted, "day", "left").select("day", F.coalesce("users", F.lit(0.0)).alias("users"))
+
+
+def union_hierarchy(pairs: DataFrame, edge: str, gateways: int, name: str) -> DataFrame:
+    """(day, estimate): sketches made at each edge, united at its gateway, and the gateways' united in the middle."""
+    kind = backend(name)
+    edges = pairs.groupBy("day", edge).agg(kind.build("user_id").alias("sketch"))
+    gate = edges.groupBy("day", F.pmod(F.xxhash64(edge), F.lit(gateways)).alias("gateway")).agg(kind.merge("sketch").alias("sketch"))
+    return gate.groupBy("day").agg(kind.merge("sketch").alias("sketch")).select("day", kind.estimate("sketch").alias("estimate"))
+
+
+def packed(sketch: Column, k: int) -> Column:
+    """A sketch of 16-digit hashes as ``pack`` would write it, in hex."""
+    return F.concat(F.lit(f"{k:08x}"), F.lower(F.lpad(F.hex(F.size(sketch)), 8, "0")), F.array_join(sketch, ""))
+
+
+def unpacked(text: Column, k: int) -> Column:
+    """The first ``k`` hashes of a packed sketch in hex; a length that doesn't fit is an error."""
+    n = F.conv(F.substring(text, 9, 8), 16, 10).cast("int")
+    whole = F.when(F.length(text) == 16 + 16 * n, text).otherwise(F.raise_error(F.lit("not a packed sketch")).cast("string"))
+    return F.slice(F.regexp_extract_all(F.substring(whole, 17, 1 << 30), F.lit("([0-9a-f]{16})"), F.lit(1)), 1, k)
+
+
 def kmv_difference(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """(survivors, estimate) of A without B, each a table of hashes ``h``.
 

@@ -25,8 +25,8 @@ def _numbered(rows: DataFrame, days: int) -> DataFrame:
     return rows.withColumn("seq", (F.col("d").cast("long") * F.lit(2) + F.col("step")) * F.lit(1 << 40) + F.col("u"))
 
 
-def _rows(rows: DataFrame) -> DataFrame:
-    return rows.select("seq", F.concat(F.lit("user-"), F.col("u").cast("string")).alias("user_id"), "day", "op", "days")
+def _rows(rows: DataFrame, name: str = "user-") -> DataFrame:
+    return rows.select("seq", F.concat(F.lit(name), F.col("u").cast("string")).alias("user_id"), "day", "op", "days")
 
 
 def synthetic(spark: SparkSession, users: int = 100, days: int = 7, p_active: float = 0.2, delete_rate: float = 0.1, seed: int = 1, start: str = "2025-01-01") -> DataFrame:
@@ -52,12 +52,29 @@ def simulate(spark: SparkSession, users: int = 10_000, days: int = 60, p_active:
 
 
 def adversarial(spark: SparkSession, users: int = 500, window: int = 30, flips: int = 2, seed: int = 1, start: str = "2025-01-01") -> DataFrame:
-    """Users that switch a random day on and off in turn, ``flips`` times."""
-    base = spark.range(users).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(2 * flips - 1))).alias("k"))
-    pair = F.floor(F.col("k") / 2)
-    d = F.floor(_draw(seed, "day", F.col("u"), pair) * window).cast("int")
-    rows = base.withColumn("d", d).withColumn("day", F.date_add(F.to_date(F.lit(start)), d)).withColumn("op", F.when(F.col("k") % 2 == 0, "+").otherwise("-"))
-    return _rows(rows.withColumn("seq", F.col("k").cast("long") * F.lit(1 << 40) + F.col("u")).withColumn("days", F.when(F.col("op") == "-", F.array("day")).otherwise(F.expr(NO_DAYS))))
+    """Users that insert and delete in turn, ``flips`` times, each time on a random day; deletions list no days."""
+    base = spark.range(users).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(flips - 1))).alias("k"))
+    d = F.floor(_draw(seed, "day", F.col("u"), F.col("k")) * window).cast("int")
+    rows = base.withColumn("day", F.date_add(F.to_date(F.lit(start)), d)).withColumn("op", F.when(F.col("k") % 2 == 0, "+").otherwise("-"))
+    return _rows(rows.withColumn("seq", F.col("k").cast("long") * F.lit(1 << 40) + F.col("u")).withColumn("days", F.expr(NO_DAYS)), "adv-")
+
+
+def sample_traffic(spark: SparkSession, days: int = 30, daily_users: int = 50, seed: int = 1, start: str = "2025-01-01") -> DataFrame:
+    """New users each day; with a chance of 0.3 one of a day's users deletes that day."""
+    grid = _grid(spark, daily_users, days, start)
+    plus = grid.withColumn("step", F.lit(0)).withColumn("op", F.lit("+")).withColumn("days", F.expr(NO_DAYS))
+    gone = grid.filter((F.col("u") == F.floor(_draw(seed, "who", F.col("d")) * daily_users)) & (_draw(seed, "gone", F.col("d")) < 0.3)).withColumn("step", F.lit(1)).withColumn("op", F.lit("-")).withColumn("days", F.array("day"))
+    rows = _numbered(plus.union(gone), days)
+    return rows.select("seq", F.concat_ws("-", F.lit("ci-user"), "d", "u").alias("user_id"), "day", "op", "days")
+
+
+def load_sample(spark: SparkSession, events: int = 100_000, users: int = 100_000, days: int = 30, delete_rate: float = 0.1, seed: int = 1, start: str = "2025-01-01") -> DataFrame:
+    """Events of random users on random days; a share are deletions that list their day and the two before."""
+    rows = spark.range(events).select(F.col("id").alias("seq"))
+    rows = rows.withColumn("u", F.floor(_draw(seed, "user", F.col("seq")) * users)).withColumn("day", F.date_add(F.to_date(F.lit(start)), F.floor(_draw(seed, "day", F.col("seq")) * days).cast("int")))
+    rows = rows.withColumn("op", F.when(_draw(seed, "op", F.col("seq")) > delete_rate, "+").otherwise("-"))
+    listed = F.when(F.col("op") == "-", F.array("day", F.date_sub("day", 1), F.date_sub("day", 2))).otherwise(F.expr(NO_DAYS))
+    return _rows(rows.withColumn("days", listed), "load-user-")
 
 
 def beta_population(spark: SparkSession, users: int = 10_000, days: int = 30, deleting: float = 0.05, seed: int = 1, start: str = "2025-01-01") -> DataFrame:

@@ -109,13 +109,22 @@ LOG_TABLE = """requests AS (
          value / 100 AS duration_s, CAST(user_id AS VARCHAR) AS client FROM events)"""
 
 
+def _left(metric: str) -> str:
+    """What a month has left after n releases, by the composition that the metric reports."""
+    if metric == "dau":
+        return f"greatest(0, {CAPS['dau']} - 0.3 * n)"
+    sigma = math.sqrt(2 * math.log(1.25 / 1e-6)) / 0.5
+    at = ", ".join(f"n * {a / (2 * sigma * sigma)!r} + {math.log(1e6) / (a - 1)!r}" for a in (2, 4, 8, 16, 32))
+    return f"greatest(0, {CAPS['mau']} - least({at}))"
+
+
 def _answers(metric: str, source: str, epsilon: float, delta: float, window: int) -> str:
     shown = ", ".join(f"CASE WHEN g.released THEN round({e}, 6) END AS {n}" for e, n in (("e", "estimate"), ("e - half", "lower_95"), ("e + half", "upper_95")))
     gated = REQUESTS.replace("WITH ", "", 1)
     return f"""WITH noisy AS ({_noisy(source, metric, epsilon, delta)}), {gated}
       SELECT '{metric}' AS metric, g.day, {window} AS window_days, CASE WHEN g.released THEN 'released' ELSE 'budget_exhausted' END AS status, {shown},
-             CASE WHEN g.released THEN g.epsilon ELSE 0 END AS epsilon_used, mechanism, CAST(date_trunc('month', g.day) + INTERVAL 1 MONTH AS DATE) AS next_reset
-      FROM gated g JOIN noisy n ON n.day = g.day WHERE g.metric = '{metric}'"""
+             CASE WHEN g.released THEN g.epsilon ELSE 0 END AS epsilon_used, mechanism, round({_left(metric)}, 6) AS budget_remaining, CAST(date_trunc('month', g.day) + INTERVAL 1 MONTH AS DATE) AS next_reset
+      FROM (SELECT *, count(*) FILTER (released) OVER (PARTITION BY metric, period ORDER BY req_seq) AS n FROM gated) g JOIN noisy ON noisy.day = g.day WHERE g.metric = '{metric}'"""
 
 
 _A, _B = (f"(SELECT DISTINCT h FROM hashed WHERE day {c}) ORDER BY h LIMIT {BUCKET_K}" for c in ("< DATE '2024-01-16'", ">= DATE '2024-01-20'"))
@@ -144,7 +153,8 @@ def _sweep() -> str:
         for epsilon in (0.3, 1.0):
             for metric, days, delta in (("dau", 1, 0.0), ("mau", 30, 1e-6)):
                 counts = f"SELECT * FROM ({_rolling(days)}) WHERE day = (SELECT max(CAST(ts AS DATE)) FROM events)"
-                parts.append(f"SELECT '{sketch}' AS sketch, {epsilon}::DOUBLE AS epsilon, '{metric}' AS metric, n.day, users::DOUBLE AS exact, round(e, 6) AS estimate FROM ({_noisy(counts, metric, epsilon, delta)}) n JOIN ({counts}) c ON c.day = n.day")
+                spent = epsilon if metric == "dau" else max(0.5, epsilon)
+                parts.append(f"SELECT '{sketch}' AS sketch, {epsilon}::DOUBLE AS epsilon, '{metric}' AS metric, n.day, users::DOUBLE AS exact, round(e, 6) AS estimate FROM ({_noisy(counts, metric, spent, delta)}) n JOIN ({counts}) c ON c.day = n.day")
     return " UNION ALL ".join(parts)
 
 
@@ -152,7 +162,138 @@ def _sweep() -> str:
 SWEEP = _sweep()
 
 
+SWEEP_FILE = f"SELECT sketch, epsilon, day, max(estimate) FILTER (metric = 'dau') AS dau, max(estimate) FILTER (metric = 'mau') AS mau FROM ({SWEEP}) GROUP BY sketch, epsilon, day"
+
+
+def _snapshot(source: str) -> str:
+    """From rows (metric, period, cap, spent, releases, advanced_epsilon, curve: list of alpha and rdp): the budget by the composition that a metric reports."""
+    return f"""SELECT metric, period, releases::BIGINT AS releases, CASE WHEN metric = 'mau' THEN best_alpha END AS best_alpha, CASE WHEN metric = 'mau' THEN 'rdp' ELSE 'naive' END AS composition,
+      round(spent, 6) AS spent, round(CASE WHEN metric = 'mau' THEN e ELSE spent END, 6) AS epsilon_spent, round(greatest(0, cap - CASE WHEN metric = 'mau' THEN e ELSE spent END), 6) AS remaining,
+      round(CASE WHEN metric = 'mau' THEN e END, 6) AS rdp_epsilon, round(advanced_epsilon, 6) AS advanced_epsilon, round(cap, 6) AS cap, curve FROM ({source})"""
+
+
+CURVE = "string_agg(printf('%.0f:%.4f', alpha, rdp), ',' ORDER BY alpha) AS curve"
+SNAPSHOT = _snapshot(POINTS + f", cv AS (SELECT metric, period, {CURVE} FROM totals GROUP BY ALL) SELECT s.*, best.rdp_epsilon AS e, best_alpha, advanced_epsilon, curve FROM spent s JOIN best USING (metric, period) JOIN adv USING (metric, period) JOIN cv USING (metric, period)")
+UNUSED = _snapshot(f"SELECT metric, '2024-02' AS period, cap, 0::DOUBLE AS spent, 0 AS releases, ln(1e6::DOUBLE) / 31 AS e, 32::DOUBLE AS best_alpha, NULL::DOUBLE AS advanced_epsilon, '2:0.0000,4:0.0000,8:0.0000,16:0.0000,32:0.0000' AS curve FROM (VALUES ('dau', {CAPS['dau']}::DOUBLE), ('mau', {CAPS['mau']}::DOUBLE)) v(metric, cap)")
+
+
+def _draw(what: str, *keys: str) -> str:
+    return _u("('1:" + what + "' || " + " || ".join(f"':' || CAST({k} AS VARCHAR)" for k in keys) + ")", 1)
+
+
+def _grid(users: int, days: int) -> str:
+    return f"grid AS (SELECT u.i AS u, d.i AS d, DATE '2025-01-01' + d.i::INT AS day FROM range({users}) u(i), range({days}) d(i))"
+
+
+def _survivors(users: int, days: int, rate: str, gone: str) -> str:
+    """Users of each day that were active and didn't delete on it or later; ``gone(u, d)`` holds the deletions."""
+    return f"""WITH {_grid(users, days)}, act AS (SELECT * FROM grid WHERE {_draw('active', 'u', 'd')} <= {rate}), gone AS ({gone}), last AS (SELECT u, max(d) AS l FROM gone GROUP BY u)
+      SELECT day, count(*) AS users FROM act LEFT JOIN last USING (u) WHERE l IS NULL OR d > l GROUP BY day"""
+
+
+def _square(i: int) -> str:
+    text = f"('1:beta{i}:' || CAST(u AS VARCHAR))"
+    return f"(-2 * ln({_u(text, 1)}) * pow(cos(2 * pi() * ({_u(text, 14)})), 2))"
+
+
+def _beta(users: int, deleting: float) -> str:
+    people = f"people AS (SELECT i AS u FROM range({users}) t(i)), rated AS (SELECT u, s0 / s AS rate FROM (SELECT u, {_square(0)} AS s0, {' + '.join(map(_square, range(11)))} AS s FROM people))"
+    return f"""WITH {_grid(users, 30)}, {people}, act AS (SELECT grid.* FROM grid JOIN rated USING (u) WHERE {_draw('active', 'u', 'd')} <= rate),
+      last AS (SELECT u, least(9 + floor({_draw('when', 'u')} * 21), 29) AS l FROM people WHERE {_draw('deletes', 'u')} <= {deleting})
+      SELECT day, count(*) AS users FROM act LEFT JOIN last USING (u) WHERE l IS NULL OR d > l GROUP BY day"""
+
+
+ADVERSARIAL = f"t AS (SELECT (k.i * 1099511627776 + u.i)::BIGINT AS seq, 'adv-' || u.i AS user_id, DATE '2025-01-01' + floor({_draw('day', 'u.i', 'k.i')} * 30)::INT AS day, CASE WHEN k.i % 2 = 0 THEN '+' ELSE '-' END AS op, CAST([] AS DATE[]) AS days FROM range(500) u(i), range(5) k(i))"
+LOADED = f"""t AS (SELECT *, CASE WHEN op = '-' THEN [day, day - 1, day - 2] ELSE CAST([] AS DATE[]) END AS days FROM (
+  SELECT i::BIGINT AS seq, 'load-user-' || floor({_draw('user', 'i')} * 100000)::BIGINT AS user_id, DATE '2025-01-01' + floor({_draw('day', 'i')} * 30)::INT AS day, CASE WHEN {_draw('op', 'i')} > 0.1 THEN '+' ELSE '-' END AS op FROM range(100000) r(i)))"""
+TRAFFIC = f"WITH {_grid(50, 30)} SELECT day, count(*) AS users FROM grid WHERE NOT (u = floor({_draw('who', 'd')} * 50) AND {_draw('gone', 'd')} < 0.3) GROUP BY day"
+FLIPS = f"WITH {LOG}, ch AS (SELECT user_id, op, lag(op, 1, '-') OVER (PARTITION BY user_id, day ORDER BY seq, step) AS before FROM log) SELECT user_id, count(*) FILTER (op <> before) AS flips FROM ch GROUP BY user_id"
+
+
+def _limited(limit: int, span: int) -> str:
+    """Each client's requests one after the other, with the accepted times of the last ``span`` seconds."""
+    return f"""WITH RECURSIVE {LOG_TABLE}, n AS (SELECT client, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY client ORDER BY ts) AS i FROM requests),
+      walk AS (
+        SELECT client, 0::BIGINT AS i, CAST([] AS DOUBLE[]) AS held, 0::BIGINT AS allowed FROM (SELECT DISTINCT client FROM n)
+        UNION ALL
+        SELECT client, i, CASE WHEN len(held) < {limit} THEN list_append(held, t) ELSE held END, CASE WHEN len(held) < {limit} THEN allowed + 1 ELSE allowed END
+        FROM (SELECT w.client, n.i, n.t, list_filter(w.held, lambda x: x > n.t - {span}) AS held, w.allowed FROM walk w JOIN n ON n.client = w.client AND n.i = w.i + 1)
+      ) SELECT client, max(allowed)::BIGINT AS allowed FROM walk GROUP BY client"""
+
+
+ROOT = _hmac("user_id", *(f"'{p}'" for p in pads(secret_bytes(SECRET))))
+
+
+def _salts_of(secret: str) -> str:
+    rows = ", ".join(f"({e}, '{a}', '{b}')" for e in range(738521 // 30, 739617 // 30 + 1) for a, b in [pads(epoch_salt(secret_bytes(secret), e))])
+    return f"salts(epoch, a, b) AS (VALUES {rows})"
+
+
+KMV_ROLLING = f"""WITH {HASHED}, {SPINE}, w AS (SELECT DISTINCT s.day, a.h FROM spine s JOIN hashed a ON a.day BETWEEN s.day - 29 AND s.day), k AS ({_kmv('day', 'w').replace(f'round({KMV}, 6)', KMV)})
+  SELECT s.day, coalesce(estimate, 0)::DOUBLE AS users FROM spine s LEFT JOIN k ON k.day = s.day"""
+BOTTOM = f"bottom AS (SELECT day, h FROM (SELECT day, h, row_number() OVER (PARTITION BY day ORDER BY h) AS n FROM (SELECT DISTINCT day, h FROM hashed)) WHERE n <= {BUCKET_K})"
+
+
+def _more() -> dict[str, str]:
+    """The stored ledger, workloads and the rest."""
+    ids = "row_number() OVER (ORDER BY metric, day)::BIGINT AS id, metric, day, period, epsilon, delta, CASE WHEN delta > 0 THEN 'gaussian' ELSE 'laplace' END AS mechanism"
+    note = "CASE WHEN step = 1 THEN '{\"tombstone\":true,\"source_day\":\"' || strftime(source_day, '%Y-%m-%d') || '\"}' END AS metadata"
+    full = LOG + f", noted AS (SELECT seq, 0 AS step, user_id, day, op, NULL::DATE AS source_day FROM t UNION ALL SELECT seq, 1, user_id, day, '-', source_day FROM tombs), {_salts()}"
+    distinct = f"WITH {ACTIVE} SELECT count(DISTINCT user_id)"
+    split = f"WITH {ACTIVE}, a AS (SELECT DISTINCT user_id FROM active WHERE day < DATE '2024-01-16'), b AS (SELECT DISTINCT user_id FROM active WHERE day >= DATE '2024-01-20')"
+    return {
+        "mau_all_ends_exploded": _rolling(30),
+        "hll_mau": f"{distinct} AS users, true AS near FROM active",
+        "approx_dau": f"SELECT day, users, true AS near FROM ({DAU})",
+        "theta_day": f"SELECT day, users::DOUBLE AS estimate FROM ({DAU})",
+        "theta_mau": f"{distinct}::DOUBLE AS estimate FROM active",
+        "theta_a_not_b": split + " SELECT (SELECT count(*) FROM a ANTI JOIN b USING (user_id)) AS estimate, (SELECT count(*) FROM a SEMI JOIN b USING (user_id)) AS both",
+        "union_hierarchy": f"SELECT day, users::DOUBLE AS estimate FROM ({DAU})",
+        "sketch_set_serialised": f"WITH {ACTIVE} SELECT day, string_agg(DISTINCT user_id, ',' ORDER BY user_id) AS sketch, 'set' AS sketch_impl FROM active GROUP BY day",
+        "kmv_packed": f"WITH {HASHED}, {BOTTOM} SELECT day, printf('%08x%08x', {BUCKET_K}, count(*)) || string_agg(h, '' ORDER BY h) AS packed FROM bottom GROUP BY day",
+        "kmv_unpacked": f"WITH {HASHED}, {BOTTOM}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY h) AS n FROM bottom) SELECT day, string_agg(h, ',' ORDER BY h) AS hashes FROM r WHERE n <= 5 GROUP BY day",
+        "kmv_rolling_estimate": f"SELECT day, round(users, 6) AS users FROM ({KMV_ROLLING})",
+        "key_truncated": f"WITH {T} SELECT DISTINCT user_id, substr({ROOT}, 1, 16) AS short FROM t",
+        "user_key_rotated_secret": f"WITH {T}, {_salts_of(SECRET + '-2')} SELECT DISTINCT user_id, day, {_hmac('user_id', 'a', 'b')} AS user_key, {ROOT} AS user_root FROM t JOIN salts ON salts.epoch = {EPOCH} WHERE seq <= 500",
+        "laplace_release_flips": _noisy_rows(DAU, "dau", 0.15, 0.0),
+        "budget_settings": f"SELECT * FROM (VALUES ('dau', {CAPS['dau']}::DOUBLE, 9.3::DOUBLE, 1), ('mau', {CAPS['mau']}::DOUBLE, 15.5::DOUBLE, 1)) v(metric, cap, scaled, sensitivity)",
+        "budget_snapshot_unused": UNUSED,
+        "budget_report_months": SPENT + " SELECT '2024-02-01T00:00:00' AS generated_at, metric, period, round(spent, 6) AS spent, releases FROM spent",
+        "release_mau_kmv": _answers("mau", KMV_ROLLING, 0.5, 1e-6, 30),
+        "ledger_log": f"WITH {full} SELECT seq, step, day, op, {_hmac('user_id', 'a', 'b')} AS user_key, {ROOT} AS user_root, {note} FROM noted JOIN salts ON salts.epoch = {EPOCH}",
+        "ledger_two_batches_dau": DAU,
+        "ledger_day_scan": f"WITH {LOG} SELECT seq, step, day, op FROM log WHERE day = DATE '2024-01-10'",
+        "ledger_erasures": f"WITH {TOMBS} SELECT erasure_id, {ROOT} AS user_root, {TEXT_DAYS} FROM (SELECT seq AS erasure_id, user_id, list(DISTINCT day) AS days FROM tombs GROUP BY ALL)",
+        "ledger_replayed_days": f"WITH {TOMBS} SELECT DISTINCT day, 0 AS pending FROM tombs",
+        "ledger_snapshots": f"WITH {ACTIVE}, {SPINE}, c AS (SELECT day, count(DISTINCT user_id) AS n FROM active GROUP BY day) SELECT spine.day, coalesce(n, 0)::BIGINT AS exact_count, least(coalesce(n, 0), {BUCKET_K})::INT AS kept, 'kmv' AS sketch_impl FROM spine LEFT JOIN c ON c.day = spine.day",
+        "ledger_releases": REQUESTS + f" SELECT {ids}, {SEED}::BIGINT AS seed FROM rel",
+        "ledger_rdp_points": POINTS + " SELECT metric, day, period, alpha, round(rdp, 9) AS rdp FROM points",
+        "ledger_budget_after_reset": f"SELECT metric, period, releases, spent, remaining FROM ({SNAPSHOT}) WHERE metric = 'mau'",
+        "ledger_backup": f"WITH {LOG} SELECT 'activity' AS name, count(*) AS n FROM log UNION ALL SELECT 'erasures', count(DISTINCT seq) FROM tombs UNION ALL SELECT 'releases', 0",
+        "sweep_results": SWEEP_FILE,
+        "csv_metadata": f"""WITH {T} SELECT seq, t.user_id, day, op, {TEXT_DAYS}, 'a,"b"' || CASE WHEN seq % 2 = 0 THEN '|' || CAST(seq AS VARCHAR) ELSE '' END || '|' || event_type AS metadata FROM t JOIN events e ON e.event_id = t.seq""",
+        "latency_totals": f"WITH {LOG_TABLE} SELECT handler, method, round(sum(duration_s), 6) AS seconds, count(*) AS requests FROM requests GROUP BY ALL",
+        "client_keys": "SELECT CASE event_id % 3 WHEN 0 THEN 'key:' || substr('key-' || user_id || '-secret', 1, 8) WHEN 1 THEN 'ip:10.0.0.' || user_id ELSE 'ip:host-' || user_id END AS client, count(*) AS requests FROM events GROUP BY ALL",
+        "rate_limit_exact": _limited(3, 3600 * 24),
+        "rate_limit_default": _limited(600, 60),
+        "synthetic_workload": _survivors(200, 10, "0.2", f"SELECT u, d FROM grid WHERE {_draw('delete', 'u', 'd')} <= 0.1"),
+        "simulated_workload": _survivors(10_000, 60, "0.2", f"SELECT u, d FROM act WHERE {_draw('delete', 'u', 'd')} <= 0.05"),
+        "adversarial_workload": f"WITH {ADVERSARIAL} SELECT seq, user_id, day, op FROM t",
+        "adversarial_flips": FLIPS.replace(T, ADVERSARIAL),
+        "sample_traffic": TRAFFIC,
+        "load_sample": DAU.replace(T, LOADED),
+        "beta_workload": _beta(10_000, 0.05),
+        "beta_workload_large": _beta(100_000, 0.2),
+        "stream_live_approx": "SELECT s::DATE AS first_day, count(DISTINCT user_id) AS exact, true AS near FROM (SELECT user_id, unnest(generate_series(ts::DATE - 6, ts::DATE, INTERVAL 1 DAY)) AS s FROM events) GROUP BY ALL",
+        "stream_first_of_day": "SELECT ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
+    return _first() | _more()
+
+
+def _first() -> dict[str, str]:
     window = f"day BETWEEN DATE '{END_DAY}' - 29 AND DATE '{END_DAY}'"
     return {
         "turnstile_view": LISTED,
@@ -203,8 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "budget_reported_day": POINTS + ", c AS (SELECT metric, day, min(rdp + ln(1e6::DOUBLE) / (alpha - 1)) AS e FROM points GROUP BY ALL) SELECT metric, day, round(CASE WHEN delta > 0 THEN e ELSE epsilon END, 6) AS epsilon FROM rel JOIN c USING (metric, day)",
         "metadata_columns": "SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN CAST(event_id AS VARCHAR) END AS \"metadata.{k}\"" for k in ("click", "error", "view")) + " FROM events",
         "release_sweep": SWEEP,
-        "budget_snapshot": POINTS
-        + " SELECT metric, period, releases, best_alpha, CASE WHEN delta > 0 THEN 'rdp' ELSE 'naive' END AS composition, round(spent, 6) AS spent, round(remaining, 6) AS remaining, round(rdp_epsilon, 6) AS rdp_epsilon, round(advanced_epsilon, 6) AS advanced_epsilon, round(cap, 6) AS cap FROM spent JOIN best USING (metric, period) JOIN adv USING (metric, period)",
+        "budget_snapshot": SNAPSHOT,
         "budget_next_reset": f"WITH {T} SELECT DISTINCT day, strftime(day, '%Y-%m') AS period, CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) AS next_reset FROM t",
         "release_dau": _answers("dau", _rolling(1), 0.3, 0.0, 1),
         "release_mau": _answers("mau", _rolling(30), 0.5, 1e-6, 30),

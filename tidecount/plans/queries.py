@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import noise, pseudonym
 from ..functions.config import Config
 from ..operators import accountant, activity, evaluation, mechanisms, requests, sketches, turnstile, workloads
+from ..operators.ledger import Ledger
 from ..sources import events as sources
 from ..sources import sinks
 from ..sources.storage import shared_dir
@@ -18,7 +19,8 @@ from ..streaming import turnstile_stream
 from . import release as plans
 from .fixed import BUCKET_K, CAPS, END_DAY, SEED, SECRET
 
-CONFIG = Config(hash_salt_secret=SECRET, sketch_k=BUCKET_K, default_seed=SEED)
+CONFIG = Config(hash_salt_secret=SECRET, sketch_impl="set", sketch_k=BUCKET_K, default_seed=SEED)
+KMV_CONFIG = Config(hash_salt_secret=SECRET, sketch_impl="kmv", sketch_k=BUCKET_K, default_seed=SEED)
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
@@ -139,7 +141,13 @@ def erasure_status(spark, d):
 
 @query
 def dau_exact(spark, d):
-    return activity.daily(_pairs(spark, d))
+    return activity.daily(_pairs(spark, d), unique=True)
+
+
+@query
+def mau_all_ends_exploded(spark, d):
+    rows = _rows(spark, d)
+    return activity.rolling_exploded(turnstile.active_pairs(rows), activity.spine(rows), 30)
 
 
 @query
@@ -295,12 +303,62 @@ def theta_a_not_b(spark, d):
 
 @query
 def hll_mau(spark, d):
-    return sketches.merged(sketches.daily_sketches(_pairs(spark, d), "hll")).select("estimate")
+    """The true count, and whether the sketch's is within 5 % of it."""
+    pairs = _pairs(spark, d).withColumn("one", F.lit(1))
+    exact = pairs.groupBy("one").agg(F.count_distinct("user_id").alias("users"))
+    guess = sketches.merged(sketches.daily_sketches(pairs, "hll")).select(F.lit(1).alias("one"), "estimate")
+    return exact.join(guess, "one").select("users", (F.abs(F.col("estimate") - F.col("users")) <= 0.05 * F.col("users")).alias("near"))
 
 
 @query
 def approx_dau(spark, d):
-    return _pairs(spark, d).groupBy("day").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """The true counts, and whether the approximate ones are within 10 % of them or one user."""
+    both = _pairs(spark, d).groupBy("day").agg(F.count("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("a"))
+    return both.select("day", "users", (F.abs(F.col("a") - F.col("users")) <= F.greatest(F.lit(1.0), 0.1 * F.col("users"))).alias("near"))
+
+
+@query
+def union_hierarchy(spark, d):
+    """Four edges, two gateways: sketches united on the way to the middle."""
+    pairs = _pairs(spark, d).withColumn("edge", F.pmod(F.col("user_id").cast("long"), F.lit(4)))
+    return sketches.union_hierarchy(pairs, "edge", 2, "set")
+
+
+@query
+def sketch_set_serialised(spark, d):
+    made = sketches.daily_sketches(_pairs(spark, d), "set")
+    return made.select("day", F.array_join("sketch", ",").alias("sketch"), "sketch_impl")
+
+
+@query
+def kmv_packed(spark, d):
+    return sketches.daily_kmv(_hashed(spark, d), ["day"], BUCKET_K).select("day", sketches.packed(F.col("sketch"), BUCKET_K).alias("packed"))
+
+
+@query
+def kmv_unpacked(spark, d):
+    """Packed sketches read back with a smaller k."""
+    return kmv_packed(spark, d).select("day", F.array_join(sketches.unpacked(F.col("packed"), 5), ",").alias("hashes"))
+
+
+@query
+def kmv_rolling_estimate(spark, d):
+    rows = _rows(spark, d)
+    return sketches.rolling_kmv(turnstile.active_pairs(rows), activity.spine(rows), 30, BUCKET_K).withColumn("users", F.round("users", 6))
+
+
+@query
+def key_truncated(spark, d):
+    return user_root_hmac(spark, d).select("user_id", pseudonym.truncated(F.col("user_root"), 16).alias("short"))
+
+
+@query
+def user_key_rotated_secret(spark, d):
+    """Daily keys under a new secret, roots under the one before it."""
+    config = CONFIG.rotated(SECRET + "-2")
+    users = _rows(spark, d).filter("seq <= 500").select("user_id", "day").distinct()
+    keyed = pseudonym.with_user_key(users, config.hash_salt_secret, 30)
+    return keyed.select("user_id", "day", "user_key", pseudonym.user_root(F.col("user_id"), config.root_secret).alias("user_root"))
 
 
 # --- mechanisms --------------------------------------------------------------------------------------------------------
@@ -327,6 +385,20 @@ def gaussian_release_native(spark, d):
     return _noisy(mau_all_ends_delta(spark, d), "mau", CONFIG.epsilon_mau, CONFIG.delta)
 
 
+@query
+def laplace_release_flips(spark, d):
+    """Noise for users that may flip a day ``w_bound`` times: the scale grows with the bound."""
+    out = mechanisms.release(dau_exact(spark, d), "dau", CONFIG.epsilon_dau, 0.0, SEED, float(CONFIG.w_bound))
+    return out.select("day", *(F.round(c, 6).alias(c) for c in ("estimate", "lower_95", "upper_95")), "mechanism")
+
+
+@query
+def budget_settings(spark, d):
+    """Caps as given and scaled to a release a day, and the sensitivity."""
+    scaled = Config(hash_salt_secret=SECRET, autoscale=True)
+    return spark.createDataFrame([(m, CONFIG.cap(m), round(scaled.cap(m), 6), CONFIG.sensitivity) for m in ("dau", "mau")], "metric string, cap double, scaled double, sensitivity int")
+
+
 @query
 def laplace_release_parity(spark, d):
     return _noisy(dau_exact(spark, d), "dau", CONFIG.epsilon_dau, 0.0, parity=True)
@@ -422,8 +494,31 @@ def budget_reported_day(spark, d):
 @query
 def budget_snapshot(spark, d):
     out = plans.budget_summary(_releases(spark, d), CONFIG)
-    numbers = [F.round(c, 6).alias(c) for c in ("spent", "remaining", "rdp_epsilon", "advanced_epsilon", "cap")]
-    return out.select("metric", "period", "releases", "best_alpha", "composition", *numbers)
+    return _snapshot(out)
+
+
+def _snapshot(out):
+    numbers = [F.round(c, 6).alias(c) for c in ("spent", "epsilon_spent", "remaining", "rdp_epsilon", "advanced_epsilon", "cap")]
+    curve = F.array_join(F.transform("rdp_orders", lambda a: F.format_string("%.0f:%.4f", a, F.element_at("rdp_curve", a))), ",").alias("curve")
+    return out.select("metric", "period", "releases", "best_alpha", "composition", *numbers, curve)
+
+
+@query
+def budget_snapshot_unused(spark, d):
+    """The month after the data, in which nothing was released."""
+    months = spark.createDataFrame([("dau", "2024-02"), ("mau", "2024-02")], "metric string, period string")
+    return _snapshot(plans.budget_summary(_releases(spark, d), CONFIG, months))
+
+
+@query
+def budget_report_months(spark, d):
+    """The report's JSON, read again."""
+    import datetime as dt
+
+    report = plans.budget_report(plans.budget_summary(_releases(spark, d), CONFIG), dt.datetime(2024, 2, 1))
+    months = F.from_json("report", "generated_at string, metrics map<string, array<struct<period: string, spent: double, releases: long>>>")
+    rows = report.select(months.alias("r")).select("r.generated_at", F.explode("r.metrics").alias("metric", "months"))
+    return rows.select("generated_at", "metric", F.explode("months").alias("m")).select("generated_at", "metric", "m.period", F.round("m.spent", 6).alias("spent"), "m.releases")
 
 
 @query
@@ -441,8 +536,103 @@ def release_mau(spark, d):
     return _shown(plans.release(_rows(spark, d), "mau", CONFIG))
 
 
+@query
+def release_mau_kmv(spark, d):
+    """Window counts by the configured sketch, whose k lies below the number of users."""
+    return _shown(plans.release(_rows(spark, d), "mau", KMV_CONFIG))
+
+
 def _shown(answers):
-    return answers.select("metric", "day", "window_days", "status", *(F.round(c, 6).alias(c) for c in ("estimate", "lower_95", "upper_95", "epsilon_used")), "mechanism", "next_reset")
+    return answers.select("metric", "day", "window_days", "status", *(F.round(c, 6).alias(c) for c in ("estimate", "lower_95", "upper_95", "epsilon_used", "budget_remaining")), "mechanism", "next_reset")
+
+
+# --- the stored ledger -------------------------------------------------------------------------------------------------
+
+
+def _ledger(spark, d, parts: int = 1):
+    """A ledger that got the rows in ``parts`` ingests, one after the other."""
+    ledger, rows = Ledger(spark, f"{_folder(spark)}/ledger"), _rows(spark, d)
+    top = rows.agg(F.max("seq")).first()[0] + 1
+    for k in range(parts):
+        ledger.record(rows.filter(F.col("seq").between(top * k // parts, top * (k + 1) // parts - 1)), CONFIG)
+    return ledger
+
+
+@query
+def ledger_log(spark, d):
+    """The stored log: rows and tombstones under each day's key."""
+    return _ledger(spark, d).activity().select("seq", "step", "day", "op", "user_key", "user_root", "metadata")
+
+
+@query
+def ledger_two_batches_dau(spark, d):
+    """Deletions reach days that an earlier ingest stored."""
+    return activity.daily(_ledger(spark, d, 2).active(), "user_key")
+
+
+@query
+def ledger_day_scan(spark, d):
+    return _ledger(spark, d).activity("2024-01-10").select("seq", "step", "day", "op")
+
+
+@query
+def ledger_erasures(spark, d):
+    """Erasure requests of three ingests, all pending."""
+    return _listed(_ledger(spark, d, 3).erasures(pending=True)).select("erasure_id", "user_root", "days")
+
+
+@query
+def ledger_replayed_days(spark, d):
+    """The days that pending erasures touch, after whose replay none is pending."""
+    ledger = _ledger(spark, d)
+    days = spark.createDataFrame([(x,) for x in ledger.replay()], "day date")
+    return days.withColumn("pending", F.lit(ledger.erasures(pending=True).count()))
+
+
+@query
+def ledger_snapshots(spark, d):
+    """Counts and sketches of all days, made after the first ingest and kept up to date by the second."""
+    ledger, rows = Ledger(spark, f"{_folder(spark)}/ledger"), _rows(spark, d)
+    half = rows.agg((F.max("seq") / 2).cast("long")).first()[0]
+    ledger.record(rows.filter(F.col("seq") <= half), CONFIG)
+    ledger.refresh([r.day for r in activity.spine(rows).collect()], "kmv", BUCKET_K)
+    ledger.record(rows.filter(F.col("seq") > half), KMV_CONFIG)
+    held = F.from_json("sketch", "s array<string>")["s"]
+    return ledger.snapshots().select("day", "exact_count", F.coalesce(F.size(held), F.lit(0)).alias("kept"), "sketch_impl")
+
+
+def _released_ledger(spark, d):
+    ledger = Ledger(spark, f"{_folder(spark)}/ledger")
+    log = _releases(spark, d).withColumn("mechanism", F.when(F.col("delta") > 0, "gaussian").otherwise("laplace"))
+    ledger.record_releases(log.select("metric", "day", "period", "epsilon", "delta", "mechanism"), CONFIG)
+    return ledger
+
+
+@query
+def ledger_releases(spark, d):
+    return _released_ledger(spark, d).releases()
+
+
+@query
+def ledger_rdp_points(spark, d):
+    return _released_ledger(spark, d).rdp().withColumn("rdp", F.round("rdp", 9))
+
+
+@query
+def ledger_budget_after_reset(spark, d):
+    ledger = _released_ledger(spark, d)
+    ledger.reset("DAU", "2024-01")
+    return ledger.budget(CONFIG).select("metric", "period", "releases", F.round("spent", 6).alias("spent"), F.round("remaining", 6).alias("remaining"))
+
+
+@query
+def ledger_backup(spark, d):
+    """Rows of each table of a copy."""
+    ledger, folder = _ledger(spark, d), _folder(spark)
+    ledger.backup(folder)
+    copy = Ledger(spark, folder)
+    count = lambda name, df: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count("activity", copy.activity()).union(count("erasures", copy.erasures())).union(count("releases", copy.releases()))
 
 
 # --- evaluation, service metrics, workloads, streams -------------------------------------------------------------------
@@ -463,10 +653,31 @@ def _log(spark, d):
 
 @query
 def release_sweep(spark, d):
-    out = evaluation.sweep(_rows(spark, d), ("set", "kmv"), (0.3, 1.0), 30, CONFIG.delta, SEED)
+    out = evaluation.sweep(_rows(spark, d), ("set", "kmv"), (0.3, 1.0), 30, CONFIG.delta, SEED, CONFIG.epsilon_mau)
     return out.withColumn("estimate", F.round("estimate", 6))
 
 
+@query
+def sweep_results(spark, d):
+    """The sweep's results file, read again."""
+    path = f"{_folder(spark)}.json"
+    evaluation.write_results(release_sweep(spark, d), path)
+    answer = "struct<day: date, exact: double, estimate: double>"
+    rows = spark.read.schema(f"sketch string, epsilon double, dau {answer}, mau {answer}").json(path)
+    return rows.select("sketch", "epsilon", "dau.day", F.col("dau.estimate").alias("dau"), F.col("mau.estimate").alias("mau"))
+
+
+@query
+def csv_metadata(spark, d):
+    """Metadata of any keys, written to CSV and read again."""
+    path = f"{_folder(spark)}.csv"
+    kinds = {"type": F.col("event_type"), "even": F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")), "comma": F.lit('a,"b"')}
+    meta = _events(spark, d).select(F.col("event_id").alias("seq"), sources.metadata_map(kinds).alias("metadata"))
+    sinks.write_csv(_rows(spark, d).join(meta, "seq"), path)
+    m = F.col("metadata")
+    return _listed(sources.read_csv(spark, path, keep=True)).select("seq", "user_id", "day", "op", "days", F.concat_ws("|", m["comma"], m["even"], m["type"]).alias("metadata"))
+
+
 @query
 def metadata_columns(spark, d):
     """Metadata maps with different keys, flattened to the union of their keys."""
@@ -489,6 +700,27 @@ def latency_histogram(spark, d):
     return requests.latency_histogram(_log(spark, d))
 
 
+@query
+def latency_totals(spark, d):
+    return requests.latency_sums(_log(spark, d)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query
+def client_keys(spark, d):
+    """Clients by API key, forwarded address or host."""
+    user = F.col("user_id").cast("string")
+    api = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("key-"), user, F.lit("-secret")))
+    forwarded = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit(" 10.0.0."), user, F.lit(" , 10.1.1.1")))
+    host = F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("host-"), user))
+    return _events(spark, d).select(requests.client_key(api, forwarded, host).alias("client")).groupBy("client").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query
+def rate_limit_default(spark, d):
+    """The service's own limit: 600 requests a minute."""
+    return requests.rate_limit(_log(spark, d)).groupBy("client").agg(F.sum(F.col("allowed").cast("long")).alias("allowed"))
+
+
 @query
 def rate_limit_window(spark, d):
     return requests.request_rate(_log(spark, d), 3600 * 24).groupBy("client").agg(F.max("recent").alias("most"))
@@ -504,24 +736,49 @@ def last_day(spark, d):
     return _rows(spark, d).agg(F.max("day").alias("day"))
 
 
+def _workload(rows):
+    return activity.daily(turnstile.active_pairs(rows), unique=True)
+
+
 @query
 def synthetic_workload(spark, d):
-    return activity.daily(turnstile.active_pairs(workloads.synthetic(spark, 200, 10)))
+    return _workload(workloads.synthetic(spark, 200, 10))
 
 
 @query
 def simulated_workload(spark, d):
-    return activity.daily(turnstile.active_pairs(workloads.simulate(spark)))
+    return _workload(workloads.simulate(spark))
 
 
 @query
 def adversarial_workload(spark, d):
-    return turnstile.flips(workloads.adversarial(spark))
+    return workloads.adversarial(spark, flips=5).select("seq", "user_id", "day", "op")
+
+
+@query
+def adversarial_flips(spark, d):
+    return turnstile.flips(workloads.adversarial(spark, flips=5))
+
+
+@query
+def sample_traffic(spark, d):
+    return _workload(workloads.sample_traffic(spark))
+
+
+@query
+def load_sample(spark, d):
+    return _workload(workloads.load_sample(spark))
 
 
 @query
 def beta_workload(spark, d):
-    return activity.daily(turnstile.active_pairs(workloads.beta_population(spark)))
+    return _workload(workloads.beta_population(spark))
+
+
+@query
+def beta_workload_large(spark, d):
+    """The larger population, with a fifth of its users deleting."""
+    return _workload(workloads.beta_population(spark, users=100_000, deleting=0.2))
 
 
 @query
@@ -540,7 +797,18 @@ def stream_live_approx(spark, d):
     events = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
     live = turnstile_stream.live_counts(events, "7 days", "1 day")
     live.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{_folder(spark)}/checkpoint").start().awaitTermination()
-    return spark.table(name)
+    exact = _events(spark, d).select(F.window("ts", "7 days", "1 day").alias("w"), "user_id").groupBy("w").agg(F.count_distinct("user_id").alias("exact"))
+    both = spark.table(name).join(exact, (F.col("start") == F.col("w.start")) & (F.col("end") == F.col("w.end")))
+    return both.select(F.to_date("start").alias("first_day"), "exact", (F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.15 * F.col("exact"))).alias("near"))
+
+
+@query
+def stream_first_of_day(spark, d):
+    """Users by the days of their first events, on a stream of insertions."""
+    name = f"first_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    turnstile_stream.first_of_day(events).writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{_folder(spark)}/checkpoint").start().awaitTermination()
+    return spark.table(name).groupBy("day").agg(F.count("user_id").alias("users"))
 
 
 def queries() -> dict[str, Query]:

@@ -20,11 +20,12 @@ def _days(json: Column) -> Column:
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
 
 
-def _checked(rows: DataFrame) -> DataFrame:
+def _checked(rows: DataFrame, *more: str, metadata: Column | None = None) -> DataFrame:
     """Fails on an unknown op or a malformed day."""
+    rows = rows.withColumn("metadata", metadata) if more else rows
     op = F.when(F.col("op").isin("+", "-"), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("op must be + or -: "), F.coalesce("op", F.lit("null")))))
     day = F.coalesce(F.try_to_date("day", "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.expr("try_to_timestamp(day, 'yyyy-MM-dd')").cast("date"), F.raise_error(F.concat(F.lit("malformed day: "), F.coalesce("day", F.lit("null")))).cast("date"))
-    return rows.select("seq", F.col("user_id"), day.alias("day"), op.alias("op"), F.transform("days", lambda d: F.to_date(d, "yyyy-MM-dd")).alias("days"))
+    return rows.select("seq", F.col("user_id"), day.alias("day"), op.alias("op"), F.transform("days", lambda d: F.to_date(d, "yyyy-MM-dd")).alias("days"), *more)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -34,12 +35,16 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _checked(rows.withColumn("days", _days(F.get_json_object("metadata", "$.days"))))
 
 
-def read_csv(spark: SparkSession, path: str, metadata: tuple[str, ...] = ("days",)) -> DataFrame:
-    """CSV with a header; columns ``metadata.<key>`` hold metadata, lists as JSON, empty for absent."""
-    names = ["seq", "user_id", "op", "day", *(f"metadata.{k}" for k in metadata)]
-    schema = ", ".join(f"`{n}` {'long' if n == 'seq' else 'string'}" for n in names)
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("escape", '"').csv(path)
-    return _checked(rows.withColumn("days", _days(F.col("`metadata.days`"))))
+def read_csv(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
+    """CSV with a header; columns ``metadata.<key>`` hold metadata, lists as JSON, empty for absent. All columns are read as text.
+
+    ``keep`` adds the metadata but ``days`` as a map ``metadata`` without empty values.
+    """
+    rows = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path).withColumn("seq", F.col("seq").cast("long"))
+    keys = [c.removeprefix("metadata.") for c in rows.columns if c.startswith("metadata.")]
+    listed = F.col("`metadata.days`") if "days" in keys else F.lit(None).cast("string")
+    out = _checked(rows.withColumn("days", _days(listed)), *(["metadata"] if keep else []), metadata=metadata_map({k: F.col(f"`metadata.{k}`") for k in keys if k != "days"}))
+    return out
 
 
 def read_events(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -53,6 +58,8 @@ def read_events(spark: SparkSession, path: str, kind: str | None = None) -> Data
 
 def metadata_map(columns: dict[str, Column]) -> Column:
     """Columns as one map, without null and empty values."""
+    if not columns:
+        return F.create_map().cast("map<string,string>")
     pairs = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(c.cast("string") for c in columns.values())))
     return F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
 

@@ -16,8 +16,11 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Lists as JSON, absent values empty."""
-    _metadata(rows).select("seq", "user_id", "op", "day", F.to_json("d").alias("metadata.days")).write.option("header", True).option("escape", '"').csv(path)
+    """Lists as JSON, absent values empty; a map column ``metadata`` gives one column for each key of any row, in order."""
+    out = _metadata(rows).withColumn("metadata.days", F.to_json("d"))
+    keys = [k for k in metadata_keys(rows) if k != "days"] if "metadata" in rows.columns else []
+    columns = sorted([("days", F.col("`metadata.days`")), *((k, F.element_at("metadata", k)) for k in keys)], key=lambda c: c[0])
+    out.select("seq", "user_id", "op", "day", *(c.alias(f"metadata.{k}") for k, c in columns)).write.option("header", True).option("escape", '"').csv(path)
 
 
 MOST_KEYS = 1000
