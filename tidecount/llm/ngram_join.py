@@ -246,7 +246,7 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 
 def _tiles(member: DataFrame, percent: int) -> DataFrame:
-    """(id, grp, tile, side) from ``member(id, grp, n)``: small groups share a tile; a large one is cut by size band and hash into tiles that meet in pairs.
+    """(id, grp, tile, side) from ``member(id, grp, n)``: small groups share a tile, others have one of their own; one of over two tiles' weight is cut by size band and hash into tiles that meet in pairs.
 
     A band spans one threshold ratio of sizes, so linked rows lie in the same or the next band.
     """
@@ -254,18 +254,19 @@ def _tiles(member: DataFrame, percent: int) -> DataFrame:
     member = member.join(total, "grp")
     little = member.filter(F.col("weight") <= TILE // 4)
     small = little.select("id", "grp", F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("grp"), F.lit(_packs(little)))).alias("tile"), F.lit(0).alias("side"))
+    own = member.filter((F.col("weight") > TILE // 4) & (F.col("weight") <= 2 * TILE)).select("id", "grp", F.concat_ws(":", F.lit("g"), "grp").alias("tile"), F.lit(0).alias("side"))
     band = F.floor(F.log(F.greatest("n", F.lit(1)) + F.lit(0.0)) / F.lit(-math.log(percent / 100)) + 1e-9).cast("int")
-    large = member.filter(F.col("weight") > TILE // 4).withColumn("band", band)
-    cut = materialise(large.groupBy("grp", "band").agg(F.ceil(F.sum(_weight()) / F.lit(TILE / 2)).cast("int").alias("q")))
+    large = member.filter(F.col("weight") > 2 * TILE).withColumn("band", band)
+    cut = materialise(large.groupBy("grp", "band").agg(F.ceil(F.sum(_weight()) / F.lit(TILE)).cast("int").alias("q")))
     upper = cut.select("grp", (F.col("band") - 1).alias("band"), F.col("q").alias("up"))
     lower = cut.select("grp", (F.col("band") + 1).alias("band"), F.col("q").alias("down"))
     part = F.pmod(F.xxhash64("id"), F.col("q")).cast("int")
     placed = large.join(cut, ["grp", "band"]).join(upper, ["grp", "band"], "left").join(lower, ["grp", "band"], "left").withColumn("part", part)
-    own = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.col("band").alias("b1"), F.least(x, "part").alias("p1"), F.col("band").alias("b2"), F.greatest(x, "part").alias("p2"), (F.col("part") > x).cast("int").alias("side")))
+    same = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda x: F.struct(F.col("band").alias("b1"), F.least(x, "part").alias("p1"), F.col("band").alias("b2"), F.greatest(x, "part").alias("p2"), (F.col("part") > x).cast("int").alias("side")))
     above = F.when(F.col("up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda x: F.struct(F.col("band").alias("b1"), F.col("part").alias("p1"), (F.col("band") + 1).alias("b2"), x.alias("p2"), F.lit(0).alias("side"))))
     below = F.when(F.col("down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda x: F.struct((F.col("band") - 1).alias("b1"), x.alias("p1"), F.col("band").alias("b2"), F.col("part").alias("p2"), F.lit(1).alias("side"))))
-    meet = placed.select("id", "grp", F.explode(F.concat(own, F.coalesce(above, F.array()), F.coalesce(below, F.array()))).alias("t"))
-    return small.union(meet.select("id", "grp", F.concat_ws(":", F.lit("l"), "grp", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side"))
+    meet = placed.select("id", "grp", F.explode(F.concat(same, F.coalesce(above, F.array()), F.coalesce(below, F.array()))).alias("t"))
+    return small.union(own).union(meet.select("id", "grp", F.concat_ws(":", F.lit("l"), "grp", "t.b1", "t.p1", "t.b2", "t.p2").alias("tile"), "t.side"))
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
