@@ -54,9 +54,14 @@ MARKS = re.compile(r"©|\(c\) (?:19|20)\d\d|copyright|all rights reserved|cookie
 PARTS = re.compile(r"[a-z]+")
 
 
-@lru_cache(100_000)
+TOLD: dict[str, tuple[bool, bool, bool]] = {}  # names seen so far; a plain table travels to executors by value, a cached function would not
+
+
 def told(name: str) -> tuple[bool, bool, bool]:
     """Whether an element's id, class and role speak for main text, against it, and of comments."""
+    known = TOLD.get(name)
+    if known is not None:
+        return known
     good = bad = comments = False
     for token in name.split():
         parts = PARTS.findall(token)
@@ -65,6 +70,9 @@ def told(name: str) -> tuple[bool, bool, bool]:
         good |= not GOOD.isdisjoint(parts)
         bad |= not BAD.isdisjoint(parts)
         comments |= not COMMENTS.isdisjoint(parts)
+    if len(TOLD) > 100_000:
+        TOLD.clear()
+    TOLD[name] = good, bad, comments
     return good, bad, comments
 
 
