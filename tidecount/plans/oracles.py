@@ -242,6 +242,7 @@ def _more() -> dict[str, str]:
     distinct = f"WITH {ACTIVE} SELECT count(DISTINCT user_id)"
     split = f"WITH {ACTIVE}, a AS (SELECT DISTINCT user_id FROM active WHERE day < DATE '2024-01-16'), b AS (SELECT DISTINCT user_id FROM active WHERE day >= DATE '2024-01-20')"
     return {
+        "dau_zero_fill": _rolling(1),
         "mau_all_ends_exploded": _rolling(30),
         "hll_mau": f"{distinct} AS users, true AS near FROM active",
         "approx_dau": f"SELECT day, users, true AS near FROM ({DAU})",
