@@ -24,10 +24,11 @@ def error_stats(rows: DataFrame, *group: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *stats)
 
 
-def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...], window_days: int, delta: float, seed: int, epsilon_mau: float = 0.0) -> DataFrame:
+def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...], window_days: int, delta: float, seed: int, epsilon_mau: float = 0.0, shards: int = 1) -> DataFrame:
     """(sketch, epsilon, metric, day, exact, estimate): the last day's releases for every sketch and epsilon.
 
     Daily counts are released from exact counts, window counts from the sketch, as a release would; those cost ``epsilon_mau`` at least.
+    Each shard of the users has its own sketch: ``sketches.shard_count`` of them leave no error but the noise.
     """
     pairs = turnstile.active_pairs(rows)
     day = rows.agg(F.max("day")).first()[0]
@@ -39,7 +40,7 @@ def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...],
     exact = activity.daily(window)
     out = []
     for name in names:
-        estimate = sketches.merged(sketches.daily_sketches(window, name), ["day"]).select("day", "estimate")
+        estimate = sketches.merged(sketches.daily_sketches(window, name, shards=shards), ["day"]).select("day", "estimate")
         for epsilon in epsilons:
             daily = mechanisms.release(today.withColumn("exact", F.col("users")), "dau", epsilon, 0.0, seed)
             month = mechanisms.release(exact.withColumnRenamed("users", "exact").join(estimate.withColumnRenamed("estimate", "users"), "day"), "mau", max(epsilon_mau, epsilon), delta, seed).withColumn("metric", F.lit("mau"))

@@ -116,11 +116,15 @@ def bloom_size(n: Column, rate: float) -> tuple[Column, Column]:
 
 @dataclass(frozen=True)
 class Backend:
-    """How to count distinct keys: an aggregate that makes a sketch, one that merges sketches, and an estimate of one."""
+    """How to count distinct keys: an aggregate that makes a sketch, one that merges sketches, and an estimate of one.
+
+    ``room`` is the number of keys that a sketch holds as they are, so that its estimate is their count; 0 where it may be off for any number.
+    """
 
     build: Callable[[str], Column]
     merge: Callable[[str], Column]
     estimate: Callable[[str], Column]
+    room: int = 0
 
 
 BACKENDS: dict[str, Backend] = {}
@@ -143,36 +147,56 @@ def _kmv(k: int) -> Backend:
         build=lambda key: cut(F.collect_set(key_hash(F.col(key)))),
         merge=lambda s: cut(F.flatten(F.collect_list(s))),
         estimate=lambda s: kmv_estimate(F.size(s), F.element_at(s, -1), k),
+        room=k - 1,
     )
 
 
 def _set() -> Backend:
+    """Sets are exact at any size; their room is what a row should hold."""
     return Backend(
         build=lambda key: F.array_sort(F.collect_set(key)),
         merge=lambda s: F.array_sort(F.array_distinct(F.flatten(F.collect_list(s)))),
         estimate=lambda s: F.size(s).cast("double"),
+        room=4096,
     )
 
 
 register("set", _set())
 register("kmv", _kmv(4096))
-register("theta", Backend(lambda key: F.theta_sketch_agg(key), lambda s: F.theta_union_agg(s), lambda s: F.theta_sketch_estimate(s).cast("double")))
+register("theta", Backend(lambda key: F.theta_sketch_agg(key), lambda s: F.theta_union_agg(s), lambda s: F.theta_sketch_estimate(s).cast("double"), room=4096))
 register("hll", Backend(lambda key: F.hll_sketch_agg(key), lambda s: F.hll_union_agg(s), lambda s: F.hll_sketch_estimate(s).cast("double")))
 
 
-def daily_sketches(pairs: DataFrame, name: str, key: str = "user_id") -> DataFrame:
-    """(day, sketch, sketch_impl)."""
-    return pairs.groupBy("day").agg(backend(name).build(key).alias("sketch")).withColumn("sketch_impl", F.lit(name))
+def shard_count(rows: DataFrame, *names: str, key: str = "user_id") -> int:
+    """How many shards of the keys of ``rows`` leave the named sketches exact: a shard takes half of a sketch's room on average.
+
+    Keys are dealt by their hashes, so a shard of twice the average, some 2,000 keys, doesn't occur.
+    """
+    room = min(backend(name).room for name in names)
+    if room < 2:
+        raise ValueError(f"no number of shards makes these sketches exact: {', '.join(names)}")
+    return max(1, math.ceil(rows.agg(F.count_distinct(key)).first()[0] / (room // 2)))
+
+
+def shard(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards))
+
+
+def daily_sketches(pairs: DataFrame, name: str, key: str = "user_id", shards: int = 1) -> DataFrame:
+    """(day, sketch, sketch_impl); (day, shard, sketch, sketch_impl) with several shards of the keys."""
+    by = ["day", shard(key, shards).alias("shard")] if shards > 1 else ["day"]
+    return pairs.groupBy(*by).agg(backend(name).build(key).alias("sketch")).withColumn("sketch_impl", F.lit(name))
 
 
 def merged(sketches: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """The union of sketches of one kind, for each group; mixed kinds are an error."""
+    """The union of sketches of one kind, for each group; mixed kinds are an error. Of shards, which share no key, the sum of the estimates is left."""
     kinds = [r[0] for r in sketches.select("sketch_impl").distinct().limit(2).collect()]
     if len(kinds) > 1:
         raise TypeError(f"sketches of different kinds: {', '.join(sorted(kinds))}")
     kind = backend(kinds[0] if kinds else "set")
-    out = sketches.groupBy(*(group or [])).agg(kind.merge("sketch").alias("sketch"))
-    return out.withColumn("estimate", kind.estimate("sketch"))
+    by, shards = group or [], [c for c in sketches.columns if c == "shard"]
+    out = sketches.groupBy(*by, *shards).agg(kind.merge("sketch").alias("sketch")).withColumn("estimate", kind.estimate("sketch"))
+    return out.groupBy(*by).agg(F.coalesce(F.sum("estimate"), F.lit(0.0)).alias("estimate")) if shards else out
 
 
 def pack(hashes: Iterator[str], k: int) -> bytes:
