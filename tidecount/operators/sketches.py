@@ -188,12 +188,15 @@ def daily_sketches(pairs: DataFrame, name: str, key: str = "user_id", shards: in
     return pairs.groupBy(*by).agg(backend(name).build(key).alias("sketch")).withColumn("sketch_impl", F.lit(name))
 
 
-def merged(sketches: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """The union of sketches of one kind, for each group; mixed kinds are an error. Of shards, which share no key, the sum of the estimates is left."""
+def merged(sketches: DataFrame, group: list[str] | None = None, empty: str = "set") -> DataFrame:
+    """The union of sketches of one kind, for each group; mixed kinds are an error. Of shards, which share no key, the sum of the estimates is left.
+
+    A table without rows is read as sketches of the kind ``empty``.
+    """
     kinds = [r[0] for r in sketches.select("sketch_impl").distinct().limit(2).collect()]
     if len(kinds) > 1:
         raise TypeError(f"sketches of different kinds: {', '.join(sorted(kinds))}")
-    kind = backend(kinds[0] if kinds else "set")
+    kind = backend(kinds[0] if kinds else empty)
     by, shards = group or [], [c for c in sketches.columns if c == "shard"]
     out = sketches.groupBy(*by, *shards).agg(kind.merge("sketch").alias("sketch")).withColumn("estimate", kind.estimate("sketch"))
     return out.groupBy(*by).agg(F.coalesce(F.sum("estimate"), F.lit(0.0)).alias("estimate")) if shards else out
