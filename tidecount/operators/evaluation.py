@@ -29,21 +29,22 @@ def sweep(rows: DataFrame, names: tuple[str, ...], epsilons: tuple[float, ...],
 
     Daily counts are released from exact counts, window counts from the sketch, as a release would; those cost ``epsilon_mau`` at least.
     Each shard of the users has its own sketch: ``sketches.shard_count`` of them leave no error but the noise.
+    Where no user is active, 0 is released with its noise; null is no user; a table without rows has no last day and no releases.
     """
-    pairs = turnstile.active_pairs(rows)
+    pairs = turnstile.active_pairs(rows).filter("user_id IS NOT NULL")
     day = rows.agg(F.max("day")).first()[0]
-    if day is None:
-        raise ValueError("no events")
-    last = rows.sparkSession.createDataFrame([(day,)], "day date")
+    last = rows.sparkSession.createDataFrame([] if day is None else [(day,)], "day date")
+    end = F.lit(day).cast("date")
     today = activity.rolling(pairs, last, 1).withColumn("metric", F.lit("dau"))
-    window = pairs.filter(F.col("day").between(F.date_sub(F.lit(day), window_days - 1), F.lit(day))).select("user_id", F.lit(day).alias("day"))
-    exact = activity.daily(window)
+    window = pairs.filter(F.col("day").between(F.date_sub(end, window_days - 1), end)).select("user_id", end.alias("day"))
+    exact = last.join(activity.daily(window).withColumnRenamed("users", "exact"), "day", "left")
     out = []
     for name in names:
-        estimate = sketches.merged(sketches.daily_sketches(window, name, shards=shards), ["day"]).select("day", "estimate")
+        estimate = sketches.merged(sketches.daily_sketches(window, name, shards=shards), ["day"], name).select("day", F.col("estimate").alias("users"))
+        counts = exact.join(estimate, "day", "left").fillna(0)
         for epsilon in epsilons:
             daily = mechanisms.release(today.withColumn("exact", F.col("users")), "dau", epsilon, 0.0, seed)
-            month = mechanisms.release(exact.withColumnRenamed("users", "exact").join(estimate.withColumnRenamed("estimate", "users"), "day"), "mau", max(epsilon_mau, epsilon), delta, seed).withColumn("metric", F.lit("mau"))
+            month = mechanisms.release(counts, "mau", max(epsilon_mau, epsilon), delta, seed).withColumn("metric", F.lit("mau"))
             for part in (daily, month):
                 out.append(part.select(F.lit(name).alias("sketch"), F.lit(float(epsilon)).alias("epsilon"), "metric", "day", F.col("exact").cast("double").alias("exact"), F.col("estimate").cast("double").alias("estimate")))
     return reduce(DataFrame.union, out)
